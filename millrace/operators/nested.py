@@ -6,15 +6,17 @@ one row; the rows of an ancestor form a table, linked to the row that encloses i
 where it is read, so nothing is shuffled: a task holds one record at a time, and rows leave in document order.
 
 Texts that aren't complete JSON (also with NaN, trailing text, or half a string), null and empty texts have no triples. Of a
-name repeated in an object the last holds, as most readers have it. Numbers keep the text as written.
+name repeated in an object the last holds, as most readers have it. Fractions keep the text as written.
 """
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,10 +35,24 @@ def _refuse(word: str):
     raise ValueError(word)
 
 
-_DECODER = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
+# Whole numbers are read as such, which is faster and gives the same text; those too long for that as text.
+_DECODER = json.JSONDecoder(parse_float=_Number, parse_constant=_refuse)
+_LONG_NUMBERS = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
 _SURROGATE = re.compile("[\ud800-\udfff]")
 
 
+@contextlib.contextmanager
+def _no_collector():
+    """Trees of records hold no cycles; looking for them costs as much as reading the records."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def decode(text: str | None):
     """(True, value) of complete JSON, else (False, None). A JSON string that holds JSON counts as that JSON."""
     if not text or text.isspace():
@@ -55,6 +71,10 @@ def decode(text: str | None):
 def _parse(text: str):
     try:
         return _DECODER.decode(text)
+    except json.JSONDecodeError:
+        raise
+    except ValueError:
+        return _LONG_NUMBERS.decode(text)
     except RecursionError:
         return _parse_deep(text)
 
@@ -119,10 +139,10 @@ def as_text(value) -> str | None:
     """A scalar as text: strings without quotes, numbers as written, true and false; null stays null, objects and arrays are JSON."""
     if value is None or type(value) is str:
         return value if value is None or value.isascii() else _SURROGATE.sub("�", value)
-    if isinstance(value, _Number):
-        return str(value)
     if value is True or value is False:
         return "true" if value else "false"
+    if isinstance(value, (_Number, int)):
+        return str(value)
     return _json(value)
 
 
@@ -162,7 +182,7 @@ def triples(value) -> Iterator[tuple[str, tuple[int, ...], str, str | None]]:
             yield path, ordinals, "array", None
             todo.extend((path + "[]", (*ordinals, i), v) for i, v in zip(range(len(x) - 1, -1, -1), reversed(x), strict=True))
         else:
-            kind = "null" if x is None else "number" if isinstance(x, _Number) else "boolean" if x is True or x is False else "string"
+            kind = "null" if x is None else "boolean" if x is True or x is False else "number" if isinstance(x, (_Number, int)) else "string"
             yield path, ordinals, kind, as_text(x)
 
 
@@ -220,44 +240,53 @@ def _pick(x: dict, path: list[str]) -> str | None:
     return as_text(x)
 
 
-def rows_of(value, record: str | None, tables: tuple[Table, ...]) -> Iterator[tuple[str, str | None, str | None, int, list[str | None]]]:
-    """(table, parent key, key, position, columns) of every object of the tables in one record, in document order."""
-    by_field = {t.held_by: t for t in tables if t.held_by is not None}
-    by_names = [(t, frozenset(t.having), frozenset(t.but_not)) for t in tables if t.held_by is None]
-    paths = {t.name: [c.split(".") for c in t.columns] for t in tables}
-    # name: the field that holds x; place: its position in that field's array, 0 if it isn't in one; around: nearest row of each table, innermost last
+def rows_of(value, record: str | None, tables: tuple[Table, ...]) -> list[tuple[str, str | None, str | None, int, list[str | None]]]:
+    """(table, parent key, key, position, columns) of every object of the tables in one record."""
+    by_field = {t.held_by: (t, [c.split(".") for c in t.columns]) for t in tables if t.held_by is not None}
+    by_names = [(t, t.having[0], t.having[1:], t.but_not, [c.split(".") for c in t.columns]) for t in tables if t.held_by is None]
+    out: list = []
+    # x; the field that holds it; its position in that field's array (0 if it isn't in one); the nearest row of each table around it, innermost last
     todo = [(value, None, 0, ())]
+    pop, push = todo.pop, todo.append
     while todo:
-        x, name, place, around = todo.pop()
-        if isinstance(x, list):
+        x, name, position, around = pop()
+        if type(x) is list:
             # Only an array's own elements are held by the field; those of an array within it are held by none.
-            inner = name if place == 0 else None
-            todo.extend((v, inner, -1 - i, around) for i, v in zip(range(len(x) - 1, -1, -1), reversed(x), strict=True) if isinstance(v, (dict, list)))
+            i = 0
+            for v in x:
+                kind = type(v)
+                if kind is dict:
+                    push((v, name, i, around))
+                elif kind is list:
+                    push((v, None, 0, around))
+                i += 1
             continue
-        position = -1 - place if place < 0 else 0
         own = around
-        for t in [by_field[name]] if name in by_field else []:
-            yield from _row(t, x, record, position, around, paths)
-            own = _within(own, t, x, position)
-        for t, having, but_not in by_names:
-            if having <= x.keys() and name not in but_not:
-                yield from _row(t, x, record, position, around, paths)
-                own = _within(own, t, x, position)
-        todo.extend((v, k, 0, own) for k, v in reversed(x.items()) if isinstance(v, (dict, list)))
-
-
-def _key(t: Table, x: dict, position: int) -> str | None:
-    return str(position) if t.key is None else as_text(x.get(t.key))
-
-
-def _row(t: Table, x: dict, record, position, around, paths):
-    parent = record if t.parents is None else next((k for n, k in reversed(around) if n in t.parents), None)
-    yield t.name, parent, _key(t, x, position), position, [_pick(x, p) for p in paths[t.name]]
-
-
-def _within(around: tuple, t: Table, x: dict, position: int) -> tuple:
+        if name in by_field:
+            t, paths = by_field[name]
+            own = _add(out, t, x, record, position, around, own, paths)
+        for t, first, others, but_not, paths in by_names:
+            if first in x and name not in but_not and all(h in x for h in others):
+                own = _add(out, t, x, record, position, around, own, paths)
+        for k, v in x.items():
+            kind = type(v)
+            if kind is dict or kind is list:
+                push((v, k, 0, own))
+    return out
+
+
+def _add(out: list, t: Table, x: dict, record, position: int, around: tuple, own: tuple, paths: list) -> tuple:
+    key = str(position) if t.key is None else as_text(x.get(t.key))
+    parent = record
+    if t.parents is not None:
+        parent = None
+        for n, k in reversed(around):
+            if n in t.parents:
+                parent = k
+                break
+    out.append((t.name, parent, key, position, [_pick(x, p) for p in paths]))
     # At most one entry per table, so the way back stays short at any depth.
-    return (*[e for e in around if e[0] != t.name], (t.name, _key(t, x, position)))
+    return (*[e for e in own if e[0] != t.name], (t.name, key))
 
 
 def flat_tables(df: DataFrame, body: str, record: str, keep: list[str], tables: tuple[Table, ...], columns: bool = True) -> DataFrame:
@@ -266,17 +295,20 @@ def flat_tables(df: DataFrame, body: str, record: str, keep: list[str], tables:
     record: column with the record's own key, the parent of rows whose table has parents None. Without ``columns`` only the links.
     """
     names = {t.name: list(t.columns) for t in tables}
+    used = tables if columns else tuple(replace(t, columns=()) for t in tables)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             records = batch.column(len(keep) + 1).to_pylist()
             for i, text in enumerate(batch.column(len(keep)).to_pylist()):
-                whole, value = decode(text)
-                if whole and isinstance(value, (dict, list)):
-                    for row in rows_of(value, records[i], tables):
-                        at.append(i)
-                        rows.append(row)
+                with _no_collector():
+                    whole, value = decode(text)
+                    if whole and isinstance(value, (dict, list)):
+                        found = rows_of(value, records[i], used)
+                        at += [i] * len(found)
+                        rows += found
+                    value = None
                 if len(at) > 50_000:
                     yield _batch(batch, at, rows)
                     at, rows = [], []
