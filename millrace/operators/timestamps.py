@@ -305,6 +305,9 @@ def _to_utc(values: pd.Series, zones: pd.Series) -> pd.Series:
     return pd.Series(pd.arrays.IntegerArray(out, ~good))
 
 
+# Spark may copy a deterministic function into every filter on its result, and so run it twice.
+_to_utc = _to_utc.asNondeterministic()
+
 #: Forms that most values have. They name their offset and are read on the JVM, without Python.
 COMMON_FORMS = {
     r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\+0000$": "yyyy-MM-dd'T'HH:mm:ss.SSSxx",
