@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -93,7 +94,7 @@ class Lowering:
         combined = generate.combinations(self.spark, step.parameters, frames) if step.parameters else None
         if step.input.path:
             ids = self._input(step)
-            free = {n for n in generate.re.findall(r"\{(\w+)\}", step.template.path_template)} - {p.name for p in step.parameters}
+            free = {n for n in re.findall(r"\{(\w+)\}", step.template.path_template)} - {p.name for p in step.parameters}
             if len(free) == 1:
                 ids = ids.select(F.col(f"`{ids.columns[0]}`").cast("string").alias(free.pop()))
             combined = ids if combined is None else ids.join(combined)
@@ -182,12 +183,13 @@ class Lowering:
 
 
 def _records(responses: DataFrame) -> DataFrame:
-    """Responses whose bodies are JSON objects as rows of those objects' fields, by the schema of all bodies."""
-    spark = responses.sparkSession
-    bodies = responses.select("body").where("body is not null")
-    schema = spark.read.json(bodies.rdd.map(lambda r: r.body)).schema if not bodies.isEmpty() else None
-    if schema is None or not schema.fields:
+    """Responses whose bodies are JSON objects as rows of those objects' fields, by the merged schema of all bodies. Bodies that
+    are no objects have no record."""
+    bodies = responses.select("body").where(F.ltrim("body").startswith("{"))
+    found = bodies.agg(F.expr("schema_of_variant_agg(try_parse_json(body))").alias("s")).first()["s"]
+    if not found or not found.startswith("OBJECT<") or found == "OBJECT<>":
         return responses
+    schema = re.sub(r"\bVOID\b", "STRING", re.sub(r"\bOBJECT<", "STRUCT<", found))
     return bodies.select(F.from_json("body", schema).alias("r")).where("r is not null").select("r.*")
 
 
