@@ -10,7 +10,8 @@ grid that doesn't depend on the data, ``merge`` adds states, ``bounds`` reads pe
 ``percentiles`` goes on from there to the exact values.
 
 Nulls, NaN and infinities aren't values and are left out; null is a group of its own; a group without values has no row. Ties
-and copies count as often as they occur. The percentile p of n values is the linear interpolation at rank p * (n - 1).
+and copies count as often as they occur. The percentile p of n values is the linear interpolation at rank p * (n - 1). A grouping
+column that has the name of a result column comes out with the suffix _key.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ GROUP = ["grouping", "k"]
 
 def _cell(v: Column) -> Column:
     # Square roots are correctly rounded and so keep the order of values, over all magnitudes of doubles.
-    root = F.sqrt(F.sqrt(F.sqrt(F.sqrt(F.abs(v)))))
-    return F.when(v < 0, F.ceil(-root * GRID) - 1).otherwise(F.floor(root * GRID)).cast("long")
+    # Values beyond about 1e240 share a cell, which later passes part like any other.
+    place = F.least(F.sqrt(F.sqrt(F.sqrt(F.sqrt(F.abs(v))))) * GRID, F.lit(1e18))
+    return F.when(v < 0, -F.floor(place).cast("long") - 1).otherwise(F.floor(place).cast("long"))
 
 
 def _part(v: Column, lo: Column, hi: Column) -> Column:
@@ -61,6 +63,10 @@ def _values(df: DataFrame, groupings: list[list[str]], value: str) -> DataFrame:
     return each.select(F.col("g.grouping").alias("grouping"), k.alias("k"), "v", "n")
 
 
+def _out_name(column: str) -> str:
+    return f"{column}_key" if column in ("grouping", "k", "n_values", "p", "value", "lower", "upper") else column
+
+
 def _with_keys(df: DataFrame, groupings: list[list[str]]) -> DataFrame:
     names = list(dict.fromkeys(c for g in groupings for c in g))
     out = df.withColumn("__parts", F.split("k", "\x1f"))
@@ -70,7 +76,7 @@ def _with_keys(df: DataFrame, groupings: list[list[str]]) -> DataFrame:
             if c in g:
                 place = F.when(F.col("grouping") == grouping_name(g), F.lit(g.index(c))).otherwise(place)
         part = F.get("__parts", place)
-        out = out.withColumn(c, F.when(part.startswith("v"), F.substr(part, F.lit(2))))
+        out = out.withColumn(_out_name(c), F.when(part.startswith("v"), F.substr(part, F.lit(2))))
     return out.drop("k", "__parts")
 
 
