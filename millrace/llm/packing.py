@@ -1,6 +1,6 @@
 """Filling containers of a fixed number of tokens with texts that belong together.
 
-Texts come in shards (consecutive documents of a task, up to SHARD of them), each with an inverted index of its own. In decreasing order
+Texts come in shards (consecutive documents of a task, up to SHARD of them, fewer where they are very long), each with an inverted index of its own. In decreasing order
 of size, every unused document seeds a container; BM25 names its nearest unused neighbours, and among the NEAREST that fit
 the largest is taken, again and again. Neighbours alone leave gaps, so a gap is then filled with the largest unused items of the shard
 that fit, related or not. A text longer than the capacity is cut into full containers and a rest that is packed like any other
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.tokens import VOCABULARY, counter
 
-#: Documents to a shard, and to an index.
+#: Documents to a shard, and to an index; and the entries of an index at most, which bounds a task's memory where texts are very long.
 SHARD = 4096
+ENTRIES = 3_000_000
 #: Neighbours looked at for each place in a container, and terms (the rarest) a seed asks for.
 NEAREST = 24
 TERMS = 24
@@ -157,7 +158,7 @@ def packing(df: DataFrame, text: str, keep: list[str], packs: list[tuple[str, in
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
         base, done = TaskContext.get().partitionId() << 40, [0] * len(packs)
-        kept, tokens, bags = [], [], []
+        kept, tokens, bags, entries = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(kept).combine_chunks()
@@ -173,17 +174,19 @@ def packing(df: DataFrame, text: str, keep: list[str], packs: list[tuple[str, in
             yield from pa.table(columns, names=["pack_name", "capacity_tokens", "container", *keep, "piece", "first_token", "tokens"]).to_batches(max_chunksize=50_000)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, shard):
-                part = batch.slice(at, shard)
-                if kept and len(tokens) + part.num_rows > shard:
+            start = 0
+            for i, t in enumerate(batch.column(len(keep))):
+                if len(tokens) >= shard or entries >= ENTRIES:
+                    kept.append(batch.slice(start, i - start).select(keep))
                     yield from flush()
-                    kept, tokens, bags = [], [], []
-                kept.append(part.select(keep))
-                for t in part.column(len(keep)).to_pylist():
-                    chunks = count.chunks(t) if t else []
-                    tokens.append(count.of_chunks(chunks) if count.plain(t) else count.count(t))
-                    bags.append(Bag(chunks))
-        if kept:
+                    kept, tokens, bags, entries, start = [], [], [], 0, i
+                t = t.as_py()
+                chunks = count.chunks(t) if t else []
+                tokens.append(count.of_chunks(chunks) if count.plain(t) else count.count(t))
+                bags.append(Bag(chunks))
+                entries += len(bags[-1])
+            kept.append(batch.slice(start).select(keep))
+        if tokens:
             yield from flush()
 
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
