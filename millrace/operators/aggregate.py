@@ -21,7 +21,7 @@ FUNCS = ("count", "sum", "avg", "min", "max", "percentile", "approx_percentile")
 
 def as_text(c: Column, kind: T.DataType) -> Column:
     """A cell as text, as keys and CSV have it."""
-    return F.format_string("%.6f", c.cast("double")) if isinstance(kind, (T.DoubleType, T.FloatType)) else c.cast("string")
+    return F.when(c.isNotNull(), F.format_string("%.6f", c.cast("double"))) if isinstance(kind, (T.DoubleType, T.FloatType)) else c.cast("string")
 
 
 def _value(df: DataFrame, a: Aggregate) -> Column:

@@ -68,10 +68,12 @@ def _array(df: DataFrame) -> DataFrame:
 
         first = True
         for batch in batches:
-            lines = batch.column(0).to_pylist()
+            lines = [x for x in batch.column(0).to_pylist() if x is not None]
             if lines:
                 yield pa.RecordBatch.from_pydict({"value": [("[" if first and not i else ",") + x for i, x in enumerate(lines)]})
                 first = False
         yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
 
-    return as_json(df).coalesce(1).mapInArrow(wrap, "value string")
+    # A row without value, so that an empty table has a task too, which writes the brackets.
+    mark = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("value"))
+    return as_json(df).unionByName(mark).coalesce(1).mapInArrow(wrap, "value string")

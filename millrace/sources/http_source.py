@@ -26,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from millrace.plans.spec import Auth, Backpressure, Connection, ErrorHandling, RateLimit
 from millrace.sources.limiter import BoundedQueue, TokenBucket
 
+_ARROW = pa.schema([("request_id", pa.string()), ("step_id", pa.string()), ("status_code", pa.int32()), ("body", pa.string()), ("ok", pa.bool_()), ("error", pa.string()), ("attempts", pa.int32())])
 RESPONSES = "request_id string, step_id string, status_code int, body string, ok boolean, error string, attempts int"
 
 
@@ -156,19 +157,15 @@ def fetch(requests: DataFrame, connection: Connection, errors: ErrorHandling = E
     names = [n.split()[0] for n in RESPONSES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        schema = to_arrow_schema(StructType.fromDDL(RESPONSES))
         asked = (r for b in batches for r in b.to_pylist())
         rows: list[dict] = []
         for response in Fetcher(connection, errors, tasks).responses(asked):
             rows.append({n: response[n] for n in names})
             if len(rows) >= 256:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     placed = requests.select(*wanted)
     placed = placed.coalesce(1) if tasks == 1 else placed.repartition(tasks, F.col("url"))

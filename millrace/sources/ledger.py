@@ -68,9 +68,11 @@ class Ledger:
         """Adds requests as pending, in the order of their partitions; those the ledger has stay as they are. Gives the number added."""
         known = self.events().select("request_id").distinct()
         base = self._next()
-        one = request_ids(requests.withColumn("dag_run_id", F.lit(self.run))).dropDuplicates(["request_id"]).join(known, "request_id", "left_anti")
-        order = F.monotonically_increasing_id() + base
-        rows = one.withColumns({"seq": order, "status": F.lit("pending"), "retry_count": F.lit(0), "created_at": F.current_timestamp()})
+        # The order is noted before rows with the same id are dropped, of which the first stays.
+        placed = request_ids(requests.withColumn("dag_run_id", F.lit(self.run))).withColumn("seq", F.monotonically_increasing_id() + base)
+        rest = [c for c in placed.columns if c not in ("request_id", "seq")]
+        first = placed.groupBy("request_id").agg(F.min(F.struct("seq", *rest)).alias("r")).select("request_id", "r.*")
+        rows = first.join(known, "request_id", "left_anti").withColumns({"status": F.lit("pending"), "retry_count": F.lit(0), "created_at": F.current_timestamp()})
         before = self.events().count()
         self._append(rows)
         return self.events().count() - before
@@ -79,9 +81,6 @@ class Ledger:
         """Pending requests, first in first out, marked as under way."""
         waiting = current(self.events()).where("status = 'pending'")
         taken = waiting.orderBy("seq").limit(most) if most is not None else waiting
-        ids = [r.request_id for r in taken.select("request_id").collect()] if most is not None else None
-        if ids is not None:
-            taken = waiting.where(F.col("request_id").isin(ids))
         marked = taken.withColumn("seq", F.monotonically_increasing_id() + self._next()).withColumns({"status": F.lit("inflight"), "started_at": F.current_timestamp()})
         self._append(marked)
         return current(self.events()).where("status = 'inflight'")
