@@ -55,7 +55,8 @@ def budgets(totals: DataFrame, targets: DataFrame, total_tokens: int | None = No
     share = F.when(usable, F.col("target_share") / F.sum(F.when(usable, F.col("target_share"))).over(mix))
     known = known.withColumn("__share", share).withColumn("__cap", F.col("source_tokens") * F.col("max_repeats"))
     total = F.lit(total_tokens).cast("double") if total_tokens is not None else F.min(F.col("__cap") / F.col("__share")).over(mix)
-    budget = F.least(F.floor(total * F.col("__share") + F.lit(1e-6)).cast("long"), F.col("__cap"))
+    # least() passes over nulls, so a target without a usable share is told apart first.
+    budget = F.when(usable, F.least(F.floor(total * F.col("__share") + F.lit(1e-6)).cast("long"), F.col("__cap")))
     return known.withColumn("budget", F.coalesce(budget, zero)).drop("__share", "__cap")
 
 

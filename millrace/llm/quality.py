@@ -58,13 +58,37 @@ _TRAILER = re.compile(r"[A-Z][A-Za-z]*(?:-[A-Za-z]+)+: \S|(?:Fixes|Closes|Refs?|
 _LIST = re.compile(r"(?:[-*+•‣◦·–—]|\[[ xX]\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)])(?:\s|$)")
 _DIFF_START = re.compile(r"diff --|Index: |--- \S|@@ -\d|GIT binary patch|index [0-9a-f]{7,}\.\.")
 _DIFF_LINE = re.compile(r"[-+ @\\]|$|diff --|index [0-9a-f]|(?:new|deleted|old) (?:file )?mode|(?:similarity|dissimilarity) index|(?:rename|copy) (?:from|to) |Binary files |GIT binary patch|(?:literal|delta) \d|[A-Za-z][!-~]{20,}$|z[!-~]*$")
-_TABLE = re.compile(r".*(?:\t\S|\S {3,}\S|\|.*\||;.*;.*;)|[^ ,]+(?:,[^ ,]+){2,}|(?:[^,]*,){2,}\"")
-_CODE = re.compile(r".*(?:[{};\\]\s*$|\w\(\S*\)\s*[;:{]?\s*$|[=<>!+]=|=>|->|::|&&|\|\||\w\.\w+\(|</?\w+>|^\s*(?:#include|#define|import |from \w+ import|def |class |return |SELECT |INSERT |ALTER |CREATE |//|/\*|\*/|--|#)|\w+\[\w+\]|\w+_\w+.*[=:])")
+_CELLS = re.compile(r"\t\S|\S {3,}\S")
+_CSV = re.compile(r"[^ ,]+(?:,[^ ,]+){2}")
+_CODE = re.compile(r"[=<>!+]=|=>|->|::|&&|\|\||\w\.\w+\(|</?\w+>|\w\[\w+\]|^(?:#include|#define|import |from \w+ import|def |class |return |SELECT |INSERT |ALTER |CREATE |//|/\*|\*/|--|#)")
+_CALL = re.compile(r"\)\s*[;:{]?$")
+_NAME = re.compile(r"\w_\w")
 _RULER = re.compile(r"[\W_]+$")
 _LOG = re.compile(r"(?:\[?\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\[[\w ]+\] |[0-9a-f]{7,64}\b|(?:ERROR|WARN|INFO|DEBUG|TRACE)\b|\w+Error:|\s*at \w|https?://|<{7}|>{7}|={7})")
 _QUOTE = re.compile(r"(?:>\s?)+")
 
 
+# Each takes time in proportion to the line, which may be a whole text.
+def _is_table(line: str) -> bool:
+    if line.count("|") >= 2 or line.count(";") >= 3 or _CELLS.search(line) or _CSV.match(line):
+        return True
+    first = line.find(",")
+    return first >= 0 and line.find(',"', first + 1) >= 0
+
+
+def _is_code(line: str) -> bool:
+    if line[-1] in "{};\\" or _CODE.search(line):
+        return True
+    end = _CALL.search(line[-40:])
+    if end:
+        start = line.rfind("(")
+        inside = line[start : len(line) - min(40, len(line)) + end.start()]
+        if start > 0 and (line[start - 1].isalnum() or line[start - 1] == "_") and not any(c.isspace() for c in inside):
+            return True
+    name = _NAME.search(line)
+    return name is not None and ("=" in line[name.end() :] or ":" in line[name.end() :])
+
+
 def _paragraphs(text: str) -> Iterator[list[str]]:
     """Runs of lines that may be prose. Blank lines and lines of another shape end a run."""
     run: list[str] = []
@@ -97,7 +121,7 @@ def _paragraphs(text: str) -> Iterator[list[str]]:
             listed = indent
         elif listed >= 0 and indent > listed:
             pass  # goes on with the entry above
-        elif not (_HEAD.match(line) or _TRAILER.match(line) or _LOG.match(line) or _TABLE.match(line) or _CODE.match(line) or _RULER.match(line)):
+        elif not (_HEAD.match(line) or _TRAILER.match(line) or _LOG.match(line) or _is_table(line) or _is_code(line) or _RULER.match(line)):
             other, listed = False, -1
         else:
             listed = -1

@@ -91,7 +91,7 @@ def test_bm25_against_brute_force():
 def test_neighbours_share_containers():
     texts = corpus(400)
     bags = [Counter(t.split()) for t in texts]
-    sizes = np.array([max(1, len(t.split())) for t in texts])
+    sizes = np.array([min(300, max(1, len(t.split()))) for t in texts])
     same = total = 0
     for c in packing.pack(sizes, 300, packing.Index(bags)):
         for a in c[1:]:
