@@ -44,9 +44,10 @@ def windowed(df: DataFrame, time: str, size: str, late: str, group_by: Sequence[
     t = F.col(time).cast("timestamp")
     marked = df.withColumn(time, t).withWatermark(time, late)
     w = F.window(time, size, slide) if slide else F.window(time, size)
-    keyed = marked.withColumn("__w", w)
-    out = aggregate(keyed.withColumn("window_start", F.col("__w.start")).withColumn("window_end", F.col("__w.end")), ["window_start", "window_end", *group_by], aggregates, preserve_key_types=True)
-    return out
+    # The window itself is the key, as it carries the watermark.
+    out = aggregate(marked.withColumn("__w", w), ["__w", *group_by], aggregates, preserve_key_types=True)
+    rest = [c for c in out.columns if c != "__w"]
+    return out.select(F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), *rest)
 
 
 def stream_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, timeout: str, how: str = "inner") -> DataFrame:

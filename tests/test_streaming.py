@@ -14,7 +14,7 @@ def source(spark, folder, df, files=3):
 
 @pytest.fixture(scope="module")
 def events(spark):
-    return spark.range(300).select("id", (F.col("id") % 3).cast("string").alias("k"), F.timestamp_seconds(F.col("id") * 10).alias("ts"), (F.col("id") * 1.5).alias("v"))
+    return spark.range(300).select("id", (F.col("id") % 3).cast("string").alias("k"), F.timestamp_seconds(F.col("id") * 10 + 1_000_000_000).alias("ts"), (F.col("id") * 1.5).alias("v"))
 
 
 @pytest.mark.parametrize("files", [1, 5])
