@@ -6,6 +6,7 @@ Filter, unnest and transform need no streaming form: they are the same functions
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -114,5 +115,35 @@ def keyed_readiness(rows: DataFrame, sources: Sequence[str], timeout_ms: int) ->
     return grouped.transformWithStateInPandas(KeyedReadiness(sources, timeout_ms), KeyedReadiness.OUTPUT, "Append", "ProcessingTime")
 
 
+def run_with_timeouts(df: DataFrame, checkpoint: str, name: str, timeout_ms: int, most_sec: float = 600) -> DataFrame:
+    """Runs a stream with processing-time timers over all that is available, waits until timers set by the last row are due, and ends.
+
+    Such a query doesn't end by itself: it goes on with empty batches as long as there may be timers. TimeoutError after ``most_sec``.
+    """
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    began, last_data, empty_after = time.monotonic(), time.monotonic(), 0
+    seen = -1
+    try:
+        while q.isActive:
+            if time.monotonic() - began > most_sec:
+                raise TimeoutError(f"stream {name} went on for more than {most_sec} s")
+            p = q.lastProgress
+            if p is not None and p["batchId"] != seen:
+                seen = p["batchId"]
+                if p["numInputRows"]:
+                    last_data, empty_after = time.monotonic(), 0
+                elif time.monotonic() - last_data > timeout_ms / 1000:
+                    # The second batch that begins after the timers were due has seen them all.
+                    empty_after += 1
+                    if empty_after > 2:
+                        break
+            time.sleep(0.02)
+        if q.exception():
+            raise q.exception()
+    finally:
+        q.stop()
+    return df.sparkSession.table(name)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
