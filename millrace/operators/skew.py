@@ -87,11 +87,13 @@ def place(df: DataFrame, key: str, plan: Plan, spread: Column | None = None) ->
     heavy = F.broadcast(spark.createDataFrame(table, "__k string, __tasks array<int>"))  # at most HEAVY keys
     rows = df.withColumn("__spread", _spread() if spread is None else spread)
     rows = rows.join(heavy, k == F.col("__k"), "left")
-    shard = F.coalesce(F.pmod("__spread", F.size("__tasks")), F.lit(0)).cast("int")
+    # Null is spread over all tasks without being estimated: it has no partner in joins, and aggregates combine its shards.
+    spread_out = F.pmod("__spread", F.lit(plan.tasks))
+    shard = F.when(k.isNull(), spread_out).otherwise(F.coalesce(F.pmod("__spread", F.size("__tasks")), F.lit(0))).cast("int")
     bucket = F.pmod(F.xxhash64(k), F.lit(len(plan.buckets))).cast("int")
     rows = rows.withColumn("__shard", shard)
     light = F.element_at(F.lit(plan.buckets), bucket + 1)
-    task = F.when(F.col("__tasks").isNotNull(), F.element_at("__tasks", F.col("__shard") + 1)).otherwise(light)
+    task = F.when(k.isNull(), F.col("__shard")).when(F.col("__tasks").isNotNull(), F.element_at("__tasks", F.col("__shard") + 1)).otherwise(light)
     return rows.withColumn("__task", task.cast("int")).drop("__k", "__tasks", "__spread")
 
 

@@ -25,7 +25,7 @@ def test_loads_and_plan(spark):
 
 def test_tasks_are_even(spark):
     # Copies of one row, which no hash of its columns could spread.
-    d = [("hot", 1)] * 3000 + [(str(i % 50), 1) for i in range(1000)]
+    d = [("hot", 1)] * 2000 + [(None, 1)] * 1000 + [(str(i % 50), 1) for i in range(1000)]
     df = spark.createDataFrame(d, "k string, v int").repartition(4)
     n, loads = skew.estimate_loads(df, ["k"])
     plan = skew.make_plan(n, loads["k"], 8)
