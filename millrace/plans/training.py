@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.session import shared_dir
 from millrace.functions.text import folded, trimmed
 from millrace.operators import incremental, nested, percentiles, skew, timestamps
 from millrace.sources.tables import table
@@ -27,6 +30,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return taken.where(F.col("status").isin(*FINAL)).select(*REQUEST).distinct()
 
 
+def p1_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over the whole ledger with committed intervals: rows in the output of each. The second finds no gap."""
+    ledger = table(spark, d, "request_queue").select(*REQUEST, "seq", "status")
+    store = incremental.IntervalStore(spark, f"{shared_dir(spark)}/intervals/{uuid.uuid4().hex}")
+    counts = None
+    for n in (1, 2):
+        run = store.begin(ledger, "seq")
+        at = store.commit(run, run.rows)
+        one = spark.read.schema(ledger.schema).parquet(at).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("run"), "rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+P1_RUNS_SQL = "SELECT 1 AS run, count(seq) AS rows FROM request_queue UNION ALL SELECT 2, 0"
 P1_SQL = """
 WITH cur AS (
   SELECT dag_run_id, request_id, lower(trim(status)) AS status, completed_at FROM request_queue
@@ -188,7 +205,7 @@ def p5_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_percentiles": p2_percentiles, "p2_slices": p2_slices, "p3_found": p3_found, "p3_normalised": p3_normalised,
+    "p1_found": p1_found, "p1_runs": p1_runs, "p2_percentiles": p2_percentiles, "p2_slices": p2_slices, "p3_found": p3_found, "p3_normalised": p3_normalised,
     "p4_found": p4_found, "p4_key_results": p4_key_results, "p4_skew_join": p4_skew_join, "p5_found": p5_found, "p5_tables": p5_tables,
 }
-SQL = {"p1_found": P1_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_skew_join": P4_JOIN_SQL}
+SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_skew_join": P4_JOIN_SQL}
