@@ -55,7 +55,8 @@ def _sweep(a: DataFrame, b: DataFrame | None, keep: F.Column) -> DataFrame:
     steps = _steps(a, "a").withColumn("b", F.lit(0))
     if b is not None:
         steps = steps.unionByName(_steps(b, "b").withColumn("a", F.lit(0)))
-    at = steps.groupBy("block", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # Sent to their block once; sums and windows then stay there. Steps of disjoint intervals are few and even.
+    at = steps.repartition("block").groupBy("block", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w = Window.partitionBy("block").orderBy("at")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = at.select("block", "at", F.sum("a").over(so_far).alias("in_a"), F.sum("b").over(so_far).alias("in_b"))
