@@ -3,7 +3,7 @@
 Each record is read into triples (path, value, ordinals): one per scalar, and one per object or array so that empty ones
 are seen. Triples whose paths share the same repeated ancestor (the innermost array element or the object of a table) belong to
 one row; the rows of an ancestor form a table, linked to the row that encloses it. Everything about a record is known
-where it is read, so nothing is shuffled: a task holds one record at a time, and rows leave in document order.
+where it is read, so nothing is shuffled: a task holds one record at a time, and rows with columns leave in document order.
 
 Texts that aren't complete JSON (also with NaN, trailing text, or half a string), null and empty texts have no triples. Of a
 name repeated in an object the last holds, as most readers have it. Fractions keep the text as written.
@@ -16,7 +16,8 @@ import gc
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -169,18 +170,38 @@ def _json(value) -> str:
     return "".join(out)
 
 
-def triples(value) -> Iterator[tuple[str, tuple[int, ...], str, str | None]]:
-    """(path, ordinals, kind, text) of every object, array and scalar in document order. Path: names joined by dots, [] for an array
-    element; ordinals: the positions from 0 in the arrays on the way."""
-    todo = [("$", (), value)]
+# Names that would make a path ambiguous, or that UTF-8 can't hold, are written as JSON strings.
+_UNCLEAR = re.compile('[.\\[\\]"\ud800-\udfff]|^\\$$')
+
+
+def _name(name: str) -> str:
+    return json.dumps(name) if _UNCLEAR.search(name) else name
+
+
+def _nodes(value) -> Iterator[tuple[str, tuple[int, ...], object, int, str | None]]:
+    """(path, ordinals, value, number of the enclosing node, name) of every object, array and scalar, numbered from 0 in document order."""
+    todo = [("$", (), value, -1, None)]
+    number = -1
     while todo:
-        path, ordinals, x = todo.pop()
+        node = todo.pop()
+        number += 1
+        yield node
+        path, ordinals, x, _, _ = node
+        if type(x) is dict:
+            todo.extend([(f"{path}.{_name(k)}", ordinals, v, number, k) for k, v in reversed(x.items())])
+        elif type(x) is list:
+            path += "[]"
+            todo.extend([(path, (*ordinals, i), x[i], number, None) for i in range(len(x) - 1, -1, -1)])
+
+
+def triples(value) -> Iterator[tuple[str, tuple[int, ...], str, str | None]]:
+    """(path, ordinals, kind, text) of every object, array and scalar in document order. Path: names joined by dots (those with dots,
+    brackets or quotes as JSON strings), [] for an array element; ordinals: the positions from 0 in the arrays on the way."""
+    for path, ordinals, x, _, _ in _nodes(value):
         if isinstance(x, dict):
             yield path, ordinals, "object", None
-            todo.extend((f"{path}.{k}", ordinals, v) for k, v in reversed(x.items()))
         elif isinstance(x, list):
             yield path, ordinals, "array", None
-            todo.extend((path + "[]", (*ordinals, i), v) for i, v in zip(range(len(x) - 1, -1, -1), reversed(x), strict=True))
         else:
             kind = "null" if x is None else "boolean" if x is True or x is False else "number" if isinstance(x, (_Number, int)) else "string"
             yield path, ordinals, kind, as_text(x)
@@ -222,7 +243,7 @@ class Table:
 
     key: ``id`` takes the object's field of that name as the row's key, None its position in the array as written.
     parents: tables whose rows may be the parent; the nearest row around counts. None: the record itself is the parent.
-    columns: paths of scalars below the object, as ``fields.status.name``.
+    columns: paths of scalars below the object, as ``fields.status.name``, that ``table_of`` makes columns of.
     """
 
     name: str
@@ -234,16 +255,10 @@ class Table:
     columns: tuple[str, ...] = ()
 
 
-def _pick(x: dict, path: list[str]) -> str | None:
-    for name in path:
-        x = x.get(name) if isinstance(x, dict) else None
-    return as_text(x)
-
-
-def rows_of(value, record: str | None, tables: tuple[Table, ...]) -> list[tuple[str, str | None, str | None, int, list[str | None]]]:
-    """(table, parent key, key, position, columns) of every object of the tables in one record."""
-    by_field = {t.held_by: (t, [c.split(".") for c in t.columns]) for t in tables if t.held_by is not None}
-    by_names = [(t, t.having[0], t.having[1:], t.but_not, [c.split(".") for c in t.columns]) for t in tables if t.held_by is None]
+def rows_of(value, record: str | None, tables: tuple[Table, ...]) -> list[tuple[str, str | None, str | None, int]]:
+    """(table, parent key, key, position) of every object of the tables in one record, without reading values: the links of ``pivot``."""
+    by_field = {t.held_by: t for t in tables if t.held_by is not None}
+    by_names = [(t, t.having[0], t.having[1:], t.but_not) for t in tables if t.held_by is None]
     out: list = []
     # x; the field that holds it; its position in that field's array (0 if it isn't in one); the nearest row of each table around it, innermost last
     todo = [(value, None, 0, ())]
@@ -263,11 +278,10 @@ def rows_of(value, record: str | None, tables: tuple[Table, ...]) -> list[tuple[
             continue
         own = around
         if name in by_field:
-            t, paths = by_field[name]
-            own = _add(out, t, x, record, position, around, own, paths)
-        for t, first, others, but_not, paths in by_names:
+            own = _add(out, by_field[name], x, record, position, around, own)
+        for t, first, others, but_not in by_names:
             if first in x and name not in but_not and all(h in x for h in others):
-                own = _add(out, t, x, record, position, around, own, paths)
+                own = _add(out, t, x, record, position, around, own)
         for k, v in x.items():
             kind = type(v)
             if kind is dict or kind is list:
@@ -275,7 +289,7 @@ def rows_of(value, record: str | None, tables: tuple[Table, ...]) -> list[tuple[
     return out
 
 
-def _add(out: list, t: Table, x: dict, record, position: int, around: tuple, own: tuple, paths: list) -> tuple:
+def _add(out: list, t: Table, x: dict, record, position: int, around: tuple, own: tuple) -> tuple:
     key = str(position) if t.key is None else as_text(x.get(t.key))
     parent = record
     if t.parents is not None:
@@ -284,18 +298,84 @@ def _add(out: list, t: Table, x: dict, record, position: int, around: tuple, own
             if n in t.parents:
                 parent = k
                 break
-    out.append((t.name, parent, key, position, [_pick(x, p) for p in paths]))
+    out.append((t.name, parent, key, position))
     # At most one entry per table, so the way back stays short at any depth.
     return (*[e for e in own if e[0] != t.name], (t.name, key))
 
 
-def flat_tables(df: DataFrame, body: str, record: str, keep: list[str], tables: tuple[Table, ...], columns: bool = True) -> DataFrame:
-    """The rows of all tables: (keep..., table, parent_key, row_key, position, columns map<string,string>).
+#: Table of the values of a record that stand in no other row, and column of a value that is a row by itself.
+RECORD, ITSELF = "record", "$"
+
+
+class _Row:
+    """A row under way. path, depth: where its object or value stands, and in how many arrays."""
+
+    __slots__ = ("columns", "depth", "key", "number", "parent", "parent_number", "path", "position", "table", "wanted")
+
+    def __init__(self, table, parent, key, position, number, parent_number, path, depth, wanted):
+        self.table, self.parent, self.key, self.position, self.number, self.parent_number = table, parent, key, position, number, parent_number
+        self.path, self.depth, self.wanted, self.columns = path, depth, wanted, {}
+
+
+def pivot(value, record: str | None, tables: tuple[Table, ...]) -> list[_Row]:
+    """The triples of a record, each scalar at its path in the row of its repeated ancestor, in document order.
+
+    Rows are the objects of the tables; every other array element that is no array, in a table named by the row that encloses it and the
+    path from there (``issue.fields.labels[]``; a scalar stands in the column ITSELF, the key is the positions from that row on); and
+    the record for what is left, unless it is such an object itself. An object of two tables has a row with the same columns in each.
+    """
+    by_field = {t.held_by: t for t in tables if t.held_by is not None}
+    by_names = [(t, t.having[0], t.having[1:], t.but_not) for t in tables if t.held_by is None]
+    out: list[_Row] = []
+    # Of every object and array: the field that holds it if it is an array, the rows it belongs to, the nearest row of each table around, whether it is an array.
+    inside: dict[int, tuple] = {}
+    for number, (path, ordinals, x, up, name) in enumerate(_nodes(value)):
+        held, owners, around, element = inside[up] if up >= 0 else (None, (), (), False)
+        kind = type(x)
+        if kind is not dict and kind is not list and not element and up >= 0:
+            text = as_text(x)
+            for row in owners:
+                row.columns[path[len(row.path) + 1 :]] = text
+            continue
+        if element:
+            name = held
+        own, nearer = [], around
+        if kind is dict:
+            position = ordinals[-1] if element else 0
+            of = [by_field[name]] if name in by_field else []
+            of += [t for t, first, others, but_not in by_names if first in x and name not in but_not and all(h in x for h in others)]
+            for t in of:
+                key = str(position) if t.key is None else as_text(x.get(t.key))
+                parent, parent_number = record if t.parents is None else None, None
+                for n, k, m in reversed(around) if t.parents is not None else ():
+                    if n in t.parents:
+                        parent, parent_number = k, m
+                        break
+                own.append(_Row(t.name, parent, key, position, number, parent_number, path, len(ordinals), True))
+                nearer = (*[e for e in nearer if e[0] != t.name], (t.name, key, number))
+        if not own and up < 0:
+            own = [_Row(RECORD, None, record, 0, number, None, path, 0, False)]
+        elif not own and element and kind is not list:
+            over = owners[-1]
+            own = [_Row(over.table + path[len(over.path) :], over.key, ".".join(map(str, ordinals[over.depth :])), ordinals[-1], number, over.number, path, len(ordinals), False)]
+        out += own
+        if kind is dict or kind is list:
+            inside[number] = (None if element else name, tuple(own) or owners, nearer, kind is list)
+        else:
+            own[0].columns[ITSELF] = as_text(x)
+    return out
+
+
+def flat_tables(df: DataFrame, body: str, record: str, keep: list[str], tables: tuple[Table, ...], columns: bool = True, whole: bool = False) -> DataFrame:
+    """The rows of all tables: (keep..., table, parent_key, row_key, position, columns map<string,string>), with every scalar below a row and
+    outside other rows at its path in the map.
 
     record: column with the record's own key, the parent of rows whose table has parents None. Without ``columns`` only the links.
+    whole: also the rows of ``pivot`` outside the tables, so that every scalar of a record has a place; and row, parent_row: numbers
+    of the row and its parent within the record, which link rows without keys too.
     """
-    names = {t.name: list(t.columns) for t in tables}
-    used = tables if columns else tuple(replace(t, columns=()) for t in tables)
+    if whole and not columns:
+        raise ValueError("the whole record needs the columns")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,31 +383,37 @@ def flat_tables(df: DataFrame, body: str, record: str, keep: list[str], tables:
             records = batch.column(len(keep) + 1).to_pylist()
             for i, text in enumerate(batch.column(len(keep)).to_pylist()):
                 with _no_collector():
-                    whole, value = decode(text)
-                    if whole and isinstance(value, (dict, list)):
-                        found = rows_of(value, records[i], used)
+                    complete, value = decode(text)
+                    if complete and (whole or isinstance(value, (dict, list))):
+                        if columns:
+                            found = [(r.table, r.parent, r.key, r.position, r.columns, r.number, r.parent_number) for r in pivot(value, records[i], tables) if whole or r.wanted]
+                        else:
+                            found = rows_of(value, records[i], tables)
                         at += [i] * len(found)
                         rows += found
                     value = None
-                if len(at) > 50_000:
+                if len(at) > (20_000 if columns else 50_000):
                     yield _batch(batch, at, rows)
                     at, rows = [], []
             if at:
                 yield _batch(batch, at, rows)
 
     def _batch(batch, at, rows):
-        table, parent, key, position, values = zip(*rows, strict=True)
+        table, parent, key, position, *more = zip(*rows, strict=True)
         take = pa.array(at, pa.int32())
         out = [batch.column(k).take(take) for k in range(len(keep))]
         out += [pa.array(table, pa.string()), pa.array(parent, pa.string()), pa.array(key, pa.string()), pa.array(position, pa.int32())]
         if columns:
-            maps = [list(zip(names[t], v, strict=True)) for t, v in zip(table, values, strict=True)]
-            out.append(pa.array(maps, pa.map_(pa.string(), pa.string())))
-        return pa.RecordBatch.from_arrays(out, names=[*keep, "table", "parent_key", "row_key", "position", *["columns"] * columns])
+            ends = list(accumulate((len(c) for c in more[0]), initial=0))
+            names, values = [n for c in more[0] for n in c], [v for c in more[0] for v in c.values()]
+            out.append(pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string())))
+        if whole:
+            out += [pa.array(more[1], pa.int32()), pa.array(more[2], pa.int32())]
+        return pa.RecordBatch.from_arrays(out, names=[*keep, "table", "parent_key", "row_key", "position", *["columns"] * columns, *["row", "parent_row"] * whole])
 
     kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{body}`").cast("string").alias("__body"), F.col(f"`{record}`").cast("string").alias("__record"))
     fields = "".join(f"`{c}` {t}, " for c, t in kept.drop("__body", "__record").dtypes)
-    return kept.mapInArrow(read, f"{fields}table string, parent_key string, row_key string, position int" + ", columns map<string,string>" * columns)
+    return kept.mapInArrow(read, f"{fields}table string, parent_key string, row_key string, position int" + ", columns map<string,string>" * columns + ", row int, parent_row int" * whole)
 
 
 def table_of(rows: DataFrame, table: Table, keep: list[str]) -> DataFrame:

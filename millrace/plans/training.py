@@ -196,16 +196,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*REQUEST, F.col("table").alias("child_kind"), F.col("parent_key").alias("parent_id"), F.col("row_key").alias("child_id")).distinct()
 
 
+def p5_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the flat tables with all their columns: every scalar of every complete body stands in one of them."""
+    bodies = table(spark, d, "request_queue").select(*REQUEST, "seq", "response_body").where("response_body is not null")
+    return nested.flat_tables(bodies, "response_body", "request_id", [*REQUEST, "seq"], BODY_TABLES, whole=True)
+
+
 def p5_tables(spark: SparkSession, d: str) -> DataFrame:
-    """How many rows and distinct contents each flat table has, over all columns."""
-    bodies = table(spark, d, "request_queue").select(*REQUEST, "response_body").where("response_body is not null")
-    rows = nested.flat_tables(bodies, "response_body", "request_id", REQUEST, BODY_TABLES)
+    """How many rows each flat table has, and how many values that aren't null, over all columns."""
     filled = F.size(F.map_filter("columns", lambda k, v: v.isNotNull()))
-    return rows.groupBy("table").agg(F.count(F.lit(1)).alias("rows"), F.sum(filled).alias("filled"), F.count("row_key").alias("with_key"), F.count("parent_key").alias("with_parent"))
+    return p5_rows(spark, d).groupBy("table").agg(F.count(F.lit(1)).alias("rows"), F.sum(filled).alias("filled"), F.count("row_key").alias("with_key"), F.count("parent_key").alias("with_parent"))
 
 
 QUERIES = {
     "p1_found": p1_found, "p1_runs": p1_runs, "p2_percentiles": p2_percentiles, "p2_slices": p2_slices, "p3_found": p3_found, "p3_normalised": p3_normalised,
-    "p4_found": p4_found, "p4_key_results": p4_key_results, "p4_skew_join": p4_skew_join, "p5_found": p5_found, "p5_tables": p5_tables,
+    "p4_found": p4_found, "p4_key_results": p4_key_results, "p4_skew_join": p4_skew_join, "p5_found": p5_found, "p5_rows": p5_rows, "p5_tables": p5_tables,
 }
 SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_skew_join": P4_JOIN_SQL}

@@ -97,3 +97,38 @@ def test_triples_of_a_table(spark):
         ("$", (), "object", None), ("$.a", (), "array", None), ("$.a[]", (0,), "object", None), ("$.a[].b", (0,), "number", "1"),
         ("$.a[]", (1,), "object", None), ("$.a[].b", (1,), "null", None), ("$.c", (), "object", None),
     }
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON)
+def test_every_scalar_has_a_place_in_the_tables(value):
+    value = nested._parse(json.dumps({"key": 1, "a.b": 2, "fields": {"a": {"b": 3}, "a.b": 4}, "comments": value}))
+    found = nested.pivot(value, "r", BODY_TABLES)
+    # An object of two tables has the same columns in both.
+    once = list({(r.number, k): v for r in found for k, v in r.columns.items()}.values())
+    assert sorted(once, key=str) == sorted((v for _, _, k, v in nested.triples(value) if k not in ("object", "array")), key=str)
+    assert sorted(((r.table, r.parent, r.key, r.position) for r in found if r.wanted), key=str) == sorted(nested.rows_of(value, "r", BODY_TABLES), key=str)
+
+
+def test_columns_that_nobody_listed(spark):
+    issue = {"id": 7, "key": "A-1", "fields": {"labels": ["x", "y"], "parts": [{"name": "p", "ways": [[1], [2, None]]}], "status": {"statusCategory": {"id": 3}}, "customfield_1": True}}
+    df = spark.createDataFrame([("r1", json.dumps({"total": 1, "issues": [issue]})), ("r2", '"accepted"'), ("r3", "{")], "req string, body string")
+    got = {(r.req, r.table, r.parent_key, r.row_key, r.row, r.parent_row): r.columns for r in nested.flat_tables(df, "body", "req", ["req"], BODY_TABLES, whole=True).collect()}
+    kept = {k[:4]: v for k, v in got.items()}
+    assert kept == {
+        ("r1", "record", None, "r1"): {"total": "1"}, ("r2", "record", None, "r2"): {"$": "accepted"},
+        ("r1", "issue", "r1", "7"): {"id": "7", "key": "A-1", "fields.status.statusCategory.id": "3", "fields.customfield_1": "true"},
+        ("r1", "issue.fields.labels[]", "7", "0"): {"$": "x"}, ("r1", "issue.fields.labels[]", "7", "1"): {"$": "y"}, ("r1", "issue.fields.parts[]", "7", "0"): {"name": "p"},
+        ("r1", "issue.fields.parts[].ways[][]", "0", "0.0"): {"$": "1"}, ("r1", "issue.fields.parts[].ways[][]", "0", "1.0"): {"$": "2"}, ("r1", "issue.fields.parts[].ways[][]", "0", "1.1"): {"$": None},
+    }
+    at = {k[4]: k for k in got if k[0] == "r1"}
+    assert all(at[k[5]][3] == k[2] for k in at.values() if k[5] is not None)
+
+
+def test_rows_of_the_query_hold_all_scalars(spark, small):
+    from millrace.plans.training import REQUEST, p5_rows
+    from millrace.sources.tables import table
+
+    bodies = table(spark, small, "request_queue").select(*REQUEST, "response_body")
+    scalars = nested.path_triples(bodies, "response_body", REQUEST).where("kind not in ('object', 'array')").count()
+    assert scalars and p5_rows(spark, small).agg(F.sum(F.size("columns"))).first()[0] == scalars
