@@ -1,9 +1,9 @@
 """Filling containers of a fixed number of tokens with texts that belong together.
 
 Texts come in shards (consecutive documents of a task, up to SHARD of them, fewer where they are very long), each with an inverted index of its own. In decreasing order
-of size, every unused document seeds a container; BM25 names its nearest unused neighbours, and among the NEAREST that fit
-the largest is taken, again and again. Neighbours alone leave gaps, so a gap is then filled with the largest unused items of the shard
-that fit, related or not. A text longer than the capacity is cut into full containers and a rest that is packed like any other
+of size, every unused document seeds a container; BM25 ranks all unused documents that share a term with it, and among the NEAREST that fit
+the largest is taken, again and again until none of them fits. Neighbours alone leave gaps, so a gap is then filled with the largest unused
+items of the shard that fit. A text longer than the capacity is cut into full containers and a rest that is packed like any other
 item; no other text is cut.
 
 Everything happens where the texts are read: nothing is shuffled, a task holds one shard, and all capacities are served from
@@ -27,9 +27,10 @@ from millrace.llm.tokens import VOCABULARY, counter
 #: Documents to a shard, and to an index; and the entries of an index at most, which bounds a task's memory where texts are very long.
 SHARD = 4096
 ENTRIES = 3_000_000
-#: Neighbours looked at for each place in a container, and terms (the rarest) a seed asks for.
+#: Neighbours among which the largest is taken, for each place in a container.
 NEAREST = 24
-TERMS = 24
+#: Terms a seed asks for at most: all.
+TERMS = float("inf")
 # The usual parameters of BM25.
 K1, B = 1.2, 0.75
 
@@ -60,11 +61,9 @@ class Index:
         self.doc, self.weight, self.df = doc[order], weight[order].astype(np.float32), df
 
     def scores(self, seed: int) -> np.ndarray:
-        """Scores of all documents for the seed's rarest terms that others have too."""
+        """Scores of all documents for all the seed's terms that others have too."""
         terms = self.terms[seed]
         terms = terms[self.df[terms] > 1]
-        if len(terms) > TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], TERMS)[:TERMS]]
         if not len(terms):
             return np.zeros(self.n)
         spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
@@ -111,14 +110,15 @@ def pack(sizes: np.ndarray, capacity: int, index: Index) -> list[list[int]]:
             scores = index.scores(seed)
             scores[~free | (sizes > room)] = 0
             near = np.flatnonzero(scores)
-            if len(near) > NEAREST:
-                near = near[np.argpartition(-scores[near], NEAREST)[:NEAREST]]
-            # Of the nearest, the largest that still fits; of equal ones the nearer.
-            for i in near[np.lexsort((near, -scores[near], -sizes[near]))]:
-                if sizes[i] <= room:
-                    free[i] = False
-                    inside.append(int(i))
-                    room -= int(sizes[i])
+            near = near[np.argsort(-scores[near], kind="stable")]
+            # Of the nearest that still fit, the largest; of equal ones the nearer.
+            while room and len(near := near[sizes[near] <= room]):
+                at = int(np.argmax(sizes[near[:NEAREST]]))
+                i = int(near[at])
+                free[i] = False
+                inside.append(i)
+                room -= int(sizes[i])
+                near = np.delete(near, at)
         while room and (i := unused.largest(room)) is not None:
             free[i] = False
             inside.append(i)

@@ -201,3 +201,17 @@ def test_queries_over_whole_tables(spark, small):
 
     for name, q in QUERIES.items():
         assert q(spark, small).count() > 0, name
+
+
+def test_a_seed_asks_for_all_its_terms():
+    rare = [f"rare{i}" for i in range(30)]
+    bags = [Counter([*rare, "often"]), *[Counter([r]) for r in rare], *[Counter(["often"])] * 40, Counter(["other"])]
+    scores = packing.Index(bags).scores(0)
+    assert (scores[:-1] > 0).all() and scores[-1] == 0
+
+
+def test_neighbours_come_before_any_other_text():
+    # 60 related texts of one token, 20 unrelated of two: the seed's container has room for the related ones only.
+    bags = [Counter(["a", "b"]), *[Counter(["a"])] * 60, *[Counter([f"x{i}"]) for i in range(20)]]
+    first = packing.pack(np.array([40, *[1] * 60, *[2] * 20]), 100, packing.Index(bags))[0]
+    assert sorted(first) == list(range(61))
