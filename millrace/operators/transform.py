@@ -2,7 +2,8 @@
 
 Three kinds are told apart by their mark: ``record`` (dict to dict, or None to drop the row), ``batch`` (a list of dicts to a list of
 dicts, any number) and ``frame`` (DataFrame to DataFrame, which stays on the JVM). Records and batches run in Arrow batches
-on the executors and need an output schema: given as DDL, declared at registration, or inferred from at most SAMPLE rows.
+on the executors and need an output schema: given as DDL, declared at registration, or inferred from at most SAMPLE rows;
+then a field that those don't show raises.
 """
 
 from __future__ import annotations
@@ -98,6 +99,7 @@ def transform(df: DataFrame, name: str, schema: str = "", row_preserving: bool =
         return t.function(df)
     out = _schema(df, t, schema)
     columns = out.names
+    known = None if schema or t.schema else set(columns)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out)
@@ -109,6 +111,8 @@ def transform(df: DataFrame, name: str, schema: str = "", row_preserving: bool =
             rows = _run(t, batch.to_pylist())
             if row_preserving and len(rows) != batch.num_rows:
                 raise ValueError(f"transform '{name}' must keep the number of rows: {batch.num_rows} became {len(rows)}")
+            if known is not None and (late := {k for r in rows for k in r if k not in known}):
+                raise ValueError(f"transform '{name}' returns fields that the first {SAMPLE} rows don't show: {sorted(late)}; declare function.schema")
             if rows:
                 yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in columns} for r in rows], schema=arrow)
 

@@ -211,3 +211,16 @@ def test_paths():
     now = datetime(2025, 3, 4, 5, 6, 7, tzinfo=UTC)
     assert sink.materialize("a/{date}/{ts}-{date}.csv", "daily", now) == f"a/2025-03-04/{int(now.timestamp())}-2025-03-04.csv"
     assert sink.materialize("{date}", "hourly", now) == "2025-03-04-05" and sink.materialize("{date}", "weekly", now) == "2025-03-04"
+
+
+def test_a_late_field_of_an_inferred_schema_raises(spark):
+    from millrace.operators import transform
+
+    f = lambda r: {"id": r["id"]} | ({"late": 1} if r["id"] >= 150 else {})
+    transform.register("late_field")(f)
+    transform.register("late_field_declared", schema="id long, late long")(f)
+    df = spark.range(200).coalesce(1)
+    with pytest.raises(Exception, match="late"):
+        transform.transform(df, "late_field").count()
+    assert transform.transform(df, "late_field_declared").where("late = 1").count() == 50
+    assert transform.transform(df.limit(100), "late_field").columns == ["id"]
