@@ -142,7 +142,9 @@ class Lowering:
         f = step.function
         df = self._input(step)
         if df.columns == ["body"] or {"body", "status_code", "request_id"} <= set(df.columns):
-            df = _records(df)
+            df, rest = _records(df)
+            if rest is not None:
+                self.dead_letters[step.id] = rest
         self.frames[step.id] = transform.transform(df, f.entrypoint, f.schema, f.row_preserving, step.parallel)
 
     def _filter(self, step: spec.Step) -> None:
@@ -182,15 +184,22 @@ class Lowering:
         return sink.write(df, self.registry.get(step.connection).uri(path), step.output.format, single_file)
 
 
-def _records(responses: DataFrame) -> DataFrame:
-    """Responses whose bodies are JSON objects as rows of those objects' fields, by the merged schema of all bodies. Bodies that
-    are no objects have no record."""
-    bodies = responses.select("body").where(F.ltrim("body").startswith("{"))
+def _records(responses: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Responses whose bodies are JSON objects, or arrays of them, as rows of those objects' fields, by the merged schema of all; and
+    the responses whose body, or element of it, is no object. Without any object the responses stay as they are."""
+    text, value = F.btrim("body", F.lit(" \t\r\n")), F.expr("try_parse_json(body)")
+    element = lambda x: F.struct(F.coalesce(F.to_json(x), F.lit("null")).alias("text"), F.coalesce(F.schema_of_variant(x).startswith("OBJECT<"), F.lit(False)).alias("object"))
+    # A name that is repeated makes no variant, but a map.
+    whole = F.array(F.struct(text.alias("text"), (text.startswith("{") & F.from_json(text, "map<string,string>").isNotNull()).alias("object")))
+    parts = F.when(F.schema_of_variant(value).startswith("ARRAY<"), F.transform(value.cast("array<variant>"), element)).otherwise(whole)
+    each = responses.where("body is not null").withColumn("__part", F.explode(parts))
+    bodies = each.where("__part.object").select(F.col("__part.text").alias("body"))
     found = bodies.agg(F.expr("schema_of_variant_agg(try_parse_json(body))").alias("s")).first()["s"]
     if not found or not found.startswith("OBJECT<") or found == "OBJECT<>":
-        return responses
+        return responses, None
     schema = re.sub(r"\bVOID\b", "STRING", re.sub(r"\bOBJECT<", "STRUCT<", found))
-    return bodies.select(F.from_json("body", schema).alias("r")).where("r is not null").select("r.*")
+    rest = each.where("not __part.object").withColumn("body", F.col("__part.text")).drop("__part")
+    return bodies.select(F.from_json("body", schema).alias("r")).where("r is not null").select("r.*"), rest
 
 
 def run(spark: SparkSession, document: str | dict | spec.Pipeline, dry_run: bool = False, single_file: bool = False, **more) -> Report:

@@ -194,3 +194,14 @@ def test_queries_match_their_sql(spark, small):
         if not ok:
             wrong.append((name, why))
     assert not wrong
+
+
+def test_bodies_of_all_forms_become_records_or_dead_letters(spark):
+    from millrace.plans.engine import _records
+
+    bodies = ['{"a":1}', '\n\t{"a":2,"b":{"c":"x"}}', '[{"a":3},7,"{}",{"a":4},null]', '\r\n [{"a":5}] ', "[]", '{"a":6', "no", None, '{"a":7,"a":8}', '[[{"a":9}]]']
+    got, rest = _records(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert sorted(r.a for r in got.collect()) == [1, 2, 3, 4, 5, 8] and got.where("b.c = 'x'").count() == 1
+    assert sorted(r.body for r in rest.collect()) == sorted(["7", '"{}"', "null", '{"a":6', "no", '[{"a":9}]'])
+    same, none = _records(spark.createDataFrame([("no",), ("[1]",)], "body string"))
+    assert none is None and same.count() == 2
