@@ -43,10 +43,8 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that are natural prose: those that don't break the rule on running sentences."""
-    shares = quality.prose_shares(table(spark, d, "documents"), "text", ["doc_id"])
-    rule = [r for r in quality.RULES if r[1] == "prose_share"]
-    return shares.where(F.size(quality.reasons(tuple(rule), empty=False)) == 0).select("doc_id").distinct()
+    """Documents that are natural prose: of all that p8_quality says of them, those without the reason on running sentences."""
+    return p8_quality(spark, d).where(~F.array_contains("reasons", "not_running_prose")).select("doc_id").distinct()
 
 
 def p8_quality(spark: SparkSession, d: str) -> DataFrame:

@@ -215,3 +215,12 @@ def test_neighbours_come_before_any_other_text():
     bags = [Counter(["a", "b"]), *[Counter(["a"])] * 60, *[Counter([f"x{i}"]) for i in range(20)]]
     first = packing.pack(np.array([40, *[1] * 60, *[2] * 20]), 100, packing.Index(bags))[0]
     assert sorted(first) == list(range(61))
+
+
+def test_prose_is_found_among_all_statistics(spark, small):
+    from millrace.llm.queries import p8_found, p8_quality
+
+    found = p8_found(spark, small)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f in plan for f in quality.FIELDS) and all(rule[0] in plan for rule in quality.RULES)
+    assert rows(found) == rows(p8_quality(spark, small).where("prose_share > 0.5").select("doc_id"))
