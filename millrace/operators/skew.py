@@ -100,15 +100,15 @@ def place(df: DataFrame, key: str, plan: Plan, spread: Column | None = None) ->
 def balanced_aggregate(df: DataFrame, key: str, partial: dict[str, Column], final: dict[str, Column], plan: Plan) -> DataFrame:
     """Aggregates by key: ``partial`` per key and shard in the tasks of the plan, then ``final`` over the shards of a key.
 
-    Both are combined before they are shuffled, so what travels is a row per key, shard and map task, not the rows.
+    The rows travel to their tasks, so df should have no columns but those needed; of the shards only a row each travels again.
     """
-    placed = place(df, key, plan)
-    first = placed.groupBy(key, "__shard").agg(*[c.alias(n) for n, c in partial.items()])
+    placed = to_tasks(place(df, key, plan), plan)
+    first = placed.groupBy("__task", key, "__shard").agg(*[c.alias(n) for n, c in partial.items()])
     return first.groupBy(key).agg(*[c.alias(n) for n, c in final.items()])
 
 
 def to_tasks(placed: DataFrame, plan: Plan) -> DataFrame:
-    """Sends placed rows to exactly the partition that the plan says, for joins and for per-key work that can't be combined."""
+    """Sends placed rows to exactly the partition that the plan says."""
     return placed.repartitionById(plan.tasks, F.col("__task"))
 
 

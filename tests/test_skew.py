@@ -71,3 +71,12 @@ def test_empty_and_ties(spark):
     assert skew.key_shares(none, ["a", "b"]).count() == 0
     df = spark.createDataFrame([("x", "1"), ("y", "1"), (None, "1"), ("x", None)], "a string, b string")
     assert rows(skew.key_shares(df, ["a", "b"], 3)) == [("a", "x", 2, 4), ("a", "y", 1, 4), ("b", "1", 3, 4)]
+
+
+def test_aggregates_run_in_the_tasks_of_the_plan(spark):
+    df = spark.createDataFrame(data(), "k string, v int")
+    plan = skew.make_plan(4000, {"hot": 1600}, 6)
+    got = skew.balanced_aggregate(df, "k", {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, plan)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    # One shuffle by the plan and one of the shards' results.
+    assert text.count("shufflepartitionidpassthrough") == 1 and text.count("Exchange hashpartitioning") == 1
