@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.session import shared_dir
+from millrace.functions.session import cut, shared_dir
 from millrace.functions.text import folded, trimmed
 from millrace.operators import incremental, nested, percentiles, skew, timestamps
 from millrace.sources.tables import table
@@ -68,17 +68,27 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return got.select("grouping", "assignee", "status", "n_values", "p", F.round("value", 6).alias("value"), F.lit(0.0).alias("error_bound"))
 
 
-def p2_slices(spark: SparkSession, d: str) -> DataFrame:
-    """The same per status from states made of separate slices of the rows (by the project in the key) and merged."""
+def _slices(spark: SparkSession, d: str, groupings: list[list[str]]) -> DataFrame:
     rows = table(spark, d, "jira_parser")
     first = F.coalesce(F.upper(trimmed(F.col("key"))) < "M", F.lit(False))
     slices = [rows.where(first), rows.where(~first)]
-    whole = percentiles.merge(*[percentiles.state(s, [["status"]], "cycle_time_days") for s in slices])
-    got = percentiles.bounds(whole, [["status"]], PROBS)
-    exact = percentiles.percentiles(slices, [["status"]], "cycle_time_days", PROBS)
+    states = [cut(percentiles.state(s, groupings, "cycle_time_days")) for s in slices]
+    keys = list(dict.fromkeys(c for g in groupings for c in g))
+    got = percentiles.bounds(percentiles.merge(*states), groupings, PROBS).alias("b")
+    exact = percentiles.percentiles(slices, groupings, "cycle_time_days", PROBS, states=states).alias("e")
     inside = (F.col("value") >= F.col("lower")) & (F.col("value") <= F.col("upper"))
-    both = got.join(exact.withColumnRenamed("status", "s2"), (got.status.eqNullSafe(F.col("s2"))) & (got.p == exact.p)).select(got.status, got.n_values, got.p, F.round("value", 6).alias("value"), inside.alias("within_bound"))
-    return both
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ["grouping", *keys, "p"]]
+    return got.join(exact, same).select("b.grouping", *[f"b.{c}" for c in keys], "b.n_values", "b.p", F.round("value", 6).alias("value"), inside.alias("within_bound"))
+
+
+def p2_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The same per status from stored states of separate slices of the rows (by the project in the key), merged."""
+    return _slices(spark, d, [["status"]]).drop("grouping")
+
+
+def p2_slices_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same per assignee, per status and per both."""
+    return _slices(spark, d, GROUPINGS)
 
 
 _P2 = " UNION ALL ".join(f"SELECT {p} AS p" for p in PROBS)
@@ -95,6 +105,8 @@ SELECT status, n_values, unnest({PROBS}) AS p, round(unnest(qs), 6) AS value, tr
   SELECT status, count(*) AS n_values, quantile_cont(cycle_time_days, {PROBS}) AS qs FROM jira_parser WHERE isfinite(cycle_time_days) GROUP BY status)
 """
 
+P2_SLICES_ALL_SQL = f'SELECT "grouping", assignee, status, n_values, p, value, true AS within_bound FROM ({P2_SQL})'
+
 # The two forms that TESTDATA.md leaves out.
 _PLAIN = {"jira_parser": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\+0000$", "request_queue": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"}
 
@@ -209,7 +221,7 @@ def p5_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_runs": p1_runs, "p2_percentiles": p2_percentiles, "p2_slices": p2_slices, "p3_found": p3_found, "p3_normalised": p3_normalised,
+    "p1_found": p1_found, "p1_runs": p1_runs, "p2_percentiles": p2_percentiles, "p2_slices": p2_slices, "p2_slices_all": p2_slices_all, "p3_found": p3_found, "p3_normalised": p3_normalised,
     "p4_found": p4_found, "p4_key_results": p4_key_results, "p4_skew_join": p4_skew_join, "p5_found": p5_found, "p5_rows": p5_rows, "p5_tables": p5_tables,
 }
-SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_skew_join": P4_JOIN_SQL}
+SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p2_slices_all": P2_SLICES_ALL_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_skew_join": P4_JOIN_SQL}

@@ -65,3 +65,15 @@ def test_states_of_slices_combine(spark):
 def test_bad_percentile(spark):
     with pytest.raises(ValueError):
         pc.percentiles([spark.createDataFrame([], "g string, x double")], [["g"]], "x", [1.5])
+
+
+def test_slices_combine_for_all_groupings(spark, small, monkeypatch):
+    from compare import same
+    from millrace.plans import training
+
+    passed = []
+    real = pc.percentiles
+    monkeypatch.setattr(training.percentiles, "percentiles", lambda *a, **k: passed.append(k.get("states")) or real(*a, **k))
+    ok, why = same(training.p2_slices_all(spark, small), training.SQL["p2_slices_all"], small)
+    assert ok, why
+    assert passed[0] and len(passed[0]) == 2
