@@ -2,8 +2,8 @@
 
 Three kinds are told apart by their mark: ``record`` (dict to dict, or None to drop the row), ``batch`` (a list of dicts to a list of
 dicts, any number) and ``frame`` (DataFrame to DataFrame, which stays on the JVM). Records and batches run in Arrow batches
-on the executors and need an output schema: given as DDL, declared at registration, or inferred from at most SAMPLE rows;
-then a field that those don't show raises.
+on the executors and need an output schema: given as DDL, declared at registration, or inferred from all rows, which runs the
+function over them once more; a function that then returns other fields raises.
 """
 
 from __future__ import annotations
@@ -15,11 +15,9 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows at most that schema inference looks at.
-SAMPLE = 100
-
 
 @dataclass(frozen=True)
 class Transform:
@@ -77,19 +75,39 @@ def _run(t: Transform, rows: list[dict]) -> list[dict]:
 def _schema(df: DataFrame, t: Transform, given: str) -> T.StructType:
     if given or t.schema:
         return T.StructType.fromDDL(given or t.schema)
-    sample = [r.asDict(recursive=True) for r in df.limit(SAMPLE).collect()]
-    out = _run(t, sample)
-    if not out:
-        return df.schema
-    return df.sparkSession.createDataFrame(out, samplingRatio=None).schema if all(any(o.get(k) is not None for o in out) for k in out[0]) else _with_nulls(df, out)
+    if df.isStreaming:
+        raise ValueError(f"transform '{t.name}' needs function.schema on a stream")
+    return inferred(df, t)
+
+
+def inferred(df: DataFrame, t: Transform) -> T.StructType:
+    """The schema of all rows that the function returns, in a pass of its own; no rows: that of ``df``.
 
+    A task sends one small schema. Fields come in the order in which the partitions first show them, numbers widen, and a field of nulls only is text.
+    """
 
-def _with_nulls(df: DataFrame, out: list[dict]) -> T.StructType:
-    # Columns of nulls only are taken for text.
-    names = list(dict.fromkeys(k for o in out for k in o))
-    known = [k for k in names if any(o.get(k) is not None for o in out)]
-    kinds = {f.name: f.dataType for f in df.sparkSession.createDataFrame([{k: o.get(k) for k in known} for o in out]).schema} if known else {}
-    return T.StructType([T.StructField(k, kinds.get(k, T.StringType())) for k in names])
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for batch in batches:
+            rows = _run(t, batch.to_pylist())
+            names = dict.fromkeys(k for r in rows for k in r)
+            if names:
+                here = pa.Table.from_pylist([{k: r.get(k) for k in names} for r in rows]).schema
+                found = here if found is None else pa.unify_schemas([found, here], promote_options="permissive")
+        if found is not None:
+            yield pa.RecordBatch.from_pydict({"schema": [found.serialize().to_pybytes()]})
+
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    each = df.mapInArrow(look, "schema binary").withColumn("at", F.spark_partition_id())
+    seen = each.groupBy("schema").agg(F.min("at").alias("at")).orderBy("at", "schema").collect()  # distinct schemas: as many as the data has kinds of rows
+    if not seen:
+        return df.schema
+    try:
+        whole = pa.unify_schemas([pa.ipc.read_schema(pa.py_buffer(r.schema)) for r in seen], promote_options="permissive")
+    except pa.ArrowTypeError as e:
+        raise ValueError(f"transform '{t.name}' returns a field of several types; declare function.schema: {e}") from e
+    return from_arrow_schema(pa.schema([f.with_type(pa.string()) if pa.types.is_null(f.type) else f for f in whole]))
 
 
 def transform(df: DataFrame, name: str, schema: str = "", row_preserving: bool = False, parallel: int = 1) -> DataFrame:
@@ -112,7 +130,7 @@ def transform(df: DataFrame, name: str, schema: str = "", row_preserving: bool =
             if row_preserving and len(rows) != batch.num_rows:
                 raise ValueError(f"transform '{name}' must keep the number of rows: {batch.num_rows} became {len(rows)}")
             if known is not None and (late := {k for r in rows for k in r if k not in known}):
-                raise ValueError(f"transform '{name}' returns fields that the first {SAMPLE} rows don't show: {sorted(late)}; declare function.schema")
+                raise ValueError(f"transform '{name}' returned other fields than before: {sorted(late)}; declare function.schema")
             if rows:
                 yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in columns} for r in rows], schema=arrow)
 

@@ -181,7 +181,8 @@ class ErrorHandling:
 
     def delay_ms(self, attempt: int) -> int:
         """The wait after the given failed attempt (from 1)."""
-        return self.base_ms * (attempt if self.backoff == "linear" else 2 ** (attempt - 1))
+        growth = {"fixed": 1, "linear": attempt}.get(self.backoff, 2 ** (attempt - 1))
+        return self.base_ms * growth
 
 
 @dataclass(frozen=True)

@@ -158,13 +158,21 @@ P4_FOUND_SQL = " UNION ALL ".join(f"SELECT '{f}' AS field_name, {f} AS field_val
 def p4_key_results(spark: SparkSession, d: str) -> DataFrame:
     """Per assignee: rows, rows with a finite cycle time, and their sum, least and greatest; null is a key too."""
     rows = table(spark, d, "jira_parser").select("assignee", "cycle_time_days")
-    n, loads = skew.estimate_loads(rows, ["assignee"])
-    plan = skew.make_plan(n, loads["assignee"], skew.tasks_of(spark))
     v = F.col("cycle_time_days")
     v = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
     partial = {"rows": F.count(F.lit(1)), "finite": F.count(v), "total": F.sum(v.cast("decimal(28,6)")), "least": F.min(v), "most": F.max(v)}
     final = {"rows": F.sum("rows"), "finite": F.sum("finite"), "total": F.round(F.sum("total").cast("double"), 3), "least": F.min("least"), "most": F.max("most")}
-    return skew.balanced_aggregate(rows, "assignee", partial, final, plan)
+    return skew.balanced_aggregate(rows, "assignee", partial, final, skew.plan_for(rows, "assignee"))
+
+
+def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Per assignee and status how many issues (keys) they had: a result that the rows of a key can't be combined for before they meet."""
+    rows = table(spark, d, "jira_parser").select("assignee", "status", "key")
+    by = ["assignee", "status"]
+    return skew.balanced_aggregate(rows, by, {"n": F.count_distinct("key")}, {"issues": F.sum("n")}, skew.plan_for(rows, by), spread=F.xxhash64("key"))
+
+
+P4_DISTINCT_SQL = "SELECT assignee, status, count(DISTINCT key) AS issues FROM jira_parser GROUP BY assignee, status"
 
 
 P4_KEYS_SQL = """
@@ -177,8 +185,7 @@ def p4_skew_join(spark: SparkSession, d: str) -> DataFrame:
     """Every row beside its assignee's load, by fragment and replicate: rows of each (status, assignee) that exceed the assignee's
     mean finite cycle time."""
     rows = table(spark, d, "jira_parser").select("assignee", "status", "cycle_time_days").where("not isnan(cycle_time_days) and abs(cycle_time_days) < double('infinity')")
-    n, loads = skew.estimate_loads(rows, ["assignee"])
-    plan = skew.make_plan(n, loads["assignee"], skew.tasks_of(spark))
+    plan = skew.plan_for(rows, "assignee")
     means = skew.balanced_aggregate(rows.select("assignee", "cycle_time_days"), "assignee", {"s": F.sum(F.col("cycle_time_days").cast("decimal(28,6)")), "n": F.count(F.lit(1))}, {"mean": F.sum("s").cast("double") / F.sum("n")}, plan)
     joined = skew.fragment_replicate_join(rows, means, "assignee", plan)
     return joined.groupBy("assignee", "status").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("cycle_time_days") > F.col("mean"), 1)).alias("above_mean"))
@@ -190,6 +197,16 @@ m AS (SELECT assignee, sum(v::DECIMAL(28,6))::DOUBLE / count(*) AS mean FROM r G
 SELECT r.assignee, r.status, count(*) AS rows, count(CASE WHEN v > mean THEN 1 END) AS above_mean FROM r JOIN m ON r.assignee = m.assignee GROUP BY r.assignee, r.status
 """
 
+def p4_join_types(spark: SparkSession, d: str) -> DataFrame:
+    """Lines per name of a part, joined by keys of two types (whole numbers on the left, doubles on the right)."""
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), "l_quantity")
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("double").alias("k"), "p_brand")
+    joined = skew.fragment_replicate_join(lines, parts, "k")
+    return joined.groupBy("p_brand").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+P4_TYPES_SQL = "SELECT p_brand, count(*) AS lines, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"
+
 _PARENTS = ("issue", "subtask", "history")
 #: The tables in a response body.
 BODY_TABLES = (
@@ -222,6 +239,6 @@ def p5_tables(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_runs": p1_runs, "p2_percentiles": p2_percentiles, "p2_slices": p2_slices, "p2_slices_all": p2_slices_all, "p3_found": p3_found, "p3_normalised": p3_normalised,
-    "p4_found": p4_found, "p4_key_results": p4_key_results, "p4_skew_join": p4_skew_join, "p5_found": p5_found, "p5_rows": p5_rows, "p5_tables": p5_tables,
+    "p4_found": p4_found, "p4_key_results": p4_key_results, "p4_distinct": p4_distinct, "p4_skew_join": p4_skew_join, "p4_join_types": p4_join_types, "p5_found": p5_found, "p5_rows": p5_rows, "p5_tables": p5_tables,
 }
-SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p2_slices_all": P2_SLICES_ALL_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_skew_join": P4_JOIN_SQL}
+SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p2_slices_all": P2_SLICES_ALL_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_distinct": P4_DISTINCT_SQL, "p4_skew_join": P4_JOIN_SQL, "p4_join_types": P4_TYPES_SQL}

@@ -213,14 +213,16 @@ def test_paths():
     assert sink.materialize("{date}", "hourly", now) == "2025-03-04-05" and sink.materialize("{date}", "weekly", now) == "2025-03-04"
 
 
-def test_a_late_field_of_an_inferred_schema_raises(spark):
+def test_schemas_are_inferred_from_all_rows(spark):
     from millrace.operators import transform
 
-    f = lambda r: {"id": r["id"]} | ({"late": 1} if r["id"] >= 150 else {})
+    f = lambda r: {"id": r["id"], "n": None if r["id"] < 190 else r["id"] / 2} | ({"late": 1} if r["id"] >= 150 else {})
     transform.register("late_field")(f)
-    transform.register("late_field_declared", schema="id long, late long")(f)
     df = spark.range(200).coalesce(1)
-    with pytest.raises(Exception, match="late"):
-        transform.transform(df, "late_field").count()
-    assert transform.transform(df, "late_field_declared").where("late = 1").count() == 50
-    assert transform.transform(df.limit(100), "late_field").columns == ["id"]
+    got = transform.transform(df, "late_field")
+    assert got.dtypes == [("id", "bigint"), ("n", "double"), ("late", "bigint")]
+    assert got.where("late = 1").count() == 50 and got.agg(F.count("n")).first()[0] == 10
+    assert transform.transform(df.repartition(5), "late_field").where("late = 1").count() == 50
+    transform.register("mixed_types")(lambda r: {"x": "text" if r["id"] == 199 else r["id"]})
+    with pytest.raises(Exception, match="type"):
+        transform.transform(df, "mixed_types").count()
