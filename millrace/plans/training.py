@@ -65,7 +65,7 @@ GROUPINGS = [["assignee"], ["status"], ["assignee", "status"]]
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of cycle_time_days per assignee, per status and per both."""
     got = percentiles.percentiles([table(spark, d, "jira_parser")], GROUPINGS, "cycle_time_days", PROBS)
-    return got.select("grouping", "assignee", "status", "n_values", "p", F.round("value", 6).alias("value"), F.lit(0.0).alias("error_bound"))
+    return got.select("grouping", "assignee", "status", "n_values", "p", F.round("value", 6).alias("value"), "error_bound")
 
 
 def _slices(spark: SparkSession, d: str, groupings: list[list[str]]) -> DataFrame:
