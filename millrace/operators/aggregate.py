@@ -3,16 +3,24 @@
 Results are doubles (count: long). Nulls are skipped by all but count, which counts rows and ignores its field; NaN is skipped by min
 and max. A group without values has 0.0. Group keys come out as text (doubles with six decimals, null stays null)
 unless their types are to be preserved. Without keys there is one row, and none for an empty table.
+
+Percentiles leave out NaN; infinities are values. On a stream they are an aggregate that keeps a group's distinct values as state. In a batch
+they are found by bisection, which holds no group in a task; that runs passes at once, over the input itself if that is but a scan,
+else over a checkpoint of the columns needed.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.session import cut
+from millrace.operators import percentiles
 from millrace.operators.filter import column
 from millrace.plans.spec import Aggregate
 
@@ -44,15 +52,44 @@ def _measure(df: DataFrame, a: Aggregate) -> Column:
         "avg": lambda: F.avg(x),
         "min": lambda: F.min(F.nanvl(x, F.lit(None).cast("double"))),
         "max": lambda: F.max(F.nanvl(x, F.lit(None).cast("double"))),
-        "percentile": lambda: F.percentile(x, F.lit(a.arg / 100)),
+        "percentile": lambda: F.percentile(F.nanvl(x, F.lit(None).cast("double")), F.lit(a.arg / 100)),
         "approx_percentile": lambda: F.percentile_approx(x, a.arg / 100, 10_000),
     }[a.func]()
     return F.coalesce(found, F.lit(0.0))
 
 
-def aggregate(df: DataFrame, group_by: Sequence[str], aggregates: Iterable[Aggregate], preserve_key_types: bool = False) -> DataFrame:
-    """Keys, then aggregates, in the order given."""
+def _is_scan(df: DataFrame) -> bool:
+    return not re.search(r"\b(Join|Aggregate|Generate|Window|Sort|MapIn\w+|\w*EvalPython|RepartitionBy\w+)\b", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def _with_percentiles(df: DataFrame, group_by: Sequence[str], aggregates: list[Aggregate], preserve_key_types: bool) -> DataFrame:
+    """The aggregates of a batch, percentiles by bisection."""
+    used = list(dict.fromkeys([*group_by, *(a.field for a in aggregates if a.func != "count")]))
+    df = df.select(*[F.col(f"`{c}`") for c in used])
+    df = df if _is_scan(df) else cut(df)
+    plain = [a for a in aggregates if a.func != "percentile"]
+    out = aggregate(df, group_by, plain or [Aggregate("__n", "", "count")], preserve_key_types)
+    keys = [f"__key{i}" for i in range(len(group_by) or 1)]
+    # Keys are matched by their text; without keys all rows have the same.
+    text = lambda of, typed: {k: F.lit("") if not group_by else (of[c] if not typed else as_text(of[c], of.schema[c].dataType) if not preserve_key_types else of[c].cast("string")) for k, c in zip(keys, group_by or [None], strict=True)}
+    out, source = out.withColumns(text(out, False) if not preserve_key_types else text(out, True)), df.withColumns(text(df, True))
+    for field in dict.fromkeys(a.field for a in aggregates if a.func == "percentile"):
+        wanted = [a for a in aggregates if a.func == "percentile" and a.field == field]
+        got = percentiles.percentiles([source.select(*keys, F.col(f"`{field}`").alias("__value"))], [keys], "__value", sorted({a.arg / 100 for a in wanted}), infinite=True)
+        each = got.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(*[F.max(F.when(F.col("p") == a.arg / 100, F.col("value"))).alias(a.name) for a in wanted])
+        out = out.join(each, functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]), "left").drop(*[f"{k}_" for k in keys])
+    cells = [F.coalesce(F.col(f"`{a.name}`"), F.lit(0.0)).alias(a.name) if a.func == "percentile" else F.col(f"`{a.name}`") for a in aggregates]
+    return out.select(*[F.col(f"`{c}`") for c in group_by], *cells)
+
+
+def aggregate(df: DataFrame, group_by: Sequence[str], aggregates: Iterable[Aggregate], preserve_key_types: bool = False, sort: bool = False) -> DataFrame:
+    """Keys, then aggregates, in the order given; the rows in no order, unless ``sort``: by the keys, nulls first."""
+    aggregates = list(aggregates)
     measures = [_measure(df, a).alias(a.name) for a in aggregates]
+    if sort:
+        return aggregate(df, group_by, aggregates, preserve_key_types).orderBy(*[F.col(f"`{c}`") for c in group_by])
+    if not df.isStreaming and any(a.func == "percentile" for a in aggregates):
+        return _with_percentiles(df, group_by, aggregates, preserve_key_types)
     if not group_by:
         out = df.agg(*measures, F.count(F.lit(1)).alias("__rows")).where("__rows > 0")
         return out.drop("__rows")

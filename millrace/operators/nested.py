@@ -1,175 +1,50 @@
 """Deeply nested records as related flat tables.
 
-Each record is read into triples (path, value, ordinals): one per scalar, and one per object or array so that empty ones
-are seen. Triples whose paths share the same repeated ancestor (the innermost array element or the object of a table) belong to
-one row; the rows of an ancestor form a table, linked to the row that encloses it. Everything about a record is known
-where it is read, so nothing is shuffled: a task holds one record at a time, and rows with columns leave in document order.
-
-Texts that aren't complete JSON (also with NaN, trailing text, or half a string), null and empty texts have no triples. Of a
-name repeated in an object the last holds, as most readers have it. Fractions keep the text as written.
+Records are read as a stream of bytes, a few megabytes at a time and all records of these together: marks outside strings give tokens,
+tokens give triples (path, value, ordinals), one per scalar, and one per object or array so that empty ones are seen. No tree is
+built, and depth needs no stack. Paths are numbered, so that what depends on a path alone is decided once per distinct path.
+Triples whose paths share the same repeated ancestor (the innermost array element or the object of a table) belong to
+one row; the rows of an ancestor form a table, linked to the row that encloses it, and each group is pivoted into its
+table. Everything about a record is known where it is read, so nothing is shuffled; rows leave in document order.
+
+Texts that aren't complete JSON (also with NaN, trailing text, or half a string), null and empty texts have no triples; neither have parts
+of them. A JSON string that holds JSON counts as that JSON. Of a name repeated in an object the last holds, as most readers have
+it. Numbers keep the text as written. Halves of surrogate pairs become U+FFFD.
 """
 
 from __future__ import annotations
 
-import contextlib
-import gc
 import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRIPLES = "path string, ordinals array<int>, kind string, value string"
+#: Bytes of records that are read together, or one record if it is longer.
+CHUNK = 4 << 20
 
+_OBJECT, _OBJECT_END, _ARRAY, _ARRAY_END, _COLON, _COMMA, _STRING, _LITERAL, _BLANK = range(9)
 
-class _Number(str):
-    """A number as it is written."""
-
-    __slots__ = ()
 
-
-def _refuse(word: str):
-    raise ValueError(word)
+def _table_of_bytes(default: int, *sets: tuple[str, int]) -> np.ndarray:
+    out = np.full(256, default, dtype=np.uint8)
+    for characters, value in sets:
+        out[list(characters.encode())] = value
+    return out
 
 
-# Whole numbers are read as such, which is faster and gives the same text; those too long for that as text.
-_DECODER = json.JSONDecoder(parse_float=_Number, parse_constant=_refuse)
-_LONG_NUMBERS = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
+_CLASS = _table_of_bytes(_LITERAL, ("{", _OBJECT), ("}", _OBJECT_END), ("[", _ARRAY), ("]", _ARRAY_END), (":", _COLON), (",", _COMMA), (" \t\r\n", _BLANK))
+_STEP = np.array([1, -1, 1, -1, 0, 0, 0, 0, 0], dtype=np.int8)
+_ESCAPES = _table_of_bytes(0, ('"\\/bfnrtu', 1)).astype(bool)
+_HEX = _table_of_bytes(0, ("0123456789abcdefABCDEF", 1)).astype(bool)
+_VALID = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null)$"
 _SURROGATE = re.compile("[\ud800-\udfff]")
-
-
-@contextlib.contextmanager
-def _no_collector():
-    """Trees of records hold no cycles; looking for them costs as much as reading the records."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
-
-
-def decode(text: str | None):
-    """(True, value) of complete JSON, else (False, None). A JSON string that holds JSON counts as that JSON."""
-    if not text or text.isspace():
-        return False, None
-    value = text
-    first = True
-    while isinstance(value, str) and not isinstance(value, _Number):
-        try:
-            inner = _parse(value)
-        except ValueError:
-            return (False, None) if first else (True, value)
-        value, first = inner, False
-    return True, value
-
-
-def _parse(text: str):
-    try:
-        return _DECODER.decode(text)
-    except json.JSONDecodeError:
-        raise
-    except ValueError:
-        return _LONG_NUMBERS.decode(text)
-    except RecursionError:
-        return _parse_deep(text)
-
-
-_TOKEN = re.compile(r'[ \t\r\n]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?)|(true|false|null))', re.A)
-_WORDS = {"true": True, "false": False, "null": None}
-
-
-def _parse_deep(text: str):
-    """The same for records nested deeper than the interpreter's stack: a loop over tokens with a stack of its own."""
-    stack: list = []
-    root: list = []
-    at, end, need = 0, len(text.rstrip(" \t\r\n")), "value"
-    while at < end:
-        m = _TOKEN.match(text, at)
-        if m is None or (not stack and root):
-            raise ValueError(f"no JSON at {at}")
-        at = m.end()
-        mark, string, number, word = m.groups()
-        box = stack[-1] if stack else None
-        if mark in ("]", "}"):
-            opened = box is not None and isinstance(box[0], list if mark == "]" else dict)
-            if not opened or not (need == "more" or need == "first"):
-                raise ValueError(f"no JSON at {at}")
-            stack.pop()
-            need = "more"
-            continue
-        if mark == ",":
-            if need != "more" or box is None:
-                raise ValueError(f"no JSON at {at}")
-            need = "value" if isinstance(box[0], list) else "name"
-            continue
-        if mark == ":":
-            if need != "colon":
-                raise ValueError(f"no JSON at {at}")
-            need = "value"
-            continue
-        if box is not None and isinstance(box[0], dict) and need in ("name", "first"):
-            if string is None:
-                raise ValueError(f"no JSON at {at}")
-            box[1], need = json.loads(string), "colon"
-            continue
-        if need not in ("value", "first"):
-            raise ValueError(f"no JSON at {at}")
-        value = [] if mark == "[" else {} if mark == "{" else json.loads(string) if string is not None else _Number(number) if number is not None else _WORDS[word]
-        if box is None:
-            root.append(value)
-        elif isinstance(box[0], list):
-            box[0].append(value)
-        else:
-            box[0][box[1]] = value
-        need = "more"
-        if mark is not None:
-            stack.append([value, None])
-            need = "first"
-    if stack or not root:
-        raise ValueError("ends too early")
-    return root[0]
-
-
-def as_text(value) -> str | None:
-    """A scalar as text: strings without quotes, numbers as written, true and false; null stays null, objects and arrays are JSON."""
-    if value is None or type(value) is str:
-        return value if value is None or value.isascii() else _SURROGATE.sub("�", value)
-    if value is True or value is False:
-        return "true" if value else "false"
-    if isinstance(value, (_Number, int)):
-        return str(value)
-    return _json(value)
-
-
-def _json(value) -> str:
-    """An object or array as JSON again, by a loop, so that depth does no harm."""
-    out: list[str] = []
-    todo: list = [value]
-    while todo:
-        x = todo.pop()
-        if type(x) is tuple:
-            out.append(x[0])
-        elif isinstance(x, dict):
-            parts: list = [("{",)]
-            for i, (k, v) in enumerate(x.items()):
-                parts += [((", " if i else "") + json.dumps(k) + ": ",), v]
-            todo += reversed([*parts, ("}",)])
-        elif isinstance(x, list):
-            parts = [("[",)]
-            for i, v in enumerate(x):
-                parts += [(", ",), v] if i else [v]
-            todo += reversed([*parts, ("]",)])
-        else:
-            out.append(str(x) if isinstance(x, _Number) else json.dumps(x))
-    return "".join(out)
-
-
 # Names that would make a path ambiguous, or that UTF-8 can't hold, are written as JSON strings.
 _UNCLEAR = re.compile('[.\\[\\]"\ud800-\udfff]|^\\$$')
 
@@ -178,58 +53,293 @@ def _name(name: str) -> str:
     return json.dumps(name) if _UNCLEAR.search(name) else name
 
 
-def _nodes(value) -> Iterator[tuple[str, tuple[int, ...], object, int, str | None]]:
-    """(path, ordinals, value, number of the enclosing node, name) of every object, array and scalar, numbered from 0 in document order."""
-    todo = [("$", (), value, -1, None)]
-    number = -1
-    while todo:
-        node = todo.pop()
-        number += 1
-        yield node
-        path, ordinals, x, _, _ = node
-        if type(x) is dict:
-            todo.extend([(f"{path}.{_name(k)}", ordinals, v, number, k) for k, v in reversed(x.items())])
-        elif type(x) is list:
-            path += "[]"
-            todo.extend([(path, (*ordinals, i), x[i], number, None) for i in range(len(x) - 1, -1, -1)])
-
-
-def triples(value) -> Iterator[tuple[str, tuple[int, ...], str, str | None]]:
-    """(path, ordinals, kind, text) of every object, array and scalar in document order. Path: names joined by dots (those with dots,
-    brackets or quotes as JSON strings), [] for an array element; ordinals: the positions from 0 in the arrays on the way."""
-    for path, ordinals, x, _, _ in _nodes(value):
-        if isinstance(x, dict):
-            yield path, ordinals, "object", None
-        elif isinstance(x, list):
-            yield path, ordinals, "array", None
-        else:
-            kind = "null" if x is None else "boolean" if x is True or x is False else "number" if isinstance(x, (_Number, int)) else "string"
-            yield path, ordinals, kind, as_text(x)
+def _sound(text: str) -> str:
+    return text if text.isascii() else _SURROGATE.sub("�", text)
+
+
+def _refuse(word: str):
+    raise ValueError(word)
+
+
+def _unwrapped(text: str) -> str | None:
+    """The JSON that a JSON string holds, however often it is wrapped; the string itself if that isn't JSON."""
+    while True:
+        try:
+            inner = json.loads(text)
+        except (ValueError, RecursionError):
+            return text
+        if not isinstance(inner, str):
+            return text
+        try:
+            json.loads(inner, parse_constant=_refuse)
+        except RecursionError:
+            return _sound(inner)  # nested deeper than that reader goes
+        except ValueError:
+            return text
+        text = _sound(inner)
+
+
+def _spans(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The texts data[a:b]."""
+    size = b - a
+    ends = np.concatenate([[0], np.cumsum(size)])
+    take = np.arange(ends[-1]) + np.repeat(a - ends[:-1], size)
+    return pa.Array.from_buffers(pa.string(), len(a), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[take])])
+
+
+def _unescaped(raw: list[str]) -> list[str]:
+    return [_sound(x) for x in json.loads('["' + '","'.join(raw) + '"]')] if raw else []
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+
+
+def _by_level(level: np.ndarray) -> list[np.ndarray]:
+    """The members of each level, in order."""
+    if not len(level):
+        return []
+    order = np.argsort(level.astype(np.int16) if level.max() < 1 << 15 else level, kind="stable")
+    return np.split(order, np.searchsorted(level[order], np.arange(1, level.max() + 1)))
+
+
+@dataclass
+class Triples:
+    """The triples of some records as columns, in document order. record: its number among them; parent: the number of the enclosing
+    triple (-1: none); position: from 0 in the array that it is an element of, -1 if it is none; name, path: numbers in ``names`` and
+    ``paths``, which has (path of the parent, name; -1: an element)."""
+
+    data: np.ndarray
+    slashes: np.ndarray
+    record: np.ndarray
+    kind: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    parent: np.ndarray
+    position: np.ndarray
+    name: np.ndarray
+    path: np.ndarray
+    levels: list[np.ndarray]
+    names: dict[str, int]
+    paths: list[tuple[int, int]]
+
+    def path_texts(self) -> list[str]:
+        known, out = {i: "." + _name(n) for n, i in self.names.items()} | {-1: "[]"}, ["$"]
+        for parent, name in self.paths[1:]:
+            out.append(out[parent] + known[name])
+        return out
+
+    def scalars(self) -> np.ndarray:
+        return self.kind >= _STRING
+
+    def texts(self, at: np.ndarray) -> pa.Array:
+        """The texts of triples: strings without quotes, numbers as written, true and false; null stays null, objects and arrays are the JSON as written."""
+        a, b = self.start[at], self.end[at]
+        text = self.kind[at] == _STRING
+        out = _spans(self.data, a + text, b - text)
+        mask = (self.kind[at] == _LITERAL) & (self.data[a] == ord("n"))
+        if mask.any():
+            out = pc.if_else(pa.array(~mask), out, pa.scalar(None, pa.string()))
+        odd = np.flatnonzero(text & (np.searchsorted(self.slashes, b) > np.searchsorted(self.slashes, a)))
+        if len(odd):
+            where = np.arange(len(at))
+            where[odd] = len(at) + np.arange(len(odd))
+            found = pa.array(_unescaped(out.take(pa.array(odd)).to_pylist()), pa.string())
+            out = pa.concat_arrays([out, found]).take(pa.array(where))
+        return out
+
+    def up(self, mark: np.ndarray) -> np.ndarray:
+        """The nearest marked triple that encloses each, itself included; -1 if there is none."""
+        near = np.where(mark, np.arange(len(mark)), -1)
+        for at in self.levels[1:]:
+            at = at[~mark[at]]
+            near[at] = near[self.parent[at]]
+        return near
+
+    def has(self, name: str) -> np.ndarray:
+        """Which objects have a field of this name."""
+        out = np.zeros(len(self.kind), bool)
+        if name in self.names:
+            out[self.parent[self.name == self.names[name]]] = True
+        return out
+
+    def child(self, name: str) -> np.ndarray:
+        """The triple of each object's field of this name, or -1."""
+        out = np.full(len(self.kind), -1)
+        if name in self.names:
+            at = np.flatnonzero(self.name == self.names[name])
+            out[self.parent[at]] = at
+        return out
+
+
+def triples(bodies: pa.Array) -> Triples:
+    """Reads the records ``bodies`` (texts, none null)."""
+    size = pc.binary_length(bodies).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(("\n".join(bodies.to_pylist()) + "\n").encode(), dtype=np.uint8)
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    record_of = lambda at: np.searchsorted(begin, at, "right") - 1
+    good = size > 0
+
+    # Strings: quotes that no backslash escapes.
+    slashes, quotes = np.flatnonzero(data == ord("\\")), np.flatnonzero(data == ord('"'))
+    if len(slashes):
+        first = np.concatenate([[True], slashes[1:] != slashes[:-1] + 1])
+        escaped = slashes[(slashes - slashes[first][np.cumsum(first) - 1]) % 2 == 0] + 1
+        is_escaped = np.zeros(len(data), bool)
+        is_escaped[escaped] = True
+        quotes = quotes[~is_escaped[quotes]]
+        good[record_of(escaped[~_ESCAPES[data[escaped]]])] = False
+        four = escaped[data[escaped] == ord("u")]
+        good[record_of(four[~_HEX[data[np.minimum(four[:, None] + np.arange(1, 5), len(data) - 1)]].all(axis=1)])] = False
+    good &= np.diff(np.searchsorted(quotes, begin)) % 2 == 0
+    quotes = quotes[good[record_of(quotes)]]
+    opened, closed = quotes[0::2], quotes[1::2]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[opened] = 1
+    edge[closed + 1] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    good[record_of(np.flatnonzero((data < 32) & inside))] = False
+
+    # Tokens: marks, and where strings and literals begin.
+    kinds = _CLASS[data]
+    kinds[inside] = _BLANK
+    literal = np.diff((kinds == _LITERAL).view(np.int8), prepend=0, append=0)
+    kinds[kinds == _LITERAL] = _BLANK
+    kinds[np.flatnonzero(literal == 1)] = _LITERAL
+    kinds[opened] = _STRING
+    at = np.flatnonzero(kinds != _BLANK)
+    code = kinds[at]
+    end = at + 1
+    end[code == _STRING] = closed + 1
+    end[code == _LITERAL] = np.flatnonzero(literal == -1)
+    count = np.diff(np.searchsorted(at, begin))
+    record = np.repeat(np.arange(len(size)), count)
+
+    # Depth: an opening mark and its end stand on the level around them.
+    step = _STEP[code]
+    depth = np.cumsum(step, dtype=np.int64)
+    base = np.repeat(np.concatenate([[0], depth])[np.searchsorted(at, begin[:-1])], count)
+    level = depth - (step > 0) - base
+    good &= count > 0
+    good[record[level < 0]] = False
+    ends = np.searchsorted(at, begin)
+    total = np.concatenate([[0], depth])
+    good &= total[ends[1:]] == total[ends[:-1]]
+    keep = good[record]
+    at, end, code, record, level = at[keep], end[keep], code[keep], record[keep], level[keep]
+    first = _starts(record)
+
+    # What encloses each token, and where each object or array ends.
+    parent, whole = np.full(len(code), -1), end.copy()
+    around = np.zeros(0, np.int64)
+    for here in _by_level(level):
+        if len(around):
+            parent[here] = around[np.searchsorted(around, here) - 1]
+        c = code[here]
+        around, ends = here[(c == _OBJECT) | (c == _ARRAY)], here[(c == _OBJECT_END) | (c == _ARRAY_END)]
+        opening = around[np.searchsorted(around, ends) - 1] if len(around) else ends
+        whole[opening] = end[ends]
+        good[record[ends[code[ends] != code[opening] + 1]]] = False
+
+    # Grammar: what may stand after what.
+    context = np.where(parent >= 0, code[parent], _BLANK) if len(code) else code
+    before = np.where(first, _BLANK, np.concatenate([[_BLANK], code[:-1]])) if len(code) else code
+    is_key = (code == _STRING) & (context == _OBJECT) & ((before == _OBJECT) | (before == _COMMA))
+    value = ((code == _OBJECT) | (code == _ARRAY) | (code >= _STRING)) & ~is_key
+    after = lambda mark: np.concatenate([[False], mark[:-1]]) & ~first if len(mark) else mark
+    ended = after(value & (code >= _STRING)) | (before == _OBJECT_END) | (before == _ARRAY_END)
+    fits = is_key | (code == _COLON) & after(is_key) | (code == _COMMA) & (context != _BLANK) & ended
+    fits |= ((code == _OBJECT_END) | (code == _ARRAY_END)) & (ended | (before == _OBJECT) | (before == _ARRAY))
+    fits |= value & np.where(context == _OBJECT, before == _COLON, np.where(context == _ARRAY, (before == _ARRAY) | (before == _COMMA), before == _BLANK))
+    good[record[~fits]] = False
+    words = np.flatnonzero(code == _LITERAL)
+    valid = pc.match_substring_regex(_spans(data, at[words], end[words]).cast(pa.string()), _VALID).to_numpy(zero_copy_only=False).astype(bool)
+    good[record[words[~valid]]] = False
+
+    # Names of fields, and fields whose name comes again later in their object.
+    tokens = np.flatnonzero(value & good[record])
+    number = np.full(len(code) + 1, -1)
+    number[tokens] = np.arange(len(tokens))
+    up = number[parent[tokens]]
+    field = context[tokens] == _OBJECT
+    keys = tokens[field] - 2
+    coded = _spans(data, at[keys] + 1, end[keys] - 1).dictionary_encode()
+    raw = coded.dictionary.to_pylist()
+    names: dict[str, int] = {}
+    known = [names.setdefault(n, len(names)) for n in (json.loads(f'"{r}"') if "\\" in r else r for r in raw)]
+    name = np.full(len(tokens), -1)
+    name[field] = np.array(known, dtype=np.int64)[coded.indices.to_numpy()] if len(keys) else 0
+    again = np.flatnonzero(field)
+    same = up[again] * max(1, len(names)) + name[again]
+    order = np.argsort(same, kind="stable")
+    hidden = again[order[:-1][same[order[1:]] == same[order[:-1]]]]
+    levels = _by_level(level[tokens])
+    if len(hidden):
+        gone = np.zeros(len(tokens), bool)
+        gone[hidden] = True
+        for here in levels[1:]:
+            gone[here] |= gone[up[here]]
+        stay = np.flatnonzero(~gone)
+        number = np.full(len(tokens) + 1, -1)
+        number[stay] = np.arange(len(stay))
+        tokens, up, name = tokens[stay], number[up[stay]], name[stay]
+        levels = _by_level(level[tokens])
+
+    # Places in arrays, and paths.
+    position = np.full(len(tokens), -1)
+    elements = np.flatnonzero((name < 0) & (up >= 0))
+    order = np.argsort(up[elements], kind="stable")
+    new = _starts(up[elements][order])
+    position[elements[order]] = np.arange(len(order)) - (np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else 0)
+    path, paths = np.zeros(len(tokens), np.int64), [(-1, -1)]
+    for here in levels[1:]:
+        k = len(names) + 1
+        distinct, which = np.unique(path[up[here]] * k + name[here] + 1, return_inverse=True)
+        path[here] = len(paths) + which
+        paths += [(int(x // k), int(x % k) - 1) for x in distinct]
+    return Triples(data, slashes, record[tokens], code[tokens], at[tokens], whole[tokens], up, position, name, path, levels, names, paths)
+
+
+def _chunks(bodies: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(rows, their bodies) of texts that aren't null, as many at once as CHUNK allows; strings that hold JSON are unwrapped."""
+    rows = np.flatnonzero(pc.is_valid(bodies).to_numpy(zero_copy_only=False))
+    bodies = bodies.take(pa.array(rows))
+    wrapped = pc.match_substring_regex(bodies, r'^[ \t\r\n]*"')
+    if pc.any(wrapped).as_py():
+        inner = pa.array([_unwrapped(x) for x in bodies.filter(wrapped).to_pylist()], pa.string())
+        bodies = pc.replace_with_mask(bodies, wrapped, inner)
+    size = np.cumsum(pc.binary_length(bodies).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
+        yield rows[at:to], bodies.slice(at, to - at)
+        at = to
+
+
+def _ordinals(t: Triples) -> pa.Array:
+    """The positions in the arrays on the way to each triple."""
+    out: list[tuple[int, ...]] = [()] * len(t.kind)
+    for at in t.levels[1:]:
+        for i, up, place in zip(at.tolist(), t.parent[at].tolist(), t.position[at].tolist(), strict=True):
+            out[i] = out[up] if place < 0 else (*out[up], place)
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def path_triples(df: DataFrame, body: str, keep: list[str]) -> DataFrame:
-    """The triples of every record with its columns ``keep``."""
+    """The triples of every record with its columns ``keep``: (path, ordinals, kind, value). Path: names joined by dots (those with dots,
+    brackets or quotes as JSON strings), [] for an array element; ordinals: the positions from 0 in the arrays on the way."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, columns = [], ([], [], [], [])
-            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
-                whole, value = decode(text)
-                for t in triples(value) if whole else ():
-                    at.append(i)
-                    for column, x in zip(columns, t, strict=True):
-                        column.append(x)
-                if len(at) > 50_000:
-                    yield _batch(batch, at, keep, columns)
-                    at, columns = [], ([], [], [], [])
-            if at:
-                yield _batch(batch, at, keep, columns)
-
-    def _batch(batch, at, keep, columns):
-        path, ordinals, kind, text = columns
-        rest = [pa.array(path, pa.string()), pa.array([list(o) for o in ordinals], pa.list_(pa.int32())), pa.array(kind, pa.string()), pa.array(text, pa.string())]
-        rows = pa.array(at, pa.int32())
-        return pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(len(keep))], *rest], names=[*keep, "path", "ordinals", "kind", "value"])
+            for rows, bodies in _chunks(batch.column(len(keep))):
+                t = triples(bodies)
+                lead = {ord("t"): "boolean", ord("f"): "boolean", ord("n"): "null"}
+                kinds = [{_OBJECT: "object", _ARRAY: "array", _STRING: "string"}.get(k) or lead.get(c, "number") for k, c in zip(t.kind.tolist(), t.data[t.start].tolist(), strict=True)]
+                text = pc.if_else(pa.array(t.scalars()), t.texts(np.arange(len(t.kind))), pa.scalar(None, pa.string()))
+                out = [batch.column(k).take(pa.array(rows[t.record])) for k in range(len(keep))]
+                out += [pa.array(t.path_texts(), pa.string()).take(pa.array(t.path)), _ordinals(t), pa.array(kinds, pa.string()), text]
+                yield pa.RecordBatch.from_arrays(out, names=[*keep, "path", "ordinals", "kind", "value"])
 
     kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{body}`").cast("string").alias("__body"))
     fields = ", ".join(f"`{c}` {t}" for c, t in kept.drop("__body").dtypes)
@@ -255,117 +365,143 @@ class Table:
     columns: tuple[str, ...] = ()
 
 
-def rows_of(value, record: str | None, tables: tuple[Table, ...]) -> list[tuple[str, str | None, str | None, int]]:
-    """(table, parent key, key, position) of every object of the tables in one record, without reading values: the links of ``pivot``."""
-    by_field = {t.held_by: t for t in tables if t.held_by is not None}
-    by_names = [(t, t.having[0], t.having[1:], t.but_not) for t in tables if t.held_by is None]
-    out: list = []
-    # x; the field that holds it; its position in that field's array (0 if it isn't in one); the nearest row of each table around it, innermost last
-    todo = [(value, None, 0, ())]
-    pop, push = todo.pop, todo.append
-    while todo:
-        x, name, position, around = pop()
-        if type(x) is list:
-            # Only an array's own elements are held by the field; those of an array within it are held by none.
-            i = 0
-            for v in x:
-                kind = type(v)
-                if kind is dict:
-                    push((v, name, i, around))
-                elif kind is list:
-                    push((v, None, 0, around))
-                i += 1
-            continue
-        own = around
-        if name in by_field:
-            own = _add(out, by_field[name], x, record, position, around, own)
-        for t, first, others, but_not in by_names:
-            if first in x and name not in but_not and all(h in x for h in others):
-                own = _add(out, t, x, record, position, around, own)
-        for k, v in x.items():
-            kind = type(v)
-            if kind is dict or kind is list:
-                push((v, k, 0, own))
-    return out
-
-
-def _add(out: list, t: Table, x: dict, record, position: int, around: tuple, own: tuple) -> tuple:
-    key = str(position) if t.key is None else as_text(x.get(t.key))
-    parent = record
-    if t.parents is not None:
-        parent = None
-        for n, k in reversed(around):
-            if n in t.parents:
-                parent = k
-                break
-    out.append((t.name, parent, key, position))
-    # At most one entry per table, so the way back stays short at any depth.
-    return (*[e for e in own if e[0] != t.name], (t.name, key))
-
-
 #: Table of the values of a record that stand in no other row, and column of a value that is a row by itself.
 RECORD, ITSELF = "record", "$"
 
 
-class _Row:
-    """A row under way. path, depth: where its object or value stands, and in how many arrays."""
+def _held(t: Triples) -> np.ndarray:
+    """The name of the field that holds each triple, as an element or directly; an array within an array is held by none. -1: none."""
+    out = np.full(len(t.paths), -1)
+    for i, (parent, name) in enumerate(t.paths):
+        # Of an element the array's own name, which is -1 if that is an element too.
+        out[i] = name if name >= 0 or parent < 0 else t.paths[parent][1]
+    return out[t.path]
 
-    __slots__ = ("columns", "depth", "key", "number", "parent", "parent_number", "path", "position", "table", "wanted")
 
-    def __init__(self, table, parent, key, position, number, parent_number, path, depth, wanted):
-        self.table, self.parent, self.key, self.position, self.number, self.parent_number = table, parent, key, position, number, parent_number
-        self.path, self.depth, self.wanted, self.columns = path, depth, wanted, {}
+def pivot(t: Triples, records: pa.Array, tables: tuple[Table, ...], columns: bool = True, whole: bool = True) -> tuple[np.ndarray, list[pa.Array]]:
+    """(number of the record of each row, [table, parent key, key, position, columns, row, parent row]) of the rows of some records.
 
-
-def pivot(value, record: str | None, tables: tuple[Table, ...]) -> list[_Row]:
-    """The triples of a record, each scalar at its path in the row of its repeated ancestor, in document order.
-
-    Rows are the objects of the tables; every other array element that is no array, in a table named by the row that encloses it and the
-    path from there (``issue.fields.labels[]``; a scalar stands in the column ITSELF, the key is the positions from that row on); and
-    the record for what is left, unless it is such an object itself. An object of two tables has a row with the same columns in each.
+    Triples are grouped by their repeated ancestor, and every scalar stands at its path in the row of that. Rows are the objects of the
+    tables; every other array element that is no array, in a table named by the row that encloses it and the path from there
+    (``issue.fields.labels[]``; a scalar stands in the column ITSELF, the key is the positions from that row on); and the record for what is
+    left, unless it is such an object itself. An object of two tables has a row with the same columns in each. records: their own keys.
     """
-    by_field = {t.held_by: t for t in tables if t.held_by is not None}
-    by_names = [(t, t.having[0], t.having[1:], t.but_not) for t in tables if t.held_by is None]
-    out: list[_Row] = []
-    # Of every object and array: the field that holds it if it is an array, the rows it belongs to, the nearest row of each table around, whether it is an array.
-    inside: dict[int, tuple] = {}
-    for number, (path, ordinals, x, up, name) in enumerate(_nodes(value)):
-        held, owners, around, element = inside[up] if up >= 0 else (None, (), (), False)
-        kind = type(x)
-        if kind is not dict and kind is not list and not element and up >= 0:
-            text = as_text(x)
-            for row in owners:
-                row.columns[path[len(row.path) + 1 :]] = text
-            continue
-        if element:
-            name = held
-        own, nearer = [], around
-        if kind is dict:
-            position = ordinals[-1] if element else 0
-            of = [by_field[name]] if name in by_field else []
-            of += [t for t, first, others, but_not in by_names if first in x and name not in but_not and all(h in x for h in others)]
-            for t in of:
-                key = str(position) if t.key is None else as_text(x.get(t.key))
-                parent, parent_number = record if t.parents is None else None, None
-                for n, k, m in reversed(around) if t.parents is not None else ():
-                    if n in t.parents:
-                        parent, parent_number = k, m
-                        break
-                own.append(_Row(t.name, parent, key, position, number, parent_number, path, len(ordinals), True))
-                nearer = (*[e for e in nearer if e[0] != t.name], (t.name, key, number))
-        if not own and up < 0:
-            own = [_Row(RECORD, None, record, 0, number, None, path, 0, False)]
-        elif not own and element and kind is not list:
-            over = owners[-1]
-            own = [_Row(over.table + path[len(over.path) :], over.key, ".".join(map(str, ordinals[over.depth :])), ordinals[-1], number, over.number, path, len(ordinals), False)]
-        out += own
-        if kind is dict or kind is list:
-            inside[number] = (None if element else name, tuple(own) or owners, nearer, kind is list)
-        else:
-            own[0].columns[ITSELF] = as_text(x)
+    n, objects, held, code = len(t.kind), t.kind == _OBJECT, _held(t), lambda name: t.names.get(name, -9)
+    members = []
+    for table in tables:
+        hit = objects & (held == code(table.held_by)) if table.held_by is not None else objects.copy()
+        for name in table.having:
+            hit &= t.has(name)
+        for name in table.but_not:
+            hit &= held != code(name)
+        members.append(hit)
+    named = np.logical_or.reduce(members) if members else np.zeros(n, bool)
+    roots = (t.parent < 0) & ~named
+    others = (t.position >= 0) & (t.kind != _ARRAY) & ~named
+    above = lambda mark: np.where(t.parent >= 0, t.up(mark)[t.parent], -1) if n else t.parent
+    owner = above(named | roots | others)
+
+    # Rows: of each table, of the records, and of the other elements, whose tables are numbered from len(tables) + 1 on.
+    groups = [np.flatnonzero(m) for m in members] + [np.flatnonzero(roots), np.flatnonzero(others)]
+    node = np.concatenate(groups)
+    table = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    # Tables found by the holding field come before those found by what an object has.
+    rank = np.array([i if x.held_by is not None else len(tables) + i for i, x in enumerate(tables)] + [0, 0])
+    order = np.lexsort((rank[table], node))
+    keys = [t.texts(c).take(pa.array(np.arange(len(c)), mask=miss)) if len(c) else pa.array([], pa.string()) for g, x in zip(groups, tables, strict=False) if x.key is not None for c, miss in [_own_keys(t, g, x.key)]]
+    parts = [keys.pop(0) if x.key is not None else _digits(np.maximum(t.position[g], 0)) for g, x in zip(groups, tables, strict=False)]
+    parts += [records.take(pa.array(t.record[groups[-2]])), _chained(t, groups[-1])]
+    key = pa.concat_arrays(parts).take(pa.array(order))
+    node, table = node[order], table[order]
+    row_of = lambda mark: _last(n, node, mark)
+    every = row_of(np.ones(len(node), bool))
+
+    parent = np.full(len(node), -1)  # row
+    for i, x in enumerate(tables):
+        if x.parents:
+            among = np.isin(table, [k for k, y in enumerate(tables) if y.name in x.parents])
+            of = row_of(among)
+            near = above(of >= 0)[node[table == i]]
+            parent[table == i] = np.where(near >= 0, of[near], -1)
+    extra = table == len(tables) + 1
+    parent[extra] = every[owner[node[extra]]]
+    from_record = np.isin(table, [i for i, x in enumerate(tables) if x.parents is None])
+    parent_key = pc.if_else(pa.array(from_record), records.take(pa.array(t.record[node])), key.take(pa.array(parent, mask=parent < 0)))
+
+    labels = [x.name for x in tables] + [RECORD]
+    texts = t.path_texts()
+    if extra.any():
+        home = above(named | roots)[node[extra]]
+        mixed = np.stack([t.path[node[extra]], t.path[home], table[every[home]]], axis=1)
+        distinct, which = np.unique(mixed, axis=0, return_inverse=True)
+        table[extra] = len(labels) + which.ravel()
+        labels += [labels[c] + texts[a][len(texts[b]) :] for a, b, c in distinct.tolist()]
+    shown = np.flatnonzero(~roots[node] & ~others[node]) if not whole else np.arange(len(node))
+    take = pa.array(shown)
+    out = [pa.array(labels, pa.string()).take(pa.array(table[shown])), parent_key.take(take), key.take(take), pa.array(np.maximum(t.position[node[shown]], 0), pa.int32())]
+    if columns:
+        out.append(_maps(t, texts, owner, others | roots, node, shown))
+    if whole:
+        first = np.flatnonzero(t.parent < 0)
+        start = np.zeros(len(records), np.int64)
+        start[t.record[first]] = first
+        count = node - start[t.record[node]]
+        out += [pa.array(count[shown], pa.int32()), pa.array(np.where(parent >= 0, count[parent], 0)[shown], pa.int32(), mask=(parent < 0)[shown])]
+    return t.record[node[shown]], out
+
+
+def _own_keys(t: Triples, at: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+    child = t.child(name)[at]
+    return np.where(child < 0, at, child) if not (child < 0).all() else at, child < 0
+
+
+def _digits(numbers: np.ndarray) -> pa.Array:
+    return pc.cast(pa.array(numbers, pa.int64()), pa.string())
+
+
+def _chained(t: Triples, at: np.ndarray) -> pa.Array:
+    """The keys of other elements: their position, after those of the arrays in arrays that hold them."""
+    key = _digits(t.position[at])
+    deep = np.flatnonzero(t.position[t.parent[at]] >= 0) if len(at) else at
+    if not len(deep):
+        return key
+    whole = key.to_pylist()
+    for i in deep.tolist():
+        up = int(t.parent[at[i]])
+        while t.kind[up] == _ARRAY and t.position[up] >= 0:
+            whole[i] = f"{t.position[up]}.{whole[i]}"
+            up = int(t.parent[up])
+    return pa.array(whole, pa.string())
+
+
+def _last(n: int, node: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The last of the marked rows of each triple, or -1. Rows are sorted."""
+    out = np.full(n, -1)
+    out[node[mark]] = np.flatnonzero(mark)
     return out
 
 
+def _maps(t: Triples, texts: list[str], owner: np.ndarray, alone: np.ndarray, node: np.ndarray, shown: np.ndarray) -> pa.Array:
+    """For each shown row the map from the path below it to the value, of the scalars that belong to it."""
+    scalar = np.flatnonzero(t.scalars())
+    itself = alone[scalar] & ((t.position[scalar] >= 0) | (t.parent[scalar] < 0))
+    holder = np.where(itself, scalar, owner[scalar])
+    # The rows of a triple stand side by side.
+    rows = np.full(len(node), -1)
+    rows[shown] = np.arange(len(shown))
+    low, high = np.searchsorted(node, holder, "left"), np.searchsorted(node, holder, "right")
+    entry = np.repeat(np.arange(len(scalar)), high - low)
+    row = rows[np.arange(len(entry)) - np.repeat(np.cumsum(high - low) - high, high - low)]
+    entry, row = entry[row >= 0], row[row >= 0]
+    order = np.argsort(row, kind="stable")
+    entry, row = entry[order], row[order]
+    pairs = np.where(itself, 0, 1 + t.path[scalar] * len(t.paths) + t.path[holder])[entry]
+    distinct, which = np.unique(pairs, return_inverse=True)
+    labels = [ITSELF if x == 0 else texts[(x - 1) // len(t.paths)][len(texts[(x - 1) % len(t.paths)]) + 1 :] for x in distinct.tolist()]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(shown)))]).astype(np.int32)
+    return pa.MapArray.from_arrays(pa.array(ends), pa.array(labels, pa.string()).take(pa.array(which)), t.texts(scalar[entry]))
+
+
 def flat_tables(df: DataFrame, body: str, record: str, keep: list[str], tables: tuple[Table, ...], columns: bool = True, whole: bool = False) -> DataFrame:
     """The rows of all tables: (keep..., table, parent_key, row_key, position, columns map<string,string>), with every scalar below a row and
     outside other rows at its path in the map.
@@ -379,37 +515,11 @@ def flat_tables(df: DataFrame, body: str, record: str, keep: list[str], tables:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            records = batch.column(len(keep) + 1).to_pylist()
-            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
-                with _no_collector():
-                    complete, value = decode(text)
-                    if complete and (whole or isinstance(value, (dict, list))):
-                        if columns:
-                            found = [(r.table, r.parent, r.key, r.position, r.columns, r.number, r.parent_number) for r in pivot(value, records[i], tables) if whole or r.wanted]
-                        else:
-                            found = rows_of(value, records[i], tables)
-                        at += [i] * len(found)
-                        rows += found
-                    value = None
-                if len(at) > (20_000 if columns else 50_000):
-                    yield _batch(batch, at, rows)
-                    at, rows = [], []
-            if at:
-                yield _batch(batch, at, rows)
-
-    def _batch(batch, at, rows):
-        table, parent, key, position, *more = zip(*rows, strict=True)
-        take = pa.array(at, pa.int32())
-        out = [batch.column(k).take(take) for k in range(len(keep))]
-        out += [pa.array(table, pa.string()), pa.array(parent, pa.string()), pa.array(key, pa.string()), pa.array(position, pa.int32())]
-        if columns:
-            ends = list(accumulate((len(c) for c in more[0]), initial=0))
-            names, values = [n for c in more[0] for n in c], [v for c in more[0] for v in c.values()]
-            out.append(pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string())))
-        if whole:
-            out += [pa.array(more[1], pa.int32()), pa.array(more[2], pa.int32())]
-        return pa.RecordBatch.from_arrays(out, names=[*keep, "table", "parent_key", "row_key", "position", *["columns"] * columns, *["row", "parent_row"] * whole])
+            for rows, bodies in _chunks(batch.column(len(keep))):
+                records = batch.column(len(keep) + 1).take(pa.array(rows))
+                at, made = pivot(triples(bodies), records, tables, columns, whole)
+                out = [batch.column(k).take(pa.array(rows[at])) for k in range(len(keep))] + made
+                yield pa.RecordBatch.from_arrays(out, names=[*keep, "table", "parent_key", "row_key", "position", *["columns"] * columns, *["row", "parent_row"] * whole])
 
     kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{body}`").cast("string").alias("__body"), F.col(f"`{record}`").cast("string").alias("__record"))
     fields = "".join(f"`{c}` {t}, " for c, t in kept.drop("__body", "__record").dtypes)

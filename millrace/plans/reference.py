@@ -265,7 +265,7 @@ CYCLE_TIME = {
         {"id": "joined", "type": "join", "input": {"inputs": ["lines_keyed", "orders"]}, "join_config": {"key": "order_key", "join": "inner", "on_timeout": "drop"}},
         {"id": "cycle", "type": "transform", "input": {"from_step": "joined"}, "function": {"entrypoint": "samples:order_cycle"}},
         {"id": "result", "type": "aggregate", "input": {"from_step": "cycle"}, "group_by": ["o_orderpriority"], "aggregates": [
-            {"name": "avg_cycle_days", "field": "cycle_days", "func": "avg"}, {"name": "n", "field": "order_key", "func": "count"}, {"name": "p95_cycle_days", "field": "cycle_days", "func": "percentile", "arg": 95}]},
+            {"name": "mean_days", "field": "cycle_days", "func": "avg"}, {"name": "n", "field": "order_key", "func": "count"}, {"name": "p95_days", "field": "cycle_days", "func": "percentile", "arg": 95}]},
     ],
 }
 
@@ -278,13 +278,13 @@ def _lowered(s: SparkSession, d: str, document: dict, names: list[str], step: st
 def pipeline_cycle_time(s: SparkSession, d: str) -> DataFrame:
     """The flagship: two sources, transforms, a join, a filter and an aggregate from one document."""
     got = _lowered(s, d, CYCLE_TIME, ["lineitem", "orders"], "result")
-    return got.select("o_orderpriority", F.round("avg_cycle_days", 6).alias("avg_cycle_days"), "n", F.round("p95_cycle_days", 6).alias("p95_cycle_days"))
+    return got.select("o_orderpriority", F.round("mean_days", 6).alias("mean_days"), "n", F.round("p95_days", 6).alias("p95_days"))
 
 
 _add(
     "pipeline_cycle_time",
     pipeline_cycle_time,
-    """SELECT o_orderpriority, round(avg(x), 6) AS avg_cycle_days, count(*) AS n, round(quantile_cont(x, 0.95), 6) AS p95_cycle_days
+    """SELECT o_orderpriority, round(avg(x), 6) AS mean_days, count(*) AS n, round(quantile_cont(x, 0.95), 6) AS p95_days
     FROM (SELECT o_orderpriority, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 AS x
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F') GROUP BY o_orderpriority""",
 )
@@ -292,9 +292,9 @@ ISSUES = {
     "name": "issue-cycle-time", "start_at": "resolved",
     "connections": {"store": {"type": "file", "root": "tables"}},
     "steps": [
-        {"id": "resolved", "type": "filter", "input": {"from_connection": "store", "path": "jira_parser.parquet"}, "condition": [{"field": "status", "op": "eq", "value": "Resolved"}, {"field": "resolution_date", "op": "not_null"}, {"field": "cycle_time_days", "op": "lt", "value": 1e6}]},
+        {"id": "resolved", "type": "filter", "input": {"from_connection": "store", "path": "jira_parser.parquet"}, "condition": [{"field": "status", "op": "eq", "value": "Resolved"}, {"field": "resolution_date", "op": "not_null"}]},
         {"id": "result", "type": "aggregate", "input": {"from_step": "resolved"}, "group_by": ["assignee"], "aggregates": [
-            {"name": "avg_cycle_days", "field": "cycle_time_days", "func": "avg"}, {"name": "tickets_resolved", "field": "id", "func": "count"}, {"name": "p95_cycle_days", "field": "cycle_time_days", "func": "percentile", "arg": 95}]},
+            {"name": "mean_days", "field": "cycle_time_days", "func": "avg"}, {"name": "issues", "field": "id", "func": "count"}, {"name": "p95_days", "field": "cycle_time_days", "func": "percentile", "arg": 95}]},
         {"id": "later", "type": "stub", "reason": "pending"},
     ],
 }
@@ -302,12 +302,12 @@ ISSUES = {
 
 def pipeline_issues(s: SparkSession, d: str) -> DataFrame:
     got = _lowered(s, d, ISSUES, ["jira_parser"], "result")
-    return got.select("assignee", F.round("avg_cycle_days", 4).alias("avg_cycle_days"), "tickets_resolved", F.round("p95_cycle_days", 4).alias("p95_cycle_days"))
+    return got.select("assignee", F.round("mean_days", 4).alias("mean_days"), "issues", F.round("p95_days", 4).alias("p95_days"))
 
 
 _add(
     "pipeline_issues",
     pipeline_issues,
-    """SELECT assignee, round(avg(cycle_time_days), 4) AS avg_cycle_days, count(*) AS tickets_resolved, round(quantile_cont(cycle_time_days, 0.95), 4) AS p95_cycle_days
-    FROM jira_parser WHERE status = 'Resolved' AND resolution_date IS NOT NULL AND cycle_time_days < 1e6 GROUP BY assignee""",
+    """SELECT assignee, round(coalesce(avg(cycle_time_days), 0), 4) AS mean_days, count(*) AS issues, round(coalesce(quantile_cont(cycle_time_days, 0.95) FILTER (NOT isnan(cycle_time_days)), 0), 4) AS p95_days
+    FROM jira_parser WHERE status = 'Resolved' AND resolution_date IS NOT NULL GROUP BY assignee""",
 )

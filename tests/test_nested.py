@@ -1,5 +1,8 @@
 import json
 
+import nested_brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,57 +15,98 @@ from millrace.plans.training import BODY_TABLES
 JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.sampled_from(["id", "key", "fields", "comments", "items", "subtasks", "histories", "a"]), x, max_size=4), max_leaves=25)
 
 
-def plain(x):
-    """Numbers as text again."""
-    if isinstance(x, dict):
-        return {k: plain(v) for k, v in x.items()}
-    if isinstance(x, list):
-        return [plain(v) for v in x]
-    return json.loads(x) if isinstance(x, nested._Number) else x
+def same_json(key):
+    """A key that is an object or array itself comes out as written; here in one form."""
+    try:
+        return json.dumps(json.loads(key)) if key and key[0] in "[{" else key
+    except ValueError:
+        return key
 
 
-@settings(max_examples=200, deadline=None)
-@given(JSON)
-def test_both_readers_and_the_triples(value):
-    text = json.dumps(value)
-    assert plain(nested._parse_deep(text)) == plain(nested._parse(text)) == value
-    got = list(nested.triples(nested._parse(text)))
-
-    def build(prefix, ordinals):
-        kind, at = next((k, v) for p, o, k, v in got if p == prefix and o == ordinals)
-        if kind == "object":
-            names = [p[len(prefix) + 1 :] for p, o, _, _ in got if o == ordinals and p.startswith(prefix + ".") and "." not in p[len(prefix) + 1 :] and "[" not in p[len(prefix) + 1 :]]
-            return {n: build(f"{prefix}.{n}", ordinals) for n in names}
-        if kind == "array":
-            n = len({o for p, o, _, _ in got if p == prefix + "[]" and o[:-1] == ordinals})
-            return [build(prefix + "[]", (*ordinals, i)) for i in range(n)]
-        return {"null": None, "boolean": at == "true", "string": at}.get(kind) if kind != "number" else json.loads(at)
-
-    # The way back from path, ordinals and value gives the record.
-    assert build("$", ()) == value
-
-
-@pytest.mark.parametrize("text", ["", None, "  ", "{", '{"a":1', '{"a":1} x', "[1,]", '{"a":NaN}', "nothing", "{'a':1}", '"half', '{"a" 1}', "[1 2]", "{,}", "]", '{"a":1,}'])
+def read(texts):
+    """The rows of records by the library, as the brute force has them."""
+    out = [[] for _ in texts]
+    for at, bodies in nested._chunks(pa.array(texts, pa.string())):
+        record, made = nested.pivot(nested.triples(bodies), pa.array(["r"] * len(bodies)), BODY_TABLES)
+        for r, *row in zip(record.tolist(), *[m.to_pylist() for m in made], strict=True):
+            out[at[r]].append((row[0], same_json(row[1]), same_json(row[2]), row[3], sorted(row[4], key=str)))
+    return out
+
+
+def brute(text):
+    whole, value = nested_brute.decode(text)
+    return [(r.table, same_json(r.parent), same_json(r.key), r.position, sorted(r.columns.items(), key=str)) for r in nested_brute.pivot(value, "r", BODY_TABLES)] if whole else []
+
+
+def triples_of(text):
+    for _, bodies in nested._chunks(pa.array([text], pa.string())):
+        t = nested.triples(bodies)
+        kinds = {nested._OBJECT: "object", nested._ARRAY: "array"}
+        values = t.texts(np.arange(len(t.kind))).to_pylist()
+        return list(zip(np.array(t.path_texts(), dtype=object)[t.path].tolist(), map(tuple, nested._ordinals(t).to_pylist()), [kinds.get(k, "scalar") for k in t.kind.tolist()], [None if k < nested._STRING else v for k, v in zip(t.kind.tolist(), values, strict=True)], strict=True))
+    return []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(JSON, max_size=4), st.sampled_from([(", ", ": "), (",", ":"), (" ,\n", "\t: ")]))
+def test_triples_and_rows_against_brute_force(values, separators):
+    texts = [json.dumps(v, separators=separators, ensure_ascii=i % 2 == 0) for i, v in enumerate(values)]
+    assert read(texts) == [brute(t) for t in texts]
+    for t in texts:
+        whole, value = nested_brute.decode(t)
+        want = [(p, o, k if k in ("object", "array") else "scalar", v) for p, o, k, v in nested_brute.triples(value)]
+        assert whole and triples_of(t) == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*'{}[]:,"\\ntue0123.-eE \n\x01', "true", "null", '"a"', '"id":', "\\u00e9"]), max_size=12).map("".join), min_size=1, max_size=5))
+def test_what_is_json(texts):
+    """Broken records are told from whole ones, and harm none of their neighbours."""
+
+    def is_json(t):
+        try:
+            return json.loads(t, parse_constant=nested._refuse) is not None or True
+        except ValueError:
+            return False
+
+    good = json.dumps({"key": "K", "fields": {}, "id": 1})
+    mixed = [x for t in texts for x in (t, good)]
+    got = read(mixed)
+    assert [bool(r) for r in got] == [is_json(x) for x in mixed]
+    assert all(r[0][:3] == ("issue", "r", "1") for r in got[1::2])
+
+
+NO_JSON = ["", None, "  ", "{", '{"a":1', '{"a":1} x', "[1,]", '{"a":NaN}', "nothing", "{'a':1}", '"half', '{"a" 1}', "[1 2]", "{,}", "]", '{"a":1,}', "[1}", '{"a":"\n"}', '"\\x"', "01", "[-]", '{1:2}', "{} {}", '"\\u12g4"', "[" * 50_000]
+
+
+@pytest.mark.parametrize("text", NO_JSON)
 def test_what_is_no_json(text):
-    assert nested.decode(text) == (False, None)
-    if text and text.strip():
-        with pytest.raises(ValueError):
-            nested._parse_deep(text)
+    assert nested_brute.decode(text) == (False, None)
+    assert read([text, "1"])[0] == [] and read([text, "[2]"])[1] != []
+
+
+def test_names_that_come_twice():
+    text = '{"a":{"x":1},"b":[1,{"id":3,"id":4}],"a":{"y":[5]},"b":7}'
+    assert triples_of(text) == [("$", (), "object", None), ("$.a", (), "object", None), ("$.a.y", (), "array", None), ("$.a.y[]", (0,), "scalar", "5"), ("$.b", (), "scalar", "7")]
+    assert read(['{"\\u0061":1,"a":2}']) == [[("record", None, "r", 0, [("a", "2")])]]
 
 
 def test_json_within_a_string():
-    assert nested.decode(json.dumps(json.dumps({"a": 1}))) == (True, {"a": 1})
-    assert nested.decode(json.dumps("accepted")) == (True, "accepted")
-    assert nested.decode(json.dumps({"a": json.dumps({"id": 1})}))[1] == {"a": '{"id": 1}'}
+    inner = {"key": "A", "fields": {}, "id": 1}
+    for text in (json.dumps(json.dumps(inner)), " " + json.dumps(json.dumps(json.dumps(inner)))):
+        assert read([text]) == read([json.dumps(inner)])
+    assert read([json.dumps("accepted")]) == [[("record", None, "r", 0, [("$", "accepted")])]]
+    assert read([json.dumps({"a": json.dumps({"id": 1})})]) == [[("record", None, "r", 0, [("a", '{"id": 1}')])]]
 
 
 def test_very_deep_and_very_long():
-    deep = "[" * 50_000 + '{"comments":[{"id":1}]}' + "]" * 50_000
-    whole, value = nested.decode(deep)
-    assert whole and [r[:3] for r in nested.rows_of(value, "r", BODY_TABLES)] == [("comment", None, "1")]
+    deep = "[" * 5_000 + '{"comments":[{"id":1}]}' + "]" * 5_000
+    assert [r[:3] for r in read([deep])[0] if r[0] == "comment"] == [("comment", None, "1")]
     digits = "9" * 6000
-    assert nested.as_text(nested.decode(f'{{"id":{digits}}}')[1]["id"]) == digits
-    assert nested.decode("[" * 50_000) == (False, None)
+    assert read([f'{{"id":{digits},"comments":{{"id":-0.50E+1}}}}'])[0][1][:3] == ("comment", None, "-0.50E+1")
+    assert read([f'{{"id":{digits}}}']) == [[("record", None, "r", 0, [("id", digits)])]]
+    long = "x" * (nested.CHUNK + 10)
+    assert read([json.dumps({"a": long}), "[1]", json.dumps(long)])[0][0][4] == [("a", long)]
 
 
 def test_tables_and_links(spark):
@@ -102,12 +146,14 @@ def test_triples_of_a_table(spark):
 @settings(max_examples=200, deadline=None)
 @given(JSON)
 def test_every_scalar_has_a_place_in_the_tables(value):
-    value = nested._parse(json.dumps({"key": 1, "a.b": 2, "fields": {"a": {"b": 3}, "a.b": 4}, "comments": value}))
-    found = nested.pivot(value, "r", BODY_TABLES)
+    text = json.dumps({"key": 1, "a.b": 2, "fields": {"a": {"b": 3}, "a.b": 4}, "comments": value})
+    t = nested.triples(pa.array([text]))
+    _, (table, _, _, _, columns, row, _) = nested.pivot(t, pa.array(["r"]), BODY_TABLES)
     # An object of two tables has the same columns in both.
-    once = list({(r.number, k): v for r in found for k, v in r.columns.items()}.values())
-    assert sorted(once, key=str) == sorted((v for _, _, k, v in nested.triples(value) if k not in ("object", "array")), key=str)
-    assert sorted(((r.table, r.parent, r.key, r.position) for r in found if r.wanted), key=str) == sorted(nested.rows_of(value, "r", BODY_TABLES), key=str)
+    once = list({(n, k): v for n, c in zip(row.to_pylist(), columns.to_pylist(), strict=True) for k, v in c}.values())
+    assert sorted(once, key=str) == sorted((v for _, _, k, v in triples_of(text) if k == "scalar"), key=str)
+    links = nested.pivot(t, pa.array(["r"]), BODY_TABLES, columns=False, whole=False)[1]
+    assert links[0].to_pylist() == [x for x in table.to_pylist() if x in {b.name for b in BODY_TABLES}]
 
 
 def test_columns_that_nobody_listed(spark):
