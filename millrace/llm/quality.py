@@ -1,22 +1,26 @@
 """Statistics of texts that tell running prose from lists, tables, code, diffs and junk.
 
 Two kinds of statistics come out for each text, both over the whole text. Those of published filters (words, mean word length,
-symbols, bullets, ellipses, lines ending in punctuation, common words, letters), each held against its published fixed threshold
-with a reason for every failure. And the share of non-blank characters in running sentences: lines are sorted into headers, list
-entries, table rows, code, diff lines and others by their shape; the others are joined to paragraphs, and a paragraph runs
-if its words hold to the same thresholds (common words of its language, length of words, letters) and are as many as a
-sentence needs.
-
-Null and empty texts have zero statistics and the reason ``no_text``; copies have equal results.
+symbols, bullets, ellipses, lines ending in punctuation, common words, letters, repeated lines) are built-in expressions, each held against its
+published fixed threshold with a reason for every failure. And the share of non-blank characters in running sentences, which those
+filters don't have: the lines of many texts at once are sorted into headers, list entries, table rows, code, diff lines and
+others by their shape; the others are joined to paragraphs, and a paragraph runs if its words hold to the same kind of thresholds (common
+words of its language, length of words, letters) and are as many as a sentence needs. That is done column by column on Arrow arrays.
+
+Words are what stands between blanks (of ASCII), lines what stands between line ends; blank lines don't count. Null and empty texts have
+zero statistics and the reason ``no_text``; copies have equal results. Columns of the input that aren't kept don't matter.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Frequent function words.
@@ -29,7 +33,7 @@ COMMON_WORDS = {
     "pt": "o a os as um uma e é não que de do da dos das em no na nos nas com por para se seu sua mas ou como mais também este esta isso são era ser foi tem depois antes quando porque ainda muito já",
     "nl": "de het een en is niet dat die van in op te met voor aan door er om maar of als bij naar ook nog wel zijn was waren wordt worden heeft hebben had kan zo dan dit deze geen meer hier wat wij we ze zij je ik hij over uit tot na voordat omdat",
 }
-_COMMON = {w: sum(1 << i for i, words in enumerate(COMMON_WORDS.values()) if w in words.split()) for w in {w for words in COMMON_WORDS.values() for w in words.split()}}
+_COMMON = {w: [w in words.split() for words in COMMON_WORDS.values()] for w in sorted({w for words in COMMON_WORDS.values() for w in words.split()})}
 
 # Thresholds of published filters for web text (Gopher, C4 and FineWeb).
 RULES = (
@@ -47,192 +51,203 @@ RULES = (
     ("not_running_prose", "prose_share", 0.5, None),
 )
 
+# The words of the published rule on common words, ends of sentences, marks of list entries.
+STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
+ENDS = (".", "!", "?", '"', "'", "”", "»")
+BULLETS = ("-", "*", "+", "•", "‣", "◦", "·")
+
 #: A paragraph runs if it has at least so many words, and of them at least this share are common in one language.
 SENTENCE_WORDS = 6
 COMMON_SHARE = 0.22
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_TOKEN = re.compile(r"\S+")
-_HEAD = re.compile(r"commit [0-9a-f]{7,64}\b|(?:Merge|Author|AuthorDate|Commit|CommitDate|Committer|Date|From|Subject|To|Cc|Message-Id|In-Reply-To|References|X-[\w-]+|MIME-Version|Content-[\w-]+): |From [0-9a-f]{40} ")
-_TRAILER = re.compile(r"[A-Z][A-Za-z]*(?:-[A-Za-z]+)+: \S|(?:Fixes|Closes|Refs?|See|Link|Bug|Issue|Reverts|Resolves|Version|URL|url|artifacts): ?\S")
-_LIST = re.compile(r"(?:[-*+•‣◦·–—]|\[[ xX]\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)])(?:\s|$)")
-_DIFF_START = re.compile(r"diff --|Index: |--- \S|@@ -\d|GIT binary patch|index [0-9a-f]{7,}\.\.")
-_DIFF_LINE = re.compile(r"[-+ @\\]|$|diff --|index [0-9a-f]|(?:new|deleted|old) (?:file )?mode|(?:similarity|dissimilarity) index|(?:rename|copy) (?:from|to) |Binary files |GIT binary patch|(?:literal|delta) \d|[A-Za-z][!-~]{20,}$|z[!-~]*$")
-_CELLS = re.compile(r"\t\S|\S {3,}\S")
-_CSV = re.compile(r"[^ ,]+(?:,[^ ,]+){2}")
-_CODE = re.compile(r"[=<>!+]=|=>|->|::|&&|\|\||\w\.\w+\(|</?\w+>|\w\[\w+\]|^(?:#include|#define|import |from \w+ import|def |class |return |SELECT |INSERT |ALTER |CREATE |//|/\*|\*/|--|#)")
-_CALL = re.compile(r"\)\s*[;:{]?$")
-_NAME = re.compile(r"\w_\w")
-_RULER = re.compile(r"[\W_]+$")
-_LOG = re.compile(r"(?:\[?\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\[[\w ]+\] |[0-9a-f]{7,64}\b|(?:ERROR|WARN|INFO|DEBUG|TRACE)\b|\w+Error:|\s*at \w|https?://|<{7}|>{7}|={7})")
-_QUOTE = re.compile(r"(?:>\s?)+")
-
-
-# Each takes time in proportion to the line, which may be a whole text.
-def _is_table(line: str) -> bool:
-    if line.count("|") >= 2 or line.count(";") >= 3 or _CELLS.search(line) or _CSV.match(line):
-        return True
-    first = line.find(",")
-    return first >= 0 and line.find(',"', first + 1) >= 0
-
-
-def _is_code(line: str) -> bool:
-    if line[-1] in "{};\\" or _CODE.search(line):
-        return True
-    end = _CALL.search(line[-40:])
-    if end:
-        start = line.rfind("(")
-        inside = line[start : len(line) - min(40, len(line)) + end.start()]
-        if start > 0 and (line[start - 1].isalnum() or line[start - 1] == "_") and not any(c.isspace() for c in inside):
-            return True
-    name = _NAME.search(line)
-    return name is not None and ("=" in line[name.end() :] or ":" in line[name.end() :])
-
-
-def _paragraphs(text: str) -> Iterator[list[str]]:
-    """Runs of lines that may be prose. Blank lines and lines of another shape end a run."""
-    run: list[str] = []
-    in_diff = False
-    listed = -1
-    for raw in text.splitlines():
-        if in_diff:
-            if not _HEAD.match(raw) and _DIFF_LINE.match(raw):
-                continue
-            in_diff = False
-        line = raw.strip()
-        if not line:
-            listed = -1 if listed < 0 else listed
-            if run:
-                yield run
-                run = []
-            continue
-        indent = len(raw) - len(raw.lstrip())
-        if line[0] == ">" and not line.startswith(">>>>>>>"):
-            line = _QUOTE.sub("", line, count=1).strip()
-            if not line:
-                if run:
-                    yield run
-                    run = []
-                continue
-        other = True
-        if _DIFF_START.match(line) and indent == 0:
-            in_diff = True
-        elif _LIST.match(line):
-            listed = indent
-        elif listed >= 0 and indent > listed:
-            pass  # goes on with the entry above
-        elif not (_HEAD.match(line) or _TRAILER.match(line) or _LOG.match(line) or _is_table(line) or _is_code(line) or _RULER.match(line)):
-            other, listed = False, -1
-        else:
-            listed = -1
-        if not other:
-            run.append(line)
-        elif run:
-            yield run
-            run = []
-    if run:
-        yield run
-
-
-def _runs(words: list[str], tokens: list[str]) -> bool:
-    """Whether the words of a paragraph are running sentences."""
-    n = len(words)
-    if n < SENTENCE_WORDS or n < 0.7 * len(tokens):
-        return False
-    by_language = [0] * len(COMMON_WORDS)
-    for w in words:
-        bits = _COMMON.get(w, 0)
-        i = 0
-        while bits:
-            if bits & 1:
-                by_language[i] += 1
-            bits >>= 1
-            i += 1
-    most = max(by_language)
-    if most < 2 or most < COMMON_SHARE * n or not 2.5 <= sum(map(len, words)) / n <= 10:
-        return False
-    return len(set(words)) >= min(5, 0.5 * n)
-
-
-def prose_share(text: str) -> float:
-    """Share of the non-blank characters that stand in running sentences."""
-    every = sum(map(len, text.split()))
-    if not every:
-        return 0.0
-    inside = 0
-    for lines in _paragraphs(text):
-        for part in _parts(lines):
-            joined = " ".join(part)
-            if _runs(_WORD.findall(joined.lower()), joined.split()):
-                inside += sum(map(len, joined.split()))
-    return inside / every
-
-
-def _parts(lines: list[str]) -> Iterator[list[str]]:
-    """A paragraph whole, or, where its lines are sentences of their own, line by line; a subject line is no part of what follows."""
-    ends = sum(line[-1] in ".!?…:" for line in lines)
-    if len(lines) > 1 and (ends >= 0.8 * len(lines) or ends == 0):
-        # Each line ends by itself, or none does: a line has to be a sentence alone. Wrapped text has ends within lines.
-        if ends or not any(re.search(r"[.!?] [A-ZÀ-Ý]", line) for line in lines):
-            if ends or all(len(line.split()) >= SENTENCE_WORDS for line in lines):
-                yield from ([line] for line in lines)
-                return
-    yield lines
-
-
-def statistics(text: str | None) -> dict[str, float]:
-    """The statistics of one text."""
-    text = text or ""
-    tokens = text.split()
-    n = len(tokens)
-    lines = [line.strip() for line in text.splitlines()]
-    lines = [line for line in lines if line]
-    m = max(1, len(lines))
-    words = _WORD.findall(text.lower())
-    letters = sum(any(map(str.isalpha, t)) for t in tokens)
-    repeated = len(lines) - len(set(lines))
-    common = len({w for w in words if w in _COMMON})
+BLANKS = " \t\n\r\f\v"
+#: Lines of at most so many bytes, or one text, are sorted together.
+CHUNK = 8 << 20
+
+
+def statistics(text: Column) -> dict[str, Column]:
+    """The statistics of published filters, by name."""
+    text = F.coalesce(text, F.lit(""))
+    length_without = lambda what: F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
+    words = F.filter(F.split(text, f"[{BLANKS}]+"), lambda w: w != "")
+    lines = F.filter(F.transform(F.split(text, "[\r\n]"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    bare = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    n, m = F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
+    share = lambda of, test, total: F.size(F.filter(of, test)) / total
     return {
-        "n_words": n,
-        "mean_word_length": sum(map(len, tokens)) / max(1, n),
-        "symbol_ratio": (text.count("#") + text.count("...") + text.count("…")) / max(1, n),
-        "bullet_lines": sum(line[0] in "-*+•‣◦·" for line in lines) / m,
-        "ellipsis_lines": sum(line.endswith(("...", "…")) for line in lines) / m,
-        "punctuated_lines": sum(line[-1] in ".!?\"'”»" for line in lines) / m,
-        "letter_words": letters / max(1, n),
-        "n_common": common,
-        "common_share": sum(w in _COMMON for w in words) / max(1, len(words)),
-        "repeated_lines": repeated / m,
-        "prose_share": prose_share(text),
+        "n_words": F.size(words).cast("long"),
+        "mean_word_length": F.length(F.translate(text, BLANKS, "")) / n,
+        "symbol_ratio": (length_without("#") + length_without("...") / 3 + length_without("…")) / n,
+        "bullet_lines": share(lines, lambda x: F.left(x, F.lit(1)).isin(*BULLETS), m),
+        "ellipsis_lines": share(lines, lambda x: x.endswith("...") | x.endswith("…"), m),
+        "punctuated_lines": share(lines, lambda x: F.right(x, F.lit(1)).isin(*ENDS), m),
+        "letter_words": share(words, lambda w: w.rlike(r"\p{L}"), n),
+        "n_common": F.size(F.array_intersect(F.array(*map(F.lit, STOP_WORDS)), bare)).cast("long"),
+        "common_share": share(bare, lambda w: w.isin(*_COMMON), F.greatest(F.size(bare), F.lit(1))),
+        "repeated_lines": 1 - F.size(F.array_distinct(lines)) / m - F.when(F.size(lines) == 0, 1).otherwise(0),
     }
 
 
-FIELDS = list(statistics(""))
-_SCHEMA = ", ".join(f"{f} {'long' if f in ('n_words', 'n_common') else 'double'}" for f in FIELDS)
+FIELDS = ["n_words", "mean_word_length", "symbol_ratio", "bullet_lines", "ellipsis_lines", "punctuated_lines", "letter_words", "n_common", "common_share", "repeated_lines", "prose_share"]
+
+# Shapes of lines, in the syntax of RE2. W: a letter, digit or underscore of any script.
+_W = r"[\p{L}\p{N}_]"
+HEAD = r"^(?:commit [0-9a-f]{7,64}\b|(?:Merge|Author|AuthorDate|Commit|CommitDate|Committer|Date|From|Subject|To|Cc|Message-Id|In-Reply-To|References|X-[\w-]+|MIME-Version|Content-[\w-]+): |From [0-9a-f]{40} )"
+TRAILER = r"^(?:[A-Z][A-Za-z]*(?:-[A-Za-z]+)+: \S|(?:Fixes|Closes|Refs?|See|Link|Bug|Issue|Reverts|Resolves|Version|URL|url|artifacts): ?\S)"
+LIST = r"^(?:[-*+•‣◦·–—]|\[[ xX]\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)])(?:\s|$)"
+DIFF_START = r"^(?:diff --|Index: |--- \S|@@ -\d|GIT binary patch|index [0-9a-f]{7,}\.\.)"
+DIFF_LINE = r"^(?:[-+ @\\]|$|diff --|index [0-9a-f]|(?:new|deleted|old) (?:file )?mode|(?:similarity|dissimilarity) index|(?:rename|copy) (?:from|to) |Binary files |GIT binary patch|(?:literal|delta) \d|[A-Za-z][!-~]{20,}$|z[!-~]*$)"
+TABLE = r"\|.*\||;.*;.*;|\t\S|\S {3,}\S|^[^ ,]+,[^ ,]+,[^ ,]|,.*,\""
+CODE = rf"[{{}};\\]$|[=<>!+]=|=>|->|::|&&|\|\||{_W}\.{_W}+\(|</?{_W}+>|{_W}\[{_W}+\]|^(?:#include|#define|import |from {_W}+ import|def |class |return |SELECT |INSERT |ALTER |CREATE |//|/\*|\*/|--|#)|{_W}\([^\s(]*\)\s*[;:{{]?$|{_W}_{_W}.*[=:]"
+RULER = r"^[^\p{L}\p{N}]+$"
+LOG = rf"^(?:\[?\d{{4}}-\d\d-\d\d|\d\d:\d\d:\d\d|\[[\p{{L}}\p{{N}}_ ]+\] |[0-9a-f]{{7,64}}\b|(?:ERROR|WARN|INFO|DEBUG|TRACE)\b|{_W}+Error:|\s*at {_W}|https?://|<{{7}}|>{{7}}|={{7}})"
+SHAPES = "|".join(f"(?:{x})" for x in (HEAD, TRAILER, LOG, TABLE, CODE, RULER))
+LINE_END = "\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]"
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+WITHIN = r"[.!?] [A-ZÀ-Ý]"
+
+
+def _is(lines: pa.Array, shape: str) -> np.ndarray:
+    return pc.match_substring_regex(lines, shape).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _numbers(a: pa.Array) -> np.ndarray:
+    return a.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _last(mark: np.ndarray) -> np.ndarray:
+    """The last marked place up to each place, itself included; -1 if there is none."""
+    return np.maximum.accumulate(np.where(mark, np.arange(len(mark)), -1)) if len(mark) else np.zeros(0, np.int64)
+
+
+def _before(last: np.ndarray) -> np.ndarray:
+    return np.concatenate([[-1], last[:-1]]) if len(last) else last
+
+
+def _prose_lines(raw: pa.Array, begin: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Which lines may be prose, and all lines without outer blanks and marks of quotes. begin: the first line of each line's text."""
+    line = pc.utf8_trim_whitespace(raw)
+    indent = _numbers(pc.utf8_length(pc.utf8_rtrim_whitespace(raw))) - _numbers(pc.utf8_length(line))
+    quote = pc.and_(pc.starts_with(line, ">"), pc.invert(pc.starts_with(line, ">>>>>>>")))
+    if pc.any(quote).as_py():
+        line = pc.replace_with_mask(line, quote, pc.utf8_trim_whitespace(pc.replace_substring_regex(line.filter(quote), r"^(?:>\s?)+", "")))
+    here = _numbers(pc.binary_length(line)) > 0
+    # A diff goes on from a line that starts one to the next line that is none of a diff.
+    starts = here & (indent == 0) & _is(line, DIFF_START)
+    ends = _is(raw, HEAD) | ~_is(raw, DIFF_LINE)
+    since = _before(_last(starts))
+    in_diff = (since >= begin) & (_last(ends) <= since)
+    at = np.flatnonzero(here & ~in_diff & ~starts)
+    # The other shapes are asked of what is left only. A list entry goes on in lines that are indented deeper.
+    rest, listed = line.take(pa.array(at)), np.zeros(len(raw), bool)
+    listed[at] = _is(rest, LIST)
+    entry = _last(listed)
+    plain = np.zeros(len(raw), bool)
+    plain[at] = ~listed[at]
+    known = entry >= begin
+    broken = _last(plain & ~(known & (indent > indent[np.maximum(entry, 0)])))
+    goes_on = plain & known & (broken < entry)
+    out = np.zeros(len(raw), bool)
+    at = np.flatnonzero(plain & ~goes_on)
+    out[at] = ~_is(line.take(pa.array(at)), SHAPES)
+    return out, line
+
+
+def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(group, weights=values, minlength=n)
+
+
+def prose_chars(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Non-blank characters of each text in running sentences, and in all. No text is null."""
+    every = _numbers(pc.utf8_length(texts)) - sum(_numbers(pc.count_substring(texts, b)) for b in BLANKS)
+    odd = pc.match_substring_regex(texts, "[\r\v\f\x1c-\x1e\x85\u2028\u2029]")
+    if pc.any(odd).as_py():
+        texts = pc.replace_with_mask(texts, odd, pc.replace_substring_regex(texts.filter(odd), LINE_END, "\n"))
+    split = pc.split_pattern(texts, "\n")
+    of, raw = _numbers(pc.list_parent_indices(split)), split.flatten()
+    first = np.searchsorted(of, np.arange(len(texts)))
+    prose, line = _prose_lines(raw, first[of])
+    at = np.flatnonzero(prose)
+    if not len(at):
+        return np.zeros(len(texts)), every
+    line, of = line.take(pa.array(at)), of[at]
+    words = _words(line)
+    # A paragraph is a run of such lines.
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])])
+    para = np.cumsum(new) - 1
+    n = int(para[-1]) + 1
+    lines, ends = _sums(np.ones(len(at)), para, n), _sums(_is(line, "[.!?…:]$"), para, n)
+    # Each line ends by itself, or none does: a line has to be a sentence alone. Wrapped text has ends within lines.
+    alone = (lines > 1) & ((ends >= 0.8 * lines) & (ends > 0) | (ends == 0) & (_sums(_is(line, WITHIN), para, n) == 0) & (_sums(words.tokens < SENTENCE_WORDS, para, n) == 0))
+    part = np.cumsum(new | alone[para]) - 1
+    runs = _running(words, part, int(part[-1]) + 1)
+    return _sums(np.where(runs[part], words.size, 0), of, len(texts)), every
+
+
+@dataclass
+class _Words:
+    """The words of some lines: line and word of each, the words, and of each line its tokens between blanks and their characters."""
+
+    line: np.ndarray
+    word: np.ndarray
+    known: list[str]
+    tokens: np.ndarray
+    size: np.ndarray
+
+
+def _words(lines: pa.Array) -> _Words:
+    """Each distinct token is looked at once."""
+    split = pc.ascii_split_whitespace(pc.utf8_lower(lines))
+    line, coded = _numbers(pc.list_parent_indices(split)), split.flatten().dictionary_encode()
+    token, distinct = _numbers(coded.indices), coded.dictionary.to_pylist()
+    known: dict[str, int] = {}
+    inside = [[known.setdefault(w, len(known)) for w in _WORD.findall(t)] for t in distinct]
+    parts = [t.split() for t in distinct]  # at other blanks, too
+    count = lambda values: _sums(np.array(values, dtype=np.int64)[token], line, len(lines)) if distinct else np.zeros(len(lines))
+    many = np.array([len(x) for x in inside], dtype=np.int64)
+    each, begin = many[token], np.cumsum(many) - many
+    at = np.repeat(begin[token] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    return _Words(np.repeat(line, each), np.array([w for x in inside for w in x], dtype=np.int64)[at], list(known), count([len(p) for p in parts]), count([sum(map(len, p)) for p in parts]))
+
+
+def _running(words: _Words, part: np.ndarray, n: int) -> np.ndarray:
+    """Which parts (groups of lines) are running sentences."""
+    group, word, known = part[words.line], words.word, words.known
+    tokens = _sums(words.tokens, part, n)
+    letters = _sums(np.array([len(w) for w in known] or [0])[word], group, n)
+    common = np.array([_COMMON.get(w, [False] * len(COMMON_WORDS)) for w in known], dtype=bool).reshape(-1, len(COMMON_WORDS))
+    most = np.max([_sums(common[word, k], group, n) for k in range(len(COMMON_WORDS))], axis=0)
+    words = _sums(np.ones(len(word)), group, n)
+    pairs = np.sort(group * max(1, len(known)) + word)
+    different = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] // max(1, len(known)), minlength=n)
+    mean = letters / np.maximum(words, 1)
+    enough = (words >= SENTENCE_WORDS) & (words >= 0.7 * tokens) & (most >= 2) & (most >= COMMON_SHARE * words)
+    return enough & (mean >= 2.5) & (mean <= 10) & (different >= np.minimum(5, 0.5 * words))
 
 
-def _apply(df: DataFrame, text: str, keep: list[str], fields: list[str], compute, schema: str) -> DataFrame:
+def prose_shares(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(keep..., text, prose_share): the share of the non-blank characters that stand in running sentences."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [compute(t) for t in batch.column(len(keep)).to_pylist()]
-            types = [pa.int64() if f in ("n_words", "n_common") else pa.float64() for f in fields]
-            columns = [pa.array([g[f] for g in got], kind) for f, kind in zip(fields, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], *columns], names=[*keep, *fields])
+            texts = pc.fill_null(batch.column(len(keep)), "")
+            size, at = np.cumsum(_numbers(pc.binary_length(texts))), 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
+                inside, every = prose_chars(texts.slice(at, to - at))
+                columns = [batch.column(k).slice(at, to - at) for k in range(len(keep) + 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(inside / np.maximum(every, 1))], names=[*keep, "__text", "prose_share"])
+                at = to
 
     kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    names = "".join(f"`{c}` {t}, " for c, t in kept.drop("__text").dtypes)
-    return kept.mapInArrow(read, names + schema)
+    return kept.mapInArrow(read, "".join(f"`{c}` {t}, " for c, t in kept.dtypes) + "prose_share double")
 
 
 def quality(df: DataFrame, text: str, keep: list[str], rules: tuple = RULES) -> DataFrame:
     """(keep..., statistics..., reasons array<string>) of every text; no reason: it passes all rules."""
-    got = _apply(df, text, keep, FIELDS, statistics, _SCHEMA)
-    return got.withColumn("reasons", reasons(rules))
-
-
-def prose_shares(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """(keep..., prose_share) alone, for those who need no other statistic."""
-    return _apply(df, text, keep, ["prose_share"], lambda t: {"prose_share": prose_share(t or "")}, "prose_share double")
+    got = prose_shares(df, text, keep)
+    found = got.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(k) for k, c in statistics(F.col("__text")).items()], "prose_share")
+    return found.withColumn("reasons", reasons(rules))
 
 
 def reasons(rules: tuple = RULES, empty: bool = True) -> F.Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing, packing, quality, tokens
+from millrace.llm.oracle import SQL  # noqa: F401
 from millrace.sources.tables import table
 
 
@@ -42,15 +43,19 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mix(spark, d))
 
 
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(table(spark, d, "documents"), "text", ["doc_id"])
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that are natural prose: of all that p8_quality says of them, those without the reason on running sentences."""
-    return p8_quality(spark, d).where(~F.array_contains("reasons", "not_running_prose")).select("doc_id").distinct()
+    """Documents that are natural prose: of all that is said of them, those without the reason on running sentences."""
+    return _quality(spark, d).where(~F.array_contains("reasons", "not_running_prose")).select("doc_id").distinct()
 
 
 def p8_quality(spark: SparkSession, d: str) -> DataFrame:
     """All statistics of every document, and the published rules that it breaks."""
-    return quality.quality(table(spark, d, "documents"), "text", ["doc_id"])
+    got = _quality(spark, d)
+    return got.select("doc_id", *[F.round(f, 6).alias(f) if not f.startswith("n_") else F.col(f) for f in quality.FIELDS], F.array_join("reasons", ",").alias("reasons"))
 
 
 QUERIES = {"p6_packing": p6_packing, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
-SQL: dict[str, str] = {}
