@@ -91,7 +91,6 @@ def p2_slices_all(spark: SparkSession, d: str) -> DataFrame:
     return _slices(spark, d, GROUPINGS)
 
 
-_P2 = " UNION ALL ".join(f"SELECT {p} AS p" for p in PROBS)
 P2_SQL = f"""
 WITH v AS (SELECT assignee, status, cycle_time_days AS v FROM jira_parser WHERE isfinite(cycle_time_days)),
 q AS (
@@ -225,6 +224,49 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*REQUEST, F.col("table").alias("child_kind"), F.col("parent_key").alias("parent_id"), F.col("row_key").alias("child_id")).distinct()
 
 
+_TREE_SQL = """
+WITH RECURSIVE whole AS (
+  SELECT row_number() OVER () AS r, dag_run_id, request_id, response_body AS s FROM request_queue WHERE json_valid(response_body)),
+inner_ AS (SELECT r, dag_run_id, request_id, CASE WHEN json_type(s) = 'VARCHAR' AND json_valid(json_extract_string(s, '$')) THEN json_extract_string(s, '$') ELSE s END AS s FROM whole),
+node AS MATERIALIZED (SELECT r, dag_run_id, request_id, e.id, e.parent, e.key, e.type, e.value, regexp_replace(e.fullkey, '[[][0-9]+[]]', '[]', 'g') AS path FROM inner_, json_tree(inner_.s) e),
+held AS MATERIALIZED (
+  SELECT n.*, coalesce(p.type = 'ARRAY', false) AS element, CASE p.type WHEN 'OBJECT' THEN n.key WHEN 'ARRAY' THEN CASE WHEN g.type = 'OBJECT' THEN p.key END END AS held
+  FROM node n LEFT JOIN node p ON p.r = n.r AND p.id = n.parent LEFT JOIN node g ON g.r = n.r AND g.id = p.parent),
+kind AS MATERIALIZED (
+  SELECT *, CASE WHEN type = 'OBJECT' THEN list_filter([
+      CASE held WHEN 'subtasks' THEN 'subtask' WHEN 'comments' THEN 'comment' WHEN 'histories' THEN 'history' WHEN 'items' THEN 'item' END,
+      CASE WHEN held IS DISTINCT FROM 'subtasks' AND json_exists(value, '$.key') AND json_exists(value, '$.fields') THEN 'issue' END], lambda x: x IS NOT NULL) ELSE [] END AS kinds,
+    CASE WHEN type = 'OBJECT' THEN json_extract_string(value, '$.id') END AS own_id
+  FROM held),
+-- near: id of the nearest issue, subtask or history; home: nearest table around; owners: tables of the nearest row; around: key of that row. All with the node itself.
+tree AS (
+  SELECT r, dag_run_id, request_id, id, key, type, element, kinds, own_id, NULL::VARCHAR AS parent_id,
+    CASE WHEN list_has_any(kinds, ['issue', 'subtask', 'history']) THEN own_id END AS near,
+    CASE WHEN kinds = [] THEN ['record'] ELSE kinds END AS own, CASE WHEN kinds = [] THEN ['record'] ELSE kinds END AS owners, coalesce(kinds[-1], 'record') AS home, path AS home_path,
+    NULL::VARCHAR AS over, CASE WHEN kinds = [] THEN request_id WHEN kinds[-1] = 'item' THEN '0' ELSE own_id END AS around
+  FROM kind WHERE parent IS NULL
+  UNION ALL
+  SELECT k.r, k.dag_run_id, k.request_id, k.id, k.key, k.type, k.element, k.kinds, k.own_id, t.near,
+    CASE WHEN list_has_any(k.kinds, ['issue', 'subtask', 'history']) THEN k.own_id ELSE t.near END,
+    CASE WHEN k.kinds <> [] THEN k.kinds WHEN k.element AND k.type <> 'ARRAY' THEN [t.home || substr(k.path, length(t.home_path) + 1)] ELSE [] END AS mine,
+    CASE WHEN mine <> [] THEN mine ELSE t.owners END, coalesce(k.kinds[-1], t.home), CASE WHEN k.kinds <> [] THEN k.path ELSE t.home_path END,
+    t.around, CASE WHEN k.kinds <> [] AND k.kinds[-1] <> 'item' THEN k.own_id WHEN mine <> [] THEN CASE WHEN k.element THEN k.key ELSE '0' END ELSE t.around END
+  FROM tree t JOIN kind k ON k.r = t.r AND k.parent = t.id)
+"""
+P5_SQL = f"""{_TREE_SQL}
+SELECT DISTINCT dag_run_id, request_id, child_kind, CASE child_kind WHEN 'issue' THEN request_id ELSE parent_id END AS parent_id,
+  CASE WHEN child_kind <> 'item' THEN own_id WHEN element THEN key ELSE '0' END AS child_id
+FROM (SELECT *, unnest(kinds) AS child_kind FROM tree)
+"""
+P5_TABLES_SQL = f"""{_TREE_SQL}
+SELECT "table", sum(a)::BIGINT AS rows, sum(f)::BIGINT AS filled, sum(k)::BIGINT AS with_key, sum(p)::BIGINT AS with_parent FROM (
+  SELECT "table", 1 AS a, 0 AS f, (CASE WHEN "table" = 'record' THEN request_id IS NOT NULL WHEN "table" IN ('issue', 'subtask', 'comment', 'history') THEN own_id IS NOT NULL ELSE true END)::INT AS k,
+    (CASE WHEN "table" = 'record' THEN false WHEN "table" = 'issue' THEN request_id IS NOT NULL WHEN "table" IN ('subtask', 'comment', 'history', 'item') THEN parent_id IS NOT NULL ELSE over IS NOT NULL END)::INT AS p
+  FROM (SELECT *, unnest(own) AS "table" FROM tree)
+  UNION ALL SELECT unnest(owners), 0, 1, 0, 0 FROM tree WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL')) GROUP BY "table"
+"""
+
+
 def p5_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows of the flat tables with all their columns: every scalar of every complete body stands in one of them."""
     bodies = table(spark, d, "request_queue").select(*REQUEST, "seq", "response_body").where("response_body is not null")
@@ -241,4 +283,4 @@ QUERIES = {
     "p1_found": p1_found, "p1_runs": p1_runs, "p2_percentiles": p2_percentiles, "p2_slices": p2_slices, "p2_slices_all": p2_slices_all, "p3_found": p3_found, "p3_normalised": p3_normalised,
     "p4_found": p4_found, "p4_key_results": p4_key_results, "p4_distinct": p4_distinct, "p4_skew_join": p4_skew_join, "p4_join_types": p4_join_types, "p5_found": p5_found, "p5_rows": p5_rows, "p5_tables": p5_tables,
 }
-SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p2_slices_all": P2_SLICES_ALL_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_distinct": P4_DISTINCT_SQL, "p4_skew_join": P4_JOIN_SQL, "p4_join_types": P4_TYPES_SQL}
+SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p2_slices_all": P2_SLICES_ALL_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_distinct": P4_DISTINCT_SQL, "p4_skew_join": P4_JOIN_SQL, "p4_join_types": P4_TYPES_SQL, "p5_found": P5_SQL, "p5_tables": P5_TABLES_SQL}
