@@ -176,7 +176,8 @@ class Triples:
 def triples(bodies: pa.Array) -> Triples:
     """Reads the records ``bodies`` (texts, none null)."""
     size = pc.binary_length(bodies).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(("\n".join(bodies.to_pylist()) + "\n").encode(), dtype=np.uint8)
+    ended = pc.binary_join_element_wise(bodies, "", "\n")
+    data = np.frombuffer(ended.buffers()[2] or b"", dtype=np.uint8)[: int((size + 1).sum())]
     begin = np.concatenate([[0], np.cumsum(size + 1)])
     record_of = lambda at: np.searchsorted(begin, at, "right") - 1
     good = size > 0
@@ -193,7 +194,7 @@ def triples(bodies: pa.Array) -> Triples:
         four = escaped[data[escaped] == ord("u")]
         good[record_of(four[~_HEX[data[np.minimum(four[:, None] + np.arange(1, 5), len(data) - 1)]].all(axis=1)])] = False
     good &= np.diff(np.searchsorted(quotes, begin)) % 2 == 0
-    quotes = quotes[good[record_of(quotes)]]
+    quotes = quotes if good.all() else quotes[good[record_of(quotes)]]
     opened, closed = quotes[0::2], quotes[1::2]
     edge = np.zeros(len(data) + 1, np.int8)
     edge[opened] = 1
@@ -204,15 +205,14 @@ def triples(bodies: pa.Array) -> Triples:
     # Tokens: marks, and where strings and literals begin.
     kinds = _CLASS[data]
     kinds[inside] = _BLANK
-    literal = np.diff((kinds == _LITERAL).view(np.int8), prepend=0, append=0)
-    kinds[kinds == _LITERAL] = _BLANK
-    kinds[np.flatnonzero(literal == 1)] = _LITERAL
+    literal = kinds == _LITERAL  # of the last byte it isn't, which ends a line
+    kinds[1:][literal[1:] & literal[:-1]] = _BLANK
     kinds[opened] = _STRING
     at = np.flatnonzero(kinds != _BLANK)
     code = kinds[at]
     end = at + 1
     end[code == _STRING] = closed + 1
-    end[code == _LITERAL] = np.flatnonzero(literal == -1)
+    end[code == _LITERAL] = np.flatnonzero(literal[:-1] > literal[1:]) + 1
     count = np.diff(np.searchsorted(at, begin))
     record = np.repeat(np.arange(len(size)), count)
 
@@ -226,8 +226,9 @@ def triples(bodies: pa.Array) -> Triples:
     ends = np.searchsorted(at, begin)
     total = np.concatenate([[0], depth])
     good &= total[ends[1:]] == total[ends[:-1]]
-    keep = good[record]
-    at, end, code, record, level = at[keep], end[keep], code[keep], record[keep], level[keep]
+    if not good.all():
+        keep = good[record]
+        at, end, code, record, level = at[keep], end[keep], code[keep], record[keep], level[keep]
     first = _starts(record)
 
     # What encloses each token, and where each object or array ends.
@@ -248,9 +249,9 @@ def triples(bodies: pa.Array) -> Triples:
     is_key = (code == _STRING) & (context == _OBJECT) & ((before == _OBJECT) | (before == _COMMA))
     value = ((code == _OBJECT) | (code == _ARRAY) | (code >= _STRING)) & ~is_key
     after = lambda mark: np.concatenate([[False], mark[:-1]]) & ~first if len(mark) else mark
-    ended = after(value & (code >= _STRING)) | (before == _OBJECT_END) | (before == _ARRAY_END)
-    fits = is_key | (code == _COLON) & after(is_key) | (code == _COMMA) & (context != _BLANK) & ended
-    fits |= ((code == _OBJECT_END) | (code == _ARRAY_END)) & (ended | (before == _OBJECT) | (before == _ARRAY))
+    done = after(value & (code >= _STRING)) | (before == _OBJECT_END) | (before == _ARRAY_END)
+    fits = is_key | (code == _COLON) & after(is_key) | (code == _COMMA) & (context != _BLANK) & done
+    fits |= ((code == _OBJECT_END) | (code == _ARRAY_END)) & (done | (before == _OBJECT) | (before == _ARRAY))
     fits |= value & np.where(context == _OBJECT, before == _COLON, np.where(context == _ARRAY, (before == _ARRAY) | (before == _COMMA), before == _BLANK))
     good[record[~fits]] = False
     words = np.flatnonzero(code == _LITERAL)

@@ -1,25 +1,28 @@
 """Timestamps of many written forms and zones as UTC microseconds.
 
-A value is turned into a shape mask (every digit ``0``, every letter ``a``, other characters as they are). Each distinct mask
-is given a parser once per worker: the spans of the fields in all values of that mask. Values of one mask are then read
-together, as a matrix of code points. Wall-clock times are converted through a transition table per zone, built once per
-worker from the installed edition of the IANA tables (``zone_edition()``).
+A value is turned into a shape mask (every digit ``0``, every letter ``a``, other characters as they are); that is one look-up over the
+bytes of a batch. Each distinct mask is given a parser once per worker: the spans of the fields in all values of that mask. Values of
+one mask are then read together, as a matrix of characters. Wall-clock times are converted through a transition table per zone,
+built once per worker from the installed edition of the IANA tables (``zone_edition()``). The edition that the driver has is part of
+the plan, and may be pinned; a worker that has another one raises, so that one result never mixes editions.
 
 A value gives null if it doesn't denote exactly one instant: no known zone where one is needed, a wall-clock time that the
 zone's clocks skip or show twice, no time of day, no valid date or time, or a form in which day and month can't be told
-apart. Null and empty texts give null; repeated values give the same result each.
+apart. That also holds for a zone named in brackets: at an hour shown twice it names two instants. Beyond the last transition of a
+table the zone's closing rule goes on, for all years to 9999. Null and empty texts give null; repeated values give the same result each;
+length doesn't matter.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections import defaultdict
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -38,10 +41,9 @@ ABBREVIATIONS = {
 #: Digits alone are read as whichever form falls into these years.
 NUMBER_YEARS = (2022, 2025)
 
-_MASK = str.maketrans(
-    {**{chr(c): "0" for c in range(48, 58)}, **{chr(c): "a" for r in (range(65, 91), range(97, 123)) for c in r}}
-    | {"\u2212": "-", "\u2013": "-", "\u00a0": " ", "\u202f": " "}
-)
+_MASK = np.array([48 if 48 <= b < 58 else 97 if chr(b).isalpha() and b < 128 else b if b < 128 else 1 for b in range(256)], dtype=np.uint8)
+# Characters that stand for others in written times.
+_SAME = {"\u2212": "-", "\u2013": "-", "\u00a0": " ", "\u202f": " "}
 
 _YMD = r"(?P<Y>0000)(?P<s>[-/.])(?P<m>00?)(?P=s)(?P<d>00?)"
 _DMY = r"(?P<d>00?)\.(?P<m>00?)\.(?P<Y>0000|00)"
@@ -63,12 +65,19 @@ _DIGITS = re.compile(r"0+(?:\.0+)?")
 
 
 def zone_edition() -> str:
-    """The edition of the zone tables in use."""
+    """The edition of the zone tables in use, as 2024a; "system" if the system's tables don't tell."""
     try:
         import tzdata
 
         return tzdata.IANA_VERSION
     except ImportError:
+        import zoneinfo
+        from pathlib import Path
+
+        for folder in zoneinfo.TZPATH:
+            if (about := Path(folder, "tzdata.zi")).is_file():
+                with about.open(encoding="utf-8") as f:
+                    return f.readline().split()[-1]
         return "system"
 
 
@@ -90,14 +99,20 @@ def _zone(name: str):
         return None
 
 
-@functools.lru_cache(maxsize=1024)
-def transitions(name: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """Instants (UTC microseconds) at which the zone's offset changes from 1930 to 2070, and the offsets before, between and
+#: Tables have the transitions of these years, from 1 January; ``far`` ones more, the last 400 of which repeat for ever.
+YEARS, FAR_YEARS = (1930, 2070), (1800, 2438)
+_CYCLE = 146_097 * DAY  # 400 years
+
+
+@functools.lru_cache(maxsize=2048)
+def transitions(name: str, far: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+    """Instants (UTC microseconds) at which the zone's offset changes in YEARS or FAR_YEARS, and the offsets before, between and
     after them; None if there is no such zone."""
     zone = _zone(name)
     if zone is None:
         return None
-    start, end, step = -1_262_304_000, 3_155_760_000, 86_400 * 6
+    start, end = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (FAR_YEARS if far else YEARS))
+    step = 86_400 * 6
 
     def offset(t: int) -> int:
         at = datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=t)
@@ -122,7 +137,21 @@ def transitions(name: str) -> tuple[np.ndarray, np.ndarray] | None:
 
 def wall_to_utc(local: np.ndarray, name: str | None) -> tuple[np.ndarray, np.ndarray]:
     """UTC of wall-clock microseconds, and where it is exactly one instant."""
-    table = transitions(name.strip()) if name else None
+    low, high = (_start(y) for y in YEARS)
+    far = (local < low + DAY) | (local > high - DAY)
+    if not far.any():
+        return _by_table(local, transitions(name.strip()) if name else None)
+    # The calendar and the closing rules repeat after 400 years.
+    shift = np.maximum(0, -((_start(FAR_YEARS[1] - 1) - local) // _CYCLE)) * _CYCLE
+    out, good = _by_table(local - shift, transitions(name.strip(), True) if name else None)
+    return out + shift, good
+
+
+def _start(year: int) -> int:
+    return int(datetime(year, 1, 1, tzinfo=UTC).timestamp()) * SECOND
+
+
+def _by_table(local: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     if table is None:
         return local, np.zeros(len(local), dtype=bool)
     when, offsets = table
@@ -136,6 +165,10 @@ def wall_to_utc(local: np.ndarray, name: str | None) -> tuple[np.ndarray, np.nda
     return local - offsets[i], ~odd
 
 
+#: Zones of some values: a number for each, and their names.
+Zones = tuple[np.ndarray, list[str | None]]
+
+
 def _number(chars: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     n = np.zeros(len(chars), dtype=np.int64)
     for k in range(*span):
@@ -179,19 +212,21 @@ def _clock(h, m, s, f) -> tuple[np.ndarray, np.ndarray]:
     return (h * 3600 + m * 60 + s) * SECOND + f, (h <= 23) & (m <= 59) & (s <= 59)
 
 
-def _at_zones(wall: np.ndarray, good: np.ndarray, zones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _at_zones(wall: np.ndarray, good: np.ndarray, zones: Zones) -> tuple[np.ndarray, np.ndarray]:
     out, fine = wall.copy(), np.zeros(len(wall), dtype=bool)
-    for z in {z for z in zones if isinstance(z, str)}:
-        at = np.flatnonzero(zones == z)
-        out[at], fine[at] = wall_to_utc(wall[at], z)
+    numbers, names = zones
+    for k in np.unique(numbers):
+        if names[k]:
+            at = np.flatnonzero(numbers == k)
+            out[at], fine[at] = wall_to_utc(wall[at], names[k])
     return out, good & fine
 
 
-def _written(shape: re.Match) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def _written(shape: re.Match) -> Callable[[np.ndarray, Zones], tuple[np.ndarray, np.ndarray]]:
     """The parser of masks such as 0000-00-00a00:00:00.000+0000."""
     has = {k: shape.span(k) for k, v in shape.groupdict().items() if v is not None}
 
-    def parse(chars: np.ndarray, zones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def parse(chars: np.ndarray, zones: Zones) -> tuple[np.ndarray, np.ndarray]:
         zero = np.zeros(len(chars), dtype=np.int64)
         get = lambda k: _number(chars, has[k]) if k in has else zero
         year = get("Y") + (2000 if has["Y"][1] - has["Y"][0] == 2 else 0)
@@ -225,19 +260,19 @@ def _written(shape: re.Match) -> Callable[[np.ndarray, np.ndarray], tuple[np.nda
             return wall - offset, good
         if "id" in has:
             names, at = _words(chars, has["id"])
-            zones = np.array([str(x) for x in names], dtype=object)[at]
+            zones = at, [str(x) for x in names]
         return _at_zones(wall, good, zones)
 
     return parse
 
 
-def _plain_number(mask: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def _plain_number(mask: str) -> Callable[[np.ndarray, Zones], tuple[np.ndarray, np.ndarray]]:
     """The parser of digits alone: Unix time in a unit, or date and time written out, whichever falls into NUMBER_YEARS."""
     whole, _, part = mask.partition(".")
     n, span = len(whole), (len(whole) + 1, len(mask))
     low, high = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) * SECOND for y in (NUMBER_YEARS[0], NUMBER_YEARS[1] + 1))
 
-    def parse(chars: np.ndarray, zones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def parse(chars: np.ndarray, zones: Zones) -> tuple[np.ndarray, np.ndarray]:
         out, good = np.zeros(len(chars), dtype=np.int64), np.zeros(len(chars), dtype=bool)
         zero = np.zeros(len(chars), dtype=np.int64)
         for digits, unit in ((10, 1), (13, 1_000), (16, 1_000_000), (19, 1_000_000_000)):
@@ -269,9 +304,9 @@ def _plain_number(mask: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndar
 
 
 @functools.lru_cache(maxsize=65_536)
-def parser_of(mask: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None:
+def parser_of(mask: str) -> Callable[[np.ndarray, Zones], tuple[np.ndarray, np.ndarray]] | None:
     """The parser of a mask; None if no value of that mask is a timestamp."""
-    if len(mask) < 10 or len(mask) > 80:
+    if len(mask) < 10:
         return None
     if _DIGITS.fullmatch(mask):
         return _plain_number(mask)
@@ -279,49 +314,61 @@ def parser_of(mask: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray,
     return _written(shape) if shape else None
 
 
-def to_utc(values: list[str | None], zones: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def to_utc(values: pa.Array | list[str | None], zones: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """UTC microseconds of each value, and where there is one. zones: of the wall clock, used where a value names none."""
+    values, zones = (pa.array(x, pa.string()) if isinstance(x, list) else x for x in (values, zones))
+    values = pc.utf8_trim_whitespace(pc.fill_null(values, ""))
+    if not pc.all(pc.string_is_ascii(values)).as_py():
+        for odd, plain in _SAME.items():
+            values = pc.replace_substring(values, odd, plain)
     out, good = np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
-    by_mask: dict[str, list[int]] = defaultdict(list)
-    plain: list[str] = []
-    for i, v in enumerate(values):
-        v = v.strip() if isinstance(v, str) else ""
-        plain.append(v)
-        if v:
-            by_mask[v[:81].translate(_MASK)].append(i)
-    every = np.array([z if isinstance(z, str) else None for z in zones], dtype=object)
-    for mask, at in by_mask.items():
-        parse = parser_of(mask)
-        if parse is None:
-            continue
-        chars = np.array([plain[i] for i in at], dtype=f"<U{len(mask)}").view("<u4").reshape(len(at), len(mask))
-        out[at], good[at] = parse(chars, every[at])
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", dtype=np.uint8)
+    masks = pa.Array.from_buffers(pa.string(), len(values), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(_MASK[data])]).dictionary_encode()
+    number = masks.indices.to_numpy()
+    order = np.argsort(number, kind="stable")
+    named = pc.fill_null(zones, "").dictionary_encode()
+    zone, names = named.indices.to_numpy(), named.dictionary.to_pylist()
+    for mask, at in zip(masks.dictionary.to_pylist(), np.split(order, np.searchsorted(number[order], np.arange(1, len(masks.dictionary)))), strict=False):
+        # Long masks aren't worth keeping.
+        parse = parser_of(mask) if len(mask) <= 80 else parser_of.__wrapped__(mask)
+        if parse is not None:
+            chars = data[ends[at][:, None] + np.arange(len(mask))].astype(np.uint32)
+            out[at], good[at] = parse(chars, (zone[at], names))
     return out, good
 
 
-@F.pandas_udf(LongType())
-def _to_utc(values: pd.Series, zones: pd.Series) -> pd.Series:
-    out, good = to_utc(values.tolist(), zones.tolist())
-    return pd.Series(pd.arrays.IntegerArray(out, ~good))
+def _reader(edition: str) -> Callable[..., Column]:
+    @F.arrow_udf(LongType())
+    def read(values: pa.Array, zones: pa.Array) -> pa.Array:
+        if zone_edition() != edition:
+            raise RuntimeError(f"zone tables of edition {zone_edition()} on this worker, {edition} in the plan")
+        out, good = to_utc(values, zones)
+        return pa.array(out, mask=~good)
 
+    # Spark may copy a deterministic function into every filter on its result, and so run it twice.
+    return read.asNondeterministic()
 
-# Spark may copy a deterministic function into every filter on its result, and so run it twice.
-_to_utc = _to_utc.asNondeterministic()
 
 #: Forms that most values have. They name their offset and are read on the JVM, without Python.
 COMMON_FORMS = {
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\+0000$": "yyyy-MM-dd'T'HH:mm:ss.SSSxx",
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$": "yyyy-MM-dd'T'HH:mm:ssX",
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\+0000\z": "yyyy-MM-dd'T'HH:mm:ss.SSSxx",
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\z": "yyyy-MM-dd'T'HH:mm:ssX",
 }
 
 
-def utc_micros(value: Column, zone: Column | None = None, common: dict[str, str] = COMMON_FORMS) -> Column:
+def utc_micros(value: Column, zone: Column | None = None, common: dict[str, str] = COMMON_FORMS, edition: str | None = None) -> Column:
     """Microseconds since 1970-01-01 UTC of a written timestamp, or null if it doesn't denote exactly one instant.
 
     zone: name of the zone of wall-clock times (null: not known). Values in one of the ``common`` forms stay on the JVM.
+    edition: of the zone tables, if it is to be a certain one; ValueError if another one is installed.
     """
+    here = zone_edition()
+    if edition not in (None, here):
+        raise ValueError(f"zone tables of edition {edition} are asked for, {here} is installed")
     zone = F.lit(None).cast("string") if zone is None else zone.cast("string")
     is_common = functools.reduce(lambda a, b: a | b, [value.rlike(p) for p in common], F.lit(False))
-    rest = _to_utc(F.when(~is_common, value), zone)
+    rest = _reader(here)(F.when(~is_common, value), zone)
     quick = F.coalesce(*[F.when(value.rlike(p), F.unix_micros(F.try_to_timestamp(value, F.lit(form)))) for p, form in common.items()], F.lit(None).cast("long"))
     return F.when(is_common, quick).otherwise(rest)

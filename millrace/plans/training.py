@@ -107,7 +107,7 @@ SELECT status, n_values, unnest({PROBS}) AS p, round(unnest(qs), 6) AS value, tr
 P2_SLICES_ALL_SQL = f'SELECT "grouping", assignee, status, n_values, p, value, true AS within_bound FROM ({P2_SQL})'
 
 # The two forms that TESTDATA.md leaves out.
-_PLAIN = {"jira_parser": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\+0000$", "request_queue": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"}
+_PLAIN = {"jira_parser": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\+0000\z", "request_queue": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\z"}
 
 
 def _instants(spark: SparkSession, d: str, plain_too: bool) -> DataFrame:
@@ -139,7 +139,47 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Per field, how many values denote an instant, and the first and last instant: over all forms."""
     got = _instants(spark, d, True).groupBy("table_name", "field_name")
-    return got.agg(F.count(F.lit(1)).alias("n_values"), F.count("utc_us").alias("n_instants"), F.min("utc_us").alias("first_us"), F.max("utc_us").alias("last_us"))
+    return got.agg(F.count(F.lit(1)).alias("n_values"), F.count("utc_us").alias("n_instants"), F.min("utc_us").alias("first_us"), F.max("utc_us").alias("last_us"), F.lit(timestamps.zone_edition()).alias("zone_edition"))
+
+
+# Forms that SQL reads too, by shape.
+_SQL_FORMS = {
+    "offset": r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d:?\d\d)\z",
+    "wall": r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,6})?\z",
+    "dotted": r"^\d\d\.\d\d\.\d{4} \d\d:\d\d:\d\d\z",
+    "mail": r"^[A-Z][a-z]{2}, \d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4}\z",
+    "epoch": r"^1[67]\d{8}(\d{3})?(\d{3})?\z",
+}
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The instants of all values in the forms that SQL can read, wall-clock times included; null where there is no single one."""
+    got = _instants(spark, d, True)
+    form = F.coalesce(*[F.when(F.col("value").rlike(p), F.lit(name)) for name, p in _SQL_FORMS.items()])
+    return got.withColumn("form", form).where("form is not null").select("table_name", "record_id", "field_name", "form", "utc_us")
+
+
+_FORM_SQL = " ".join(f"WHEN regexp_matches(value, '{p}') THEN '{name}'" for name, p in _SQL_FORMS.items())
+P3_FORMS_SQL = f"""
+WITH pz AS (SELECT upper(trim(project_key)) AS project, max(trim(tz_name)) AS zone FROM project_zones GROUP BY 1),
+rz AS (SELECT dag_run_id, max(trim(tz_name)) AS zone FROM dag_runs GROUP BY 1),
+j AS (SELECT id, CASE WHEN contains(key, '-') THEN upper(trim(split_part(key, '-', 1))) END AS project, created_date, resolution_date FROM jira_parser),
+v AS (
+  SELECT 'jira_parser' AS table_name, id AS record_id, 'created_date' AS field_name, created_date AS value, zone FROM j LEFT JOIN pz USING (project)
+  UNION ALL SELECT 'jira_parser', id, 'resolution_date', resolution_date, zone FROM j LEFT JOIN pz USING (project)
+  UNION ALL SELECT 'request_queue', request_id, 'created_at', created_at, zone FROM request_queue LEFT JOIN rz USING (dag_run_id)),
+f AS (SELECT *, CASE {_FORM_SQL} END AS form FROM v),
+w AS (
+  SELECT * EXCLUDE (zone), (SELECT name FROM pg_timezone_names() WHERE name = zone LIMIT 1) AS zone,
+    CASE form WHEN 'wall' THEN try_cast(value AS TIMESTAMP) WHEN 'dotted' THEN try_strptime(value, '%d.%m.%Y %H:%M:%S') END AS wall,
+    CASE form WHEN 'offset' THEN epoch_us(try_cast(regexp_replace(value, '([+-][0-9]{{2}})([0-9]{{2}})$', '\\1:\\2') AS TIMESTAMPTZ))
+      WHEN 'mail' THEN CASE WHEN strftime(try_strptime(substr(value, 6, 11), '%d %b %Y'), '%a') = left(value, 3) THEN epoch_us(try_strptime(substr(value, 6), '%d %b %Y %H:%M:%S %z')) END
+      WHEN 'epoch' THEN value::BIGINT * CASE length(value) WHEN 10 THEN 1000000 WHEN 13 THEN 1000 ELSE 1 END END AS us
+  FROM f WHERE form IS NOT NULL),
+z AS (SELECT *, timezone(zone, wall) AS instant FROM w)
+SELECT table_name, record_id, field_name, form, coalesce(us, CASE WHEN timezone(zone, instant) = wall
+    AND NOT list_contains([timezone(zone, instant + INTERVAL 1 HOUR), timezone(zone, instant - INTERVAL 1 HOUR), timezone(zone, instant + INTERVAL 30 MINUTE), timezone(zone, instant - INTERVAL 30 MINUTE)], wall) THEN epoch_us(instant) END) AS utc_us FROM z
+"""
 
 
 SHARE = 0.03
@@ -280,7 +320,7 @@ def p5_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_runs": p1_runs, "p2_percentiles": p2_percentiles, "p2_slices": p2_slices, "p2_slices_all": p2_slices_all, "p3_found": p3_found, "p3_normalised": p3_normalised,
+    "p1_found": p1_found, "p1_runs": p1_runs, "p2_percentiles": p2_percentiles, "p2_slices": p2_slices, "p2_slices_all": p2_slices_all, "p3_found": p3_found, "p3_normalised": p3_normalised, "p3_forms": p3_forms,
     "p4_found": p4_found, "p4_key_results": p4_key_results, "p4_distinct": p4_distinct, "p4_skew_join": p4_skew_join, "p4_join_types": p4_join_types, "p5_found": p5_found, "p5_rows": p5_rows, "p5_tables": p5_tables,
 }
-SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p2_slices_all": P2_SLICES_ALL_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_distinct": P4_DISTINCT_SQL, "p4_skew_join": P4_JOIN_SQL, "p4_join_types": P4_TYPES_SQL, "p5_found": P5_SQL, "p5_tables": P5_TABLES_SQL}
+SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p2_percentiles": P2_SQL, "p2_slices": P2_SLICES_SQL, "p2_slices_all": P2_SLICES_ALL_SQL, "p3_forms": P3_FORMS_SQL, "p4_found": P4_FOUND_SQL, "p4_key_results": P4_KEYS_SQL, "p4_distinct": P4_DISTINCT_SQL, "p4_skew_join": P4_JOIN_SQL, "p4_join_types": P4_TYPES_SQL, "p5_found": P5_SQL, "p5_tables": P5_TABLES_SQL}

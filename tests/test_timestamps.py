@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
 import numpy as np
@@ -76,6 +76,16 @@ CASES = [
     ("2024-10-06T02:15:00", "Australia/Sydney", None),
     ("2024-10-27T02:30:00[Europe/Berlin]", "UTC", None),
     ("2024-10-27 02:30:00 CEST", None, us(2024, 10, 27, 0, 30)),
+    # Closing rules go on beyond the tables, and before them the first offset.
+    ("2071-07-01 12:00:00", "America/New_York", us(2071, 7, 1, 16)),
+    ("2071-01-01 12:00:00", "America/New_York", us(2071, 1, 1, 17)),
+    ("2471-07-01 12:00:00", "Europe/Berlin", us(2471, 7, 1, 10)),
+    ("9999-07-01 12:00:00", "Europe/Berlin", us(9999, 7, 1, 10)),
+    ("9999-12-31 23:59:59", "Asia/Tokyo", us(9999, 12, 31, 14, 59, 59)),
+    ("2437-12-31 23:59:59", "Europe/London", us(2437, 12, 31, 23, 59, 59)),
+    ("1900-06-01 12:00:00", "America/New_York", us(1900, 6, 1, 17)),
+    ("2024-03-05T13:04:05." + "0" * 200 + "Z", None, NOON),
+    ("2024-03-05 13:04:05é", "UTC", None),
     ("", "UTC", None),
     (None, "UTC", None),
     ("pending", "UTC", None),
@@ -114,3 +124,25 @@ def test_one_parser_for_a_mask():
     ts.parser_of.cache_clear()
     ts.to_utc([f"2024-03-{d:02d} 10:00:00" for d in range(1, 29)], ["UTC"] * 28)
     assert ts.parser_of.cache_info().misses == 1
+
+
+@pytest.mark.parametrize("name", ["Europe/Berlin", "America/New_York", "Australia/Sydney", "Africa/Casablanca", "Asia/Tokyo"])
+def test_far_years_agree_with_the_zone(name):
+    zone = ts._zone(name)
+    for year in (1850, 1950, 2069, 2070, 2088, 2200, 2437, 2438, 3000, 8000):
+        for month in range(1, 13):
+            wall = datetime(year, month, 15, 12)
+            local = int((wall - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+            out, good = ts.wall_to_utc(np.array([local]), name)
+            want = wall - wall.replace(tzinfo=zone).utcoffset()
+            assert good[0] and int(out[0]) // 1_000_000 == (want - datetime(1970, 1, 1)) // timedelta(seconds=1), (name, wall)
+
+
+def test_editions(spark):
+    df = spark.createDataFrame([("2024-03-05 14:04:05", "UTC")], "v string, z string")
+    of = lambda edition: df.select(ts.utc_micros(F.col("v"), F.col("z"), edition=edition).alias("u")).first().u
+    assert of(ts.zone_edition()) == of(None) is not None
+    with pytest.raises(ValueError, match="1999z"):
+        of("1999z")
+    with pytest.raises(Exception, match="in the plan"):
+        df.select(ts._reader("1999z")(F.col("v"), F.col("z"))).collect()
