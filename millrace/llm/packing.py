@@ -1,9 +1,10 @@
 """Filling containers of a fixed number of tokens with texts that belong together.
 
 Texts come in shards (consecutive documents of a task, up to SHARD of them, fewer where they are very long), each with an inverted index of its own. In decreasing order
-of size, every unused document seeds a container; BM25 ranks all unused documents that share a term with it, and among the NEAREST that fit
-the largest is taken, again and again until none of them fits. Neighbours alone leave gaps, so a gap is then filled with the largest unused
-items of the shard that fit. A text longer than the capacity is cut into full containers and a rest that is packed like any other
+of size, every unused document seeds a container. BM25, asked with all terms of the seed, ranks all unused documents that share one
+with it, and they fill the container greedily: in order of score each is taken that still fits, down to the last of the
+ranking. The ranking is exact within the shard. Neighbours alone leave gaps, so a gap is then filled with the largest unused
+items of the shard that fit; ``placed`` tells seeds, neighbours and fillers apart. A text longer than the capacity is cut into full containers and a rest that is packed like any other
 item; no other text is cut.
 
 Everything happens where the texts are read: nothing is shuffled, a task holds one shard, and all capacities are served from
@@ -27,14 +28,11 @@ from millrace.llm.tokens import VOCABULARY, counter
 #: Documents to a shard, and to an index; and the entries of an index at most, which bounds a task's memory where texts are very long.
 SHARD = 4096
 ENTRIES = 3_000_000
-#: Neighbours among which the largest is taken, for each place in a container.
-NEAREST = 24
-#: Terms a seed asks for at most: all.
-TERMS = float("inf")
 # The usual parameters of BM25.
 K1, B = 1.2, 0.75
 
-PLACES = "pack_name string, capacity_tokens int, container long, {keep}, piece int, first_token long, tokens long"
+PLACES = "pack_name string, capacity_tokens int, container long, {keep}, piece int, first_token long, tokens long, placed string"
+SEED, NEIGHBOUR, FILLER, FULL = "seed", "neighbour", "filler", "full"
 
 
 class Index:
@@ -57,17 +55,26 @@ class Index:
         length = np.bincount(doc, weights=tf, minlength=self.n).astype(np.float32)
         norm = K1 * (1 - B + B * length / max(1e-9, length.mean() if self.n else 1))
         weight = self.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        self.doc, self.weight, self.df = doc[order], weight[order].astype(np.float32), df
+        self.df = df
+        self.postings = np.concatenate([[0], np.cumsum(df)]), doc[order], weight[order].astype(np.float32)
 
-    def scores(self, seed: int) -> np.ndarray:
-        """Scores of all documents for all the seed's terms that others have too."""
+    def scores(self, seed: int, postings: tuple | None = None) -> np.ndarray:
+        """Scores of all documents (in ``postings``, if given) for all the seed's terms that others have too."""
+        start, doc, weight = postings or self.postings
         terms = self.terms[seed]
-        terms = terms[self.df[terms] > 1]
+        terms = terms[start[terms] < start[terms + 1]]
         if not len(terms):
             return np.zeros(self.n)
-        spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        size = start[terms + 1] - start[terms]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(start[terms] - ends + size, size)
+        return np.bincount(doc[at], weights=weight[at], minlength=self.n)
+
+    def without(self, free: np.ndarray, postings: tuple) -> tuple:
+        """The postings of the free documents only."""
+        start, doc, weight = postings
+        keep = free[doc]
+        return np.concatenate([[0], np.cumsum(keep)])[start], doc[keep], weight[keep]
 
 
 class _Unused:
@@ -99,56 +106,59 @@ class _Unused:
         return self.by_size[size][-1] if size > 0 else None
 
 
-def pack(sizes: np.ndarray, capacity: int, index: Index) -> list[list[int]]:
-    """Containers, as lists of documents, of the items with sizes from 1 to the capacity (0: no item)."""
+def pack(sizes: np.ndarray, capacity: int, index: Index) -> list[list[tuple[int, str]]]:
+    """Containers, as lists of (document, how it was placed), of the items with sizes from 1 to the capacity (0: no item)."""
     unused = _Unused(sizes, capacity)
     free, out = unused.free, []
+    postings, left, kept = index.postings, int(free.sum()), int(free.sum())
     while (seed := unused.largest(capacity)) is not None:
         free[seed] = False
-        inside, room = [seed], capacity - int(sizes[seed])
+        inside, room = [(seed, SEED)], capacity - int(sizes[seed])
+        if left < kept / 2:
+            # Half of the postings are of used documents.
+            postings, kept = index.without(free, postings), left
         if room and unused.largest(room) is not None:
-            scores = index.scores(seed)
-            scores[~free | (sizes > room)] = 0
-            near = np.flatnonzero(scores)
+            scores = index.scores(seed, postings)
+            near = np.flatnonzero((scores > 0) & free & (sizes <= room))
             near = near[np.argsort(-scores[near], kind="stable")]
-            # Of the nearest that still fit, the largest; of equal ones the nearer.
             while room and len(near := near[sizes[near] <= room]):
-                at = int(np.argmax(sizes[near[:NEAREST]]))
-                i = int(near[at])
-                free[i] = False
-                inside.append(i)
-                room -= int(sizes[i])
-                near = np.delete(near, at)
+                # As many of the nearest as fit one after the other.
+                n = int(np.searchsorted(np.cumsum(sizes[near]), room, "right"))
+                taken, near = near[:n], near[n:]
+                free[taken] = False
+                inside += [(i, NEIGHBOUR) for i in taken.tolist()]
+                room -= int(sizes[taken].sum())
         while room and (i := unused.largest(room)) is not None:
             free[i] = False
-            inside.append(i)
+            inside.append((i, FILLER))
             room -= int(sizes[i])
+        left -= len(inside)
         out.append(inside)
     return out
 
 
-def pack_shard(tokens: np.ndarray, bags: list[Bag], packs: list[tuple[str, int]]) -> Iterator[tuple[str, int, int | None, int, int, int, int]]:
-    """(pack, capacity, container, document, piece, first token, tokens) of a shard; containers count from 0 per pack."""
+def pack_shard(tokens: np.ndarray, bags: list[Bag], packs: list[tuple[str, int]]) -> Iterator[tuple[str, int, int | None, int, int, int, int, str | None]]:
+    """(pack, capacity, container, document, piece, first token, tokens, placed) of a shard; containers count from 0 per pack."""
     index = Index(bags)
     for name, capacity in packs:
         n = 0
         for i in np.flatnonzero(tokens == 0):
-            yield name, capacity, None, int(i), 0, 0, 0
+            yield name, capacity, None, int(i), 0, 0, 0, None
         full = tokens // capacity
         rest = np.where(tokens <= capacity, tokens, tokens % capacity)
         for i in np.flatnonzero(tokens > capacity):
             for piece in range(int(full[i])):
-                yield name, capacity, n, int(i), piece, piece * capacity, capacity
+                yield name, capacity, n, int(i), piece, piece * capacity, capacity, FULL
                 n += 1
         for inside in pack(rest, capacity, index):
-            for i in inside:
+            for i, how in inside:
                 piece = int(full[i]) if tokens[i] > capacity else 0
-                yield name, capacity, n, i, piece, piece * capacity, int(rest[i])
+                yield name, capacity, n, i, piece, piece * capacity, int(rest[i]), how
             n += 1
 
 
 def packing(df: DataFrame, text: str, keep: list[str], packs: list[tuple[str, int]], vocabulary: str = VOCABULARY, shard: int = SHARD) -> DataFrame:
-    """Where each piece of each text goes: (pack_name, capacity_tokens, container, keep..., piece, first_token, tokens).
+    """Where each piece of each text goes: (pack_name, capacity_tokens, container, keep..., piece, first_token, tokens, placed).
 
     packs: (name, capacity in tokens) of each kind of container, positive; few, as pack_sizes has them.
     """
@@ -163,15 +173,15 @@ def packing(df: DataFrame, text: str, keep: list[str], packs: list[tuple[str, in
         def flush() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(kept).combine_chunks()
             rows = list(pack_shard(np.array(tokens, dtype=np.int64), bags, packs))
-            name, capacity, container, doc, piece, first, size = zip(*rows, strict=True)
+            name, capacity, container, doc, piece, first, size, placed = zip(*rows, strict=True)
             at = {p[0]: k for k, p in enumerate(packs)}
             numbers = [None if c is None else base + done[at[p]] + c for p, c in zip(name, container, strict=True)]
             for k, (p, _) in enumerate(packs):
                 done[k] += 1 + max([-1, *(c for q, c in zip(name, container, strict=True) if q == p and c is not None)])
             columns = [pa.array(name, pa.string()), pa.array(capacity, pa.int32()), pa.array(numbers, pa.int64())]
             columns += [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.take(pa.array(doc, pa.int64())).columns]
-            columns += [pa.array(piece, pa.int32()), pa.array(first, pa.int64()), pa.array(size, pa.int64())]
-            yield from pa.table(columns, names=["pack_name", "capacity_tokens", "container", *keep, "piece", "first_token", "tokens"]).to_batches(max_chunksize=50_000)
+            columns += [pa.array(piece, pa.int32()), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(placed, pa.string())]
+            yield from pa.table(columns, names=["pack_name", "capacity_tokens", "container", *keep, "piece", "first_token", "tokens", "placed"]).to_batches(max_chunksize=50_000)
 
         for batch in batches:
             start = 0

@@ -65,13 +65,19 @@ BLANKS = " \t\n\r\f\v"
 CHUNK = 8 << 20
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The statistics of published filters, by name."""
-    text = F.coalesce(text, F.lit(""))
+def _parts(text: Column) -> dict[str, Column]:
+    """Words, lines and bare words (runs of letters, in lower case), from which statistics are made."""
+    return {
+        "__words": F.filter(F.split(text, f"[{BLANKS}]+"), lambda w: w != ""),
+        "__lines": F.filter(F.transform(F.split(text, "[\r\n]"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != ""),
+        "__bare": F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""),
+    }
+
+
+def _statistics(text: Column) -> dict[str, Column]:
+    """The statistics of published filters, by name, of rows with the parts."""
+    words, lines, bare = (F.col(c) for c in ("__words", "__lines", "__bare"))
     length_without = lambda what: F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
-    words = F.filter(F.split(text, f"[{BLANKS}]+"), lambda w: w != "")
-    lines = F.filter(F.transform(F.split(text, "[\r\n]"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
-    bare = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
     n, m = F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
     share = lambda of, test, total: F.size(F.filter(of, test)) / total
     return {
@@ -225,28 +231,27 @@ def _running(words: _Words, part: np.ndarray, n: int) -> np.ndarray:
     return enough & (mean >= 2.5) & (mean <= 10) & (different >= np.minimum(5, 0.5 * words))
 
 
-def prose_shares(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """(keep..., text, prose_share): the share of the non-blank characters that stand in running sentences."""
+def quality(df: DataFrame, text: str, keep: list[str], rules: tuple = RULES) -> DataFrame:
+    """(keep..., statistics..., reasons array<string>) of every text; no reason: it passes all rules."""
+    kept = [F.col(f"`{c}`") for c in keep]
+    cut_up = df.select(*kept, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
+    cut_up = cut_up.select("*", *[c.alias(k) for k, c in _parts(F.col("__text")).items()])
+    # Statistics come first, so that no filter on them is moved to where they would be made anew for each rule.
+    counted = cut_up.select(*kept, *[c.alias(k) for k, c in _statistics(F.col("__text")).items()], "__text")
+    names = counted.columns[:-1]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column(len(keep)), "")
+            texts = batch.column(len(names))
             size, at = np.cumsum(_numbers(pc.binary_length(texts))), 0
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
                 inside, every = prose_chars(texts.slice(at, to - at))
-                columns = [batch.column(k).slice(at, to - at) for k in range(len(keep) + 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(inside / np.maximum(every, 1))], names=[*keep, "__text", "prose_share"])
+                columns = [batch.column(k).slice(at, to - at) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(inside / np.maximum(every, 1))], names=[*names, "prose_share"])
                 at = to
 
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    return kept.mapInArrow(read, "".join(f"`{c}` {t}, " for c, t in kept.dtypes) + "prose_share double")
-
-
-def quality(df: DataFrame, text: str, keep: list[str], rules: tuple = RULES) -> DataFrame:
-    """(keep..., statistics..., reasons array<string>) of every text; no reason: it passes all rules."""
-    got = prose_shares(df, text, keep)
-    found = got.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(k) for k, c in statistics(F.col("__text")).items()], "prose_share")
+    found = counted.mapInArrow(read, "".join(f"`{c}` {t}, " for c, t in counted.drop("__text").dtypes) + "prose_share double")
     return found.withColumn("reasons", reasons(rules))
 
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def test_packing_needs_few_containers():
     sizes = rnd.integers(1, 400, 2000)
     index = packing.Index([Counter({f"t{i % 50}": 1}) for i in range(2000)])
     got = packing.pack(sizes, 1000, index)
-    assert sorted(i for c in got for i in c) == list(range(2000))
+    assert sorted(i for c in got for i, _ in c) == list(range(2000))
     assert len(got) <= 1.02 * math.ceil(sizes.sum() / 1000)
 
 
@@ -82,8 +83,6 @@ def test_bm25_against_brute_force():
     idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
     for seed in (0, 7, 33):
         asked = [t for t in bags[seed] if df[t] > 1]
-        if len(asked) > packing.TERMS:
-            continue
         want = [sum(idf[t] * b[t] * (packing.K1 + 1) / (b[t] + packing.K1 * (1 - packing.B + packing.B * sum(b.values()) / mean)) for t in asked if t in b) for b in bags]
         assert np.allclose(index.scores(seed), want, rtol=1e-4)
 
@@ -94,8 +93,8 @@ def test_neighbours_share_containers():
     sizes = np.array([min(300, max(1, len(t.split()))) for t in texts])
     same = total = 0
     for c in packing.pack(sizes, 300, packing.Index(bags)):
-        for a in c[1:]:
-            same += a % 4 == c[0] % 4
+        for a, _ in c[1:]:
+            same += a % 4 == c[0][0] % 4
             total += 1
     assert same / total > 0.4, "a quarter would be chance"
 
@@ -156,6 +155,11 @@ def test_prefix_sums_against_brute_force(spark, monkeypatch):
         assert end == sum(t % 17 for t in range(900) if ("hot" if t % 3 else "cold") == s)
 
 
+def share(*texts):
+    inside, every = quality.prose_chars(pa.array(texts))
+    return float(inside[-1] / max(every[-1], 1))
+
+
 @pytest.mark.parametrize(("text", "prose"), [
     (PROSE, True),
     ("commit 50f352ea0c7e1c3404429efd8fdcb76f278ea96b\nAuthor: A B <a@b.example>\nDate:   Sat Jan 4 13:28:47 2025 +0100\n\n    cleanup\n\n    " + PROSE, True),
@@ -180,7 +184,7 @@ def test_prefix_sums_against_brute_force(spark, monkeypatch):
     (None, False),
 ])
 def test_prose(text, prose):
-    assert (quality.prose_share(text or "") > 0.5) == prose
+    assert (share(text or "") > 0.5) == prose
 
 
 def test_statistics_and_reasons(spark):
@@ -193,7 +197,9 @@ def test_statistics_and_reasons(spark):
 
 
 def test_very_long_text():
-    assert quality.prose_share(PROSE * 5000) > 0.9 and quality.prose_share("x" * 2_000_000) == 0
+    assert share(PROSE * 5000) > 0.9 and share("x" * 2_000_000) == 0
+    # Neighbours in a batch make no difference.
+    assert share("diff --git a b\n+x", "- entry", PROSE) == share(PROSE) and share(PROSE, "  " + PROSE[:8]) == 0
 
 
 def test_queries_over_whole_tables(spark, small):
@@ -214,7 +220,7 @@ def test_neighbours_come_before_any_other_text():
     # 60 related texts of one token, 20 unrelated of two: the seed's container has room for the related ones only.
     bags = [Counter(["a", "b"]), *[Counter(["a"])] * 60, *[Counter([f"x{i}"]) for i in range(20)]]
     first = packing.pack(np.array([40, *[1] * 60, *[2] * 20]), 100, packing.Index(bags))[0]
-    assert sorted(first) == list(range(61))
+    assert sorted(i for i, _ in first) == list(range(61)) and [how for _, how in first] == [packing.SEED] + [packing.NEIGHBOUR] * 60
 
 
 def test_prose_is_found_among_all_statistics(spark, small):
@@ -224,3 +230,31 @@ def test_prose_is_found_among_all_statistics(spark, small):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert all(f in plan for f in quality.FIELDS) and all(rule[0] in plan for rule in quality.RULES)
     assert rows(found) == rows(p8_quality(spark, small).where("prose_share > 0.5").select("doc_id"))
+
+
+def test_recall_of_neighbours_on_whole_documents(spark, small):
+    """All neighbours of seeds whose id is divisible by 50, over a whole shard of real texts, against BM25 term by term."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+    bags = [Counter(tokens.counter().chunks(t)) for t in texts]
+    index, n = packing.Index(bags), len(bags)
+    mean, df = sum(sum(b.values()) for b in bags) / n, Counter(t for b in bags for t in b)
+    free = np.arange(n) % 3 > 0
+    postings = index.without(free, index.postings)
+    for seed in range(0, n, 50):
+        want = np.zeros(n)
+        for i, b in enumerate(bags):
+            norm = packing.K1 * (1 - packing.B + packing.B * sum(b.values()) / mean)
+            want[i] = sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * (packing.K1 + 1) / (b[t] + norm) for t in bags[seed] if t in b)
+        got = index.scores(seed)
+        assert np.allclose(got, want, rtol=1e-3, atol=1e-4) and np.allclose(index.scores(seed, postings)[free], want[free], rtol=1e-3, atol=1e-4)
+        top = lambda x: set(np.argsort(-x, kind="stable")[:24].tolist())
+        assert len(top(got) & top(want)) >= 0.9 * 24
+
+
+def test_queries_with_sql(spark, small):
+    from compare import same
+    from millrace.llm.queries import QUERIES, SQL
+
+    for name, sql in SQL.items():
+        ok, why = same(QUERIES[name](spark, small), sql, small)
+        assert ok, (name, why)
