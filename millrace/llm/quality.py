@@ -1,11 +1,13 @@
 """Statistics of texts that tell running prose from lists, tables, code, diffs and junk.
 
 Two kinds of statistics come out for each text, both over the whole text. Those of published filters (words, mean word length,
-symbols, bullets, ellipses, lines ending in punctuation, common words, letters, repeated lines) are built-in expressions, each held against its
-published fixed threshold with a reason for every failure. And the share of non-blank characters in running sentences, which those
+symbols, bullets, ellipses, lines ending in punctuation, common words, letters, repeated lines), each held against its published fixed
+threshold with a reason for every failure. And the share of non-blank characters in running sentences, which those
 filters don't have: the lines of many texts at once are sorted into headers, list entries, table rows, code, diff lines and
 others by their shape; the others are joined to paragraphs, and a paragraph runs if its words hold to the same kind of thresholds (common
-words of its language, length of words, letters) and are as many as a sentence needs. That is done column by column on Arrow arrays.
+words of its language, length of words, letters) and are as many as a sentence needs.
+
+All of it is computed column by column, on Arrow arrays of the words and lines of many texts; a distinct word is looked at once.
 
 Words are what stands between blanks (of ASCII), lines what stands between line ends; blank lines don't count. Null and empty texts have
 zero statistics and the reason ``no_text``; copies have equal results. Columns of the input that aren't kept don't matter.
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Frequent function words.
@@ -65,37 +67,6 @@ BLANKS = " \t\n\r\f\v"
 CHUNK = 8 << 20
 
 
-def _parts(text: Column) -> dict[str, Column]:
-    """Words, lines and bare words (runs of letters, in lower case), from which statistics are made."""
-    return {
-        "__words": F.filter(F.split(text, f"[{BLANKS}]+"), lambda w: w != ""),
-        "__lines": F.filter(F.transform(F.split(text, "[\r\n]"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != ""),
-        "__bare": F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""),
-    }
-
-
-def _statistics(text: Column) -> dict[str, Column]:
-    """The statistics of published filters, by name, of rows with the parts."""
-    words, lines, bare = (F.col(c) for c in ("__words", "__lines", "__bare"))
-    length_without = lambda what: F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
-    n, m = F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
-    share = lambda of, test, total: F.size(F.filter(of, test)) / total
-    return {
-        "n_words": F.size(words).cast("long"),
-        "mean_word_length": F.length(F.translate(text, BLANKS, "")) / n,
-        "symbol_ratio": (length_without("#") + length_without("...") / 3 + length_without("…")) / n,
-        "bullet_lines": share(lines, lambda x: F.left(x, F.lit(1)).isin(*BULLETS), m),
-        "ellipsis_lines": share(lines, lambda x: x.endswith("...") | x.endswith("…"), m),
-        "punctuated_lines": share(lines, lambda x: F.right(x, F.lit(1)).isin(*ENDS), m),
-        "letter_words": share(words, lambda w: w.rlike(r"\p{L}"), n),
-        "n_common": F.size(F.array_intersect(F.array(*map(F.lit, STOP_WORDS)), bare)).cast("long"),
-        "common_share": share(bare, lambda w: w.isin(*_COMMON), F.greatest(F.size(bare), F.lit(1))),
-        "repeated_lines": 1 - F.size(F.array_distinct(lines)) / m - F.when(F.size(lines) == 0, 1).otherwise(0),
-    }
-
-
-FIELDS = ["n_words", "mean_word_length", "symbol_ratio", "bullet_lines", "ellipsis_lines", "punctuated_lines", "letter_words", "n_common", "common_share", "repeated_lines", "prose_share"]
-
 # Shapes of lines, in the syntax of RE2. W: a letter, digit or underscore of any script.
 _W = r"[\p{L}\p{N}_]"
 HEAD = r"^(?:commit [0-9a-f]{7,64}\b|(?:Merge|Author|AuthorDate|Commit|CommitDate|Committer|Date|From|Subject|To|Cc|Message-Id|In-Reply-To|References|X-[\w-]+|MIME-Version|Content-[\w-]+): |From [0-9a-f]{40} )"
@@ -231,28 +202,67 @@ def _running(words: _Words, part: np.ndarray, n: int) -> np.ndarray:
     return enough & (mean >= 2.5) & (mean <= 10) & (different >= np.minimum(5, 0.5 * words))
 
 
+def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
+    """All statistics of texts, none null, by name."""
+    n = len(texts)
+    inside, every = prose_chars(texts)
+    split = pc.ascii_split_whitespace(texts)
+    doc, coded = _numbers(pc.list_parent_indices(split)), split.flatten().dictionary_encode()
+    word = _numbers(coded.indices)
+    of_words = lambda values: _sums(np.asarray(values, dtype=np.float64)[word], doc, n) if len(word) else np.zeros(n)
+    words = of_words(_numbers(pc.binary_length(coded.dictionary)) > 0)
+    runs = pc.split_pattern_regex(pc.utf8_lower(coded.dictionary), r"[^\p{L}]+")
+    token, run = _numbers(pc.list_parent_indices(runs)), runs.flatten()
+    of_runs = lambda mark: np.bincount(token, weights=mark, minlength=len(coded.dictionary))
+    is_ = lambda values: pc.is_in(run, pa.array(values, pa.string())).to_numpy(zero_copy_only=False)
+    bare = of_words(of_runs(_numbers(pc.binary_length(run)) > 0))
+
+    whole = pc.replace_substring(texts, "\r", "\n")
+    split = pc.split_pattern(whole, "\n")
+    lines = pc.ascii_trim(split.flatten(), BLANKS)
+    here = pc.not_equal(lines, "")
+    of, lines = _numbers(pc.list_parent_indices(split))[here.to_numpy(zero_copy_only=False)], lines.filter(here)
+    of_lines = lambda mark: _sums(mark, of, n)
+    line = _numbers(lines.dictionary_encode().indices)
+    pairs = np.sort(of * (len(line) + 1) + line)
+    distinct = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] // (len(line) + 1), minlength=n)
+    m = np.bincount(of, minlength=n)
+    count = lambda what: _numbers(pc.count_substring(texts, what))
+    one, per_line = np.maximum(words, 1), np.maximum(m, 1)
+    return {
+        "n_words": words.astype(np.int64),
+        "mean_word_length": every / one,
+        "symbol_ratio": (count("#") + count("...") + count("…")) / one,
+        "bullet_lines": of_lines(_is(lines, "^[" + "".join(BULLETS) + "]")) / per_line,
+        "ellipsis_lines": of_lines(_is(lines, r"(?:\.\.\.|…)$")) / per_line,
+        "punctuated_lines": of_lines(_is(lines, "[" + "".join(ENDS) + "]$")) / per_line,
+        "letter_words": of_words(_is(coded.dictionary, r"\p{L}")) / one,
+        "n_common": sum((of_words(of_runs(is_([w]))) > 0).astype(np.int64) for w in STOP_WORDS),
+        "common_share": of_words(of_runs(is_(list(_COMMON)))) / np.maximum(bare, 1),
+        "repeated_lines": (m - distinct) / per_line,
+        "prose_share": inside / np.maximum(every, 1),
+    }
+
+
+FIELDS = list(statistics(pa.array([], pa.string())))
+
+
 def quality(df: DataFrame, text: str, keep: list[str], rules: tuple = RULES) -> DataFrame:
     """(keep..., statistics..., reasons array<string>) of every text; no reason: it passes all rules."""
-    kept = [F.col(f"`{c}`") for c in keep]
-    cut_up = df.select(*kept, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    cut_up = cut_up.select("*", *[c.alias(k) for k, c in _parts(F.col("__text")).items()])
-    # Statistics come first, so that no filter on them is moved to where they would be made anew for each rule.
-    counted = cut_up.select(*kept, *[c.alias(k) for k, c in _statistics(F.col("__text")).items()], "__text")
-    names = counted.columns[:-1]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(names))
+            texts = pc.fill_null(batch.column(len(keep)), "")
             size, at = np.cumsum(_numbers(pc.binary_length(texts))), 0
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
-                inside, every = prose_chars(texts.slice(at, to - at))
-                columns = [batch.column(k).slice(at, to - at) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(inside / np.maximum(every, 1))], names=[*names, "prose_share"])
+                found = statistics(texts.slice(at, to - at))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(at, to - at) for k in range(len(keep))], *map(pa.array, found.values())], names=[*keep, *found])
                 at = to
 
-    found = counted.mapInArrow(read, "".join(f"`{c}` {t}, " for c, t in counted.drop("__text").dtypes) + "prose_share double")
-    return found.withColumn("reasons", reasons(rules))
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    fields = ", ".join([f"`{c}` {t}" for c, t in kept.drop("__text").dtypes] + [f"{f} {'long' if f in ('n_words', 'n_common') else 'double'}" for f in FIELDS])
+    return kept.mapInArrow(read, fields).withColumn("reasons", reasons(rules))
 
 
 def reasons(rules: tuple = RULES, empty: bool = True) -> F.Column:
