@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def durable_dir(spark: SparkSession) -> str:
+    """The shared folder itself, where what later sessions need is kept (``shared_dir`` is this session's part of it)."""
+    return shared_dir(spark).rstrip("/").rpartition("/")[0]
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder for intermediate tables, on the shared folder; it is deleted when the session's process ends."""
+    at = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint; it survives the loss of executors."""
     shared_dir(df.sparkSession)

@@ -6,6 +6,9 @@ rows that were committed late alike), and commits the merged intervals together
 
 Intervals never cross the edge of a block of ``BLOCK`` numbers, so every operation on sets of intervals is local to a
 block: the work is spread evenly whatever the keys of the records are, and no task sees more than a block.
+
+Rows without a number can't be processed by number: they are in no interval, and a run reports how many it saw. Copies of a row have one
+number and come out together. An empty table has no interval.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ def intervals_of(df: DataFrame, seq: str) -> DataFrame:
 
     Nulls are left out, repeated numbers count once, an empty table gives no interval.
     """
-    s = df.select(F.col(f"`{seq}`").cast("long").alias("s")).where("s is not null").distinct()
-    w = Window.partitionBy("block").orderBy("s")
-    runs = s.select(_block(F.col("s")).alias("block"), "s").withColumn("run", F.col("s") - F.row_number().over(w))
+    s = df.select(F.col(f"`{seq}`").cast("long").alias("s")).where("s is not null").select(_block(F.col("s")).alias("block"), "s")
+    # Sent to its block once: all that follows stays there.
+    once = s.repartition("block").distinct()
+    runs = once.withColumn("run", F.col("s") - F.row_number().over(Window.partitionBy("block").orderBy("s")))
     return runs.groupBy("block", "run").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).select("block", "lo", "hi")
 
 
@@ -78,38 +82,29 @@ def subtract(available: DataFrame, processed: DataFrame) -> DataFrame:
     return _sweep(available, processed, (F.col("in_a") > 0) & (F.col("in_b") <= 0))
 
 
-def numbers_within(df: DataFrame, seq: str, intervals: DataFrame) -> DataFrame:
-    """The distinct numbers of ``df.seq`` that lie in one of the (disjoint) intervals, as column ``seq``.
-
-    A merge by sorting within a block: the last interval that begins at or before a number either covers it or none does.
-    """
-    numbers = df.select(F.col(f"`{seq}`").cast("long").alias("at")).where("at is not null").distinct()
-    both = numbers.select(_block(F.col("at")).alias("block"), "at", F.lit(None).cast("long").alias("hi"), F.lit(1).alias("kind"))
-    both = both.unionByName(intervals.select("block", F.col("lo").alias("at"), "hi", F.lit(0).alias("kind")))
-    w = Window.partitionBy("block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("reach", F.max("hi").over(w)).where("kind = 1 and reach >= at").select(F.col("at").alias(seq))
+#: Intervals that are broadcast at most (24 bytes each); beyond, rows and intervals are merged block by block.
+BROADCAST = 50_000
 
 
 def rows_within(df: DataFrame, seq: str, intervals: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose number lies in the intervals. Rows without a number are in none.
-
-    Copies of a row come out as often as they stand there; the semi-join may be split by AQE where one number is hot.
-    """
-    within = numbers_within(df, seq, intervals).withColumnRenamed(seq, "__n")
-    return df.join(within, F.col(f"`{seq}`").cast("long") == F.col("__n"), "left_semi")
-
+    """The rows of ``df`` whose number lies in the (disjoint) intervals. Rows without a number are in none.
 
-def settled_by(versions: DataFrame, latest: DataFrame, key: list[str], state: list[str], seq: str) -> DataFrame:
-    """The versions of records that a list of what was processed last has seen, as intervals of ``seq``.
-
-    For a consumer that kept only keys and states so far: a row of ``versions`` counts as processed if ``latest`` holds the
-    same state for its key (null equals null). Grouping instead of joining compares nulls rightly and combines before
-    the shuffle, so one key with most rows does no harm.
+    Few intervals go to the rows, and their bounds to the scan. Otherwise both are merged by sorting within a block: the last
+    interval that begins at or before a number either covers it or none does. Copies of a row come out as often as they stand there.
     """
-    both = versions.select(*key, *state, F.col(seq).alias("__s"), F.lit(0).alias("__p"))
-    both = both.unionByName(latest.select(*key, *state, F.lit(None).cast("long").alias("__s"), F.lit(1).alias("__p")))
-    seen = both.groupBy(*key, *state).agg(F.max("__s").alias("__s"), F.max("__p").alias("__p"))
-    return intervals_of(seen.where("__p = 1 and __s is not null"), "__s")
+    s = F.col(f"`{seq}`").cast("long")
+    about = intervals.agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if not about.n:
+        return df.limit(0)
+    near = df.where(s.between(about.lo, about.hi))
+    if about.n <= BROADCAST:
+        sides = F.broadcast(intervals.select(F.col("block").alias("__block"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi")))
+        return near.join(sides, (_block(s) == F.col("__block")) & s.between(F.col("__lo"), F.col("__hi")), "left_semi")
+    names = df.columns
+    rows = near.select(_block(s).alias("block"), s.alias("at"), F.lit(None).cast("long").alias("hi"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"))
+    both = rows.unionByName(intervals.select("block", F.col("lo").alias("at"), "hi"), allowMissingColumns=True)
+    w = Window.partitionBy("block").orderBy("at", F.col("r").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("reach", F.max("hi").over(w)).where("r is not null and reach >= at").select("r.*")
 
 
 def latest_per_key(df: DataFrame, key: list[str], order: list[str], state: list[str]) -> DataFrame:
@@ -118,30 +113,36 @@ def latest_per_key(df: DataFrame, key: list[str], order: list[str], state: list[
     return df.groupBy(*key).agg(top).select(*key, *[F.col(f"__top.`{c}`").alias(c) for c in state])
 
 
-def newest_versions(ledger: DataFrame, key: list[str], state: list[str], seq: str) -> DataFrame:
-    """Each state a record was ever in, with the greatest number under which it was written. Older appends of the same state
-    are superseded and need no processing."""
-    return ledger.groupBy(*key, *state).agg(F.max(seq).alias(seq))
-
+def current_rows(ledger: DataFrame, log: DataFrame, key: list[str], state: list[str], seq: str, order: list[str]) -> DataFrame:
+    """(key..., seq, state..., seen) of the current row of every key of an append log, the one with the greatest number.
 
-def pending(versions: DataFrame, processed: DataFrame, key: list[str], seq: str) -> DataFrame:
-    """The current row of every key whose number lies in a gap, that is, among ``versions`` but not in ``processed``.
-
-    A late row with a small number lies in a gap too, but isn't its key's current row unless it has the greatest number.
-    Keys may be null (null is a key like any other). Rows with a null number never come out.
+    For a consumer that has kept only keys and states so far, in ``log``: seen, if the log's last entry of the key (by ``order``) has the same
+    state. One aggregation over both, which combines before the shuffle, so a key with most rows does no harm. Null is a key,
+    and a state, like any other. Rows without a number, and what they superseded, don't count.
     """
-    gaps = subtract(intervals_of(versions, seq), processed)
-    state = [c for c in versions.columns if c not in (*key, seq)]
-    return rows_within(latest_per_key(versions, key, [seq], [seq, *state]), seq, gaps)
+    cells = lambda names: F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(names)])
+    kind = ledger.select(cells([seq, *state])).schema[0].dataType
+    logged = log.select(*key, F.lit(None).cast(kind).alias("__row"), cells([*order, *state]).alias("__log"))
+    both = ledger.where(F.col(f"`{seq}`").isNotNull()).select(*key, cells([seq, *state]).alias("__row")).unionByName(logged, allowMissingColumns=True)
+    top = both.groupBy(*key).agg(F.max("__row").alias("__row"), F.max("__log").alias("__log")).where("__row is not null")
+    same = F.col("__log").isNotNull()
+    for c in state:
+        same = same & F.col(f"__row.`{c}`").eqNullSafe(F.col(f"__log.`{c}`"))
+    return top.select(*key, *[F.col(f"__row.`{c}`").alias(c) for c in [seq, *state]], same.alias("seen"))
 
 
 @dataclass
 class Run:
-    """What a run works on: its number, the gaps as they were when it began, and the rows in them."""
+    """What a run works on: its number, the gaps as they were when it began, the rows in them, how many rows had no number, and the files read."""
 
     number: int
     gaps: DataFrame
     rows: DataFrame
+    unnumbered: int = 0
+    files: list[tuple[str, int, int]] | None = None
+
+
+FILES = "path string, size long, changed long"
 
 
 class IntervalStore:
@@ -149,52 +150,84 @@ class IntervalStore:
 
     A run writes ``run-<n>-<random>/output`` and ``.../intervals`` and then creates the file ``commits/<n>.json``, which
     names both. Only that last step makes a run count, and it succeeds for one writer only; what a broken run has left behind is
-    never read, so its records are processed again, none twice and none left out.
+    never read, so its records are processed again, none twice and none left out. Of a folder of files the commit also names
+    those that were read, so the next run opens new and changed files only.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(self._conf)
 
-    def commits(self) -> list[dict]:
+    def _numbers(self) -> list[str]:
         at = self._path(f"{self.folder}/commits")
-        if not self._fs.exists(at):
-            return []
-        names = sorted(x.getPath().getName() for x in self._fs.listStatus(at))
-        files = [f"{self.folder}/commits/{n}" for n in names if n.endswith(".json")]
-        return [json.loads(r.value) for r in self.spark.read.text(files, wholetext=True).sort("value").collect()] if files else []
+        return sorted(n for x in self._fs.listStatus(at) if (n := x.getPath().getName()).endswith(".json")) if self._fs.exists(at) else []
+
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.folder}/commits/{name}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def head(self) -> dict | None:
+        """The last commit."""
+        names = self._numbers()
+        return self._read(names[-1]) if names else None
 
     def processed(self) -> DataFrame:
         """The intervals of the last commit; none before the first."""
-        done = self.commits()
-        if not done:
-            return self.spark.createDataFrame([], INTERVALS)
-        return self.spark.read.schema(INTERVALS).parquet(max(done, key=lambda c: c["number"])["intervals"])
+        head = self.head()
+        return self.spark.read.schema(INTERVALS).parquet(head["intervals"]) if head else self.spark.createDataFrame([], INTERVALS)
 
     def outputs(self) -> list[str]:
-        return [c["output"] for c in sorted(self.commits(), key=lambda c: c["number"])]
+        return [c["output"] for c in map(self._read, self._numbers()) if c["output"]]
+
+    def adopt(self, processed: DataFrame) -> None:
+        """Commits intervals that were processed before, without output: for a consumer that kept another kind of record so far."""
+        run = Run(self._next(), processed, self.spark.createDataFrame([], "seq long"))
+        self.commit(run, None)
 
-    def begin(self, df: DataFrame, seq: str) -> Run:
+    def _next(self) -> int:
+        return 1 + ((self.head() or {"number": 0})["number"])
+
+    def begin(self, df: DataFrame, seq: str, files: list[tuple[str, int, int]] | None = None) -> Run:
         """The rows not yet processed. The gaps are written down first, so rows that arrive meanwhile wait for the next run."""
-        number = 1 + max([0, *(c["number"] for c in self.commits())])
+        number = self._next()
         at = f"{self.folder}/run-{number}-{uuid.uuid4().hex}/gaps"
         subtract(intervals_of(df, seq), self.processed()).write.parquet(at)
         gaps = self.spark.read.schema(INTERVALS).parquet(at)
-        return Run(number, gaps, rows_within(df, seq, gaps))
-
-    def commit(self, run: Run, output: DataFrame) -> str:
+        return Run(number, gaps, rows_within(df, seq, gaps), df.where(F.col(f"`{seq}`").isNull()).count(), files)
+
+    def begin_folder(self, folder: str, seq: str, schema) -> Run:
+        """The same of a folder of Parquet files to which others add: only files are read that no commit has named, or that have changed since."""
+        head = self.head()
+        known = {tuple(r) for r in self.spark.read.schema(FILES).parquet(head["files"]).collect()} if head and head.get("files") else set()  # as many as the listing, which is here anyway
+        now, listing = [], self._path(folder).getFileSystem(self._conf).listFiles(self._path(folder), True)
+        while listing.hasNext():
+            x = listing.next()
+            if not x.getPath().getName().startswith(("_", ".")):
+                now.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+        new = [f for f in now if f not in known]
+        df = self.spark.read.schema(schema).parquet(*[f[0] for f in new]) if new else self.spark.createDataFrame([], schema)
+        return self.begin(df, seq, now)
+
+    def commit(self, run: Run, output: DataFrame | None) -> str:
         """Writes output and merged intervals and makes them count at once. Raises FileExistsError if another run has been faster."""
         at = f"{self.folder}/run-{run.number}-{uuid.uuid4().hex}"
-        output.write.parquet(f"{at}/output")
+        if output is not None:
+            output.write.parquet(f"{at}/output")
         merged(self.processed(), run.gaps).write.parquet(f"{at}/intervals")
-        text = json.dumps({"number": run.number, "output": f"{at}/output", "intervals": f"{at}/intervals"})
+        made = {"number": run.number, "output": f"{at}/output" if output is not None else "", "intervals": f"{at}/intervals", "unnumbered": run.unnumbered}
+        if run.files is not None:
+            self.spark.createDataFrame(run.files, FILES).write.parquet(f"{at}/files")
+            made["files"] = f"{at}/files"
         staged, final = self._path(f"{at}/commit.json"), self._path(f"{self.folder}/commits/{run.number:09d}.json")
         out = self._fs.create(staged, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(json.dumps(made).encode()))
         out.close()
         self._fs.mkdirs(final.getParent())
         if self._fs.exists(final) or not self._fs.rename(staged, final):
             raise FileExistsError(f"run {run.number} was committed by another writer")
-        return f"{at}/output"
+        return made["output"]

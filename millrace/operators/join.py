@@ -50,22 +50,26 @@ def join(inputs: dict[str, DataFrame], config: JoinConfig) -> Joined:
 
 
 def presence(inputs: dict[str, DataFrame], key: str) -> DataFrame:
-    """(key, n_sources, sources) of every key: which inputs have it."""
-    keys = [df.select(column(df, key).alias(key)).distinct().withColumn("__source", F.lit(name)) for name, df in inputs.items()]
+    """(key, n_sources, sources) of every key that isn't null: which inputs have it."""
+    keys = [df.select(column(df, key).alias(key)).where(F.col(f"`{key}`").isNotNull()).distinct().withColumn("__source", F.lit(name)) for name, df in inputs.items()]
     every = functools.reduce(DataFrame.unionByName, keys)
     return every.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n_sources"), F.array_sort(F.collect_list("__source")).alias("sources"))
 
 
 def dead_letter(inputs: dict[str, DataFrame], config: JoinConfig) -> DataFrame:
     """The rows of keys that not all inputs have: (key as text, source, sources there, payload as JSON). For a left join only
-    keys that the first input has; what else is there was never waited for."""
-    there = presence(inputs, config.key).where((F.col("n_sources") < len(inputs)) | F.col(config.key).isNull())
+    keys that the first input has; what else is there was never waited for. Rows without a key are dead letters of their own source
+    (for a left join those of the first), and go there without a shuffle, however many there are."""
+    there = presence(inputs, config.key).where(F.col("n_sources") < len(inputs))
+    first = next(iter(inputs))
     if config.join == "left":
-        there = there.where(F.array_contains("sources", next(iter(inputs))))
+        there = there.where(F.array_contains("sources", first))
     out = []
     for name, df in inputs.items():
-        # Keys are told apart from columns of the payload; null keys are incomplete too.
+        # Keys are told apart from columns of the payload.
         row = df.select(F.col(f"`{config.key}`").alias("__k"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("payload"))
-        hit = row.join(there, row["__k"].eqNullSafe(there[config.key]))
+        hit = row.join(there, row["__k"] == there[config.key])
         out.append(hit.select(F.col("__k").cast("string").alias("key"), F.lit(name).alias("source"), "sources", "payload"))
+        if config.join != "left" or name == first:
+            out.append(row.where("__k is null").select(F.col("__k").cast("string").alias("key"), F.lit(name).alias("source"), F.array(F.lit(name)).alias("sources"), "payload"))
     return functools.reduce(DataFrame.unionByName, out)

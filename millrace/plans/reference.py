@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.session import cut, shared_dir
+from millrace.functions.session import cut, scratch
 from millrace.functions.text import folded
 from millrace.operators import generate, sink
 from millrace.operators import join as joins
@@ -137,10 +137,9 @@ _join("join_left", JoinConfig("project", "left"), _J.format("LEFT"))
 _join("join_emit_null", JoinConfig("project", "inner", on_timeout="emit_null"), _J.replace("i.project, id", "coalesce(i.project, z.project) AS project, id").format("FULL"))
 _add(
     "join_dead_letter",
-    lambda s, d: joins.join(_join_inputs(s, d), JoinConfig("project")).dead_letter.groupBy("key", "source").agg(F.count(F.lit(1)).alias("n")),
-    f"""SELECT key, source, count(*) AS n FROM (
-      SELECT i.project AS key, 'issues' AS source FROM {_ISSUES} LEFT JOIN {_ZONES} ON i.project = z.project WHERE z.project IS NULL
-      UNION ALL SELECT z.project, 'zones' FROM {_ZONES} WHERE NOT EXISTS (SELECT 1 FROM {_ISSUES} WHERE i.project = z.project)) GROUP BY key, source""",
+    lambda s, d: joins.join(_join_inputs(s, d), JoinConfig("project")).dead_letter.select("key", "source", F.array_join("sources", ",").alias("sources"), "payload"),
+    f"""SELECT i.project AS key, 'issues' AS source, 'issues' AS sources, to_json({{'project': i.project, 'id': id, 'status': status}})::VARCHAR AS payload FROM {_ISSUES} LEFT JOIN {_ZONES} ON i.project = z.project WHERE z.project IS NULL
+      UNION ALL SELECT z.project, 'zones', 'zones', to_json({{'project': z.project, 'tz_name': tz_name}})::VARCHAR FROM {_ZONES} WHERE NOT EXISTS (SELECT 1 FROM {_ISSUES} WHERE i.project = z.project)""",
 )
 _add(
     "join_three_way",
@@ -192,26 +191,26 @@ _add("ledger_resume", lambda s, d: ledger.resumable(_events(s, d)).select("dag_r
 def _roundtrip(fmt: str) -> Query:
     def query(s: SparkSession, d: str) -> DataFrame:
         df = table(s, d, "jira_parser").select("id", "status", "assignee", "created_date")
-        path = sink.write(df, f"{shared_dir(s)}/sinks/{uuid.uuid4().hex}", fmt)
+        path = sink.write(df, f"{scratch(s, 'sinks')}/out", fmt)
         kinds = "id string, status string, assignee string, created_date string"
         if fmt == "parquet":
             return s.read.schema(kinds).parquet(path)
         if fmt == "csv":
-            return s.read.schema(kinds).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "").option("emptyValue", "").csv(path)
+            return s.read.schema(kinds).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "").csv(path)
         return s.read.schema(kinds).json(path)
 
     return query
 
 
 _ALL = "SELECT id, {} AS status, {} AS assignee, {} AS created_date FROM jira_parser"
-for _fmt in ("parquet", "json", "json.gz", "jsonl"):
+for _fmt in ("parquet", "csv", "json", "json.gz", "jsonl"):
     _add(f"sink_{_fmt.replace('.', '')}_roundtrip", _roundtrip(_fmt), _ALL.format("status", "assignee", "created_date"))
 
 
 def sink_csv_text(s: SparkSession, d: str) -> DataFrame:
     """The lines of a CSV sink, without the header."""
     df = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    path = sink.write(df, f"{shared_dir(s)}/sinks/{uuid.uuid4().hex}", "csv")
+    path = sink.write(df, f"{scratch(s, 'sinks')}/out", "csv")
     return s.read.text(path).where("value <> 'l_orderkey,l_linenumber,l_quantity,l_returnflag'").select(F.col("value").alias("line"))
 
 
@@ -222,7 +221,7 @@ _add("sink_csv_text", sink_csv_text, "SELECT l_orderkey || ',' || l_linenumber |
 
 def _stream(s: SparkSession, d: str, files: int) -> DataFrame:
     """events as a stream of several files, one micro-batch each."""
-    folder = f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
+    folder = f"{scratch(s, 'streams')}/x"
     df = table(s, d, "events")
     df.repartition(files, "event_id").write.parquet(folder)
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -233,7 +232,7 @@ def _stream_agg(s: SparkSession, d: str, files: int) -> DataFrame:
 
     aggs = [Aggregate("n", "", "count"), Aggregate("total", "value", "sum"), Aggregate("p95", "value", "percentile", 95)]
     name = f"s_{uuid.uuid4().hex}"
-    out = pipeline.run_available(pipeline.stream_aggregate(_stream(s, d, files), ["event_type"], aggs), f"{shared_dir(s)}/checkpoints/{name}", name, "complete")
+    out = pipeline.run_available(pipeline.stream_aggregate(_stream(s, d, files), ["event_type"], aggs), scratch(s, "checkpoints"), name, "complete")
     return cut(out.select("event_type", "n", F.round("total", 4).alias("total"), F.round("p95", 4).alias("p95")))
 
 
@@ -247,7 +246,7 @@ def stream_filter_transform(s: SparkSession, d: str) -> DataFrame:
     from millrace.streaming import pipeline
 
     kept = filter_rows(_stream(s, d, 3), [Condition("event_type", "neq", "view")]).select("event_id", "event_type", "props")
-    at = f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
+    at = f"{scratch(s, 'streams')}/x"
     pipeline.into_files(transforms.transform(kept, "samples:event_record"), f"{at}/out", f"{at}/checkpoint")
     return s.read.schema("event_id long, event_type string, k long").parquet(f"{at}/out")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.session import cut, shared_dir
+from millrace.functions.session import cut, scratch
 from millrace.functions.text import folded, trimmed
 from millrace.operators import incremental, nested, percentiles, skew, timestamps
 from millrace.sources.tables import table
@@ -18,32 +18,66 @@ FINAL = ("done", "failed", "skipped")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Requests for the next consumer run: those whose current row lies in a gap of what succeeded runs have processed."""
+    """Requests for the next consumer run: those whose final current row lies in a gap of the committed intervals.
+
+    The log of earlier runs is adopted as a first commit: the numbers of the current rows that succeeded runs have seen as they are now.
+    """
     ledger = table(spark, d, "request_queue").select(*REQUEST, folded(F.col("status")).alias("status"), "completed_at", "seq")
     log, runs = table(spark, d, "processed_log"), table(spark, d, "consumer_runs")
     succeeded = runs.where(folded(F.col("outcome")) == "succeeded").select("consumer_run").distinct()
-    logged = log.join(succeeded, "consumer_run").select(*REQUEST, "consumer_run", "logged_at", folded(F.col("status")).alias("status"), "completed_at")
-    latest = incremental.latest_per_key(logged, REQUEST, ["consumer_run", "logged_at"], STATE)
-    versions = incremental.newest_versions(ledger, REQUEST, STATE, "seq")
-    processed = incremental.settled_by(versions, latest, REQUEST, STATE, "seq")
-    taken = incremental.pending(versions, processed, REQUEST, "seq")
-    return taken.where(F.col("status").isin(*FINAL)).select(*REQUEST).distinct()
+    logged = log.join(F.broadcast(succeeded), "consumer_run").select(*REQUEST, "consumer_run", "logged_at", folded(F.col("status")).alias("status"), "completed_at")  # a fixed table of runs
+    current = cut(incremental.current_rows(ledger, logged, REQUEST, STATE, "seq", ["consumer_run", "logged_at"]))
+    store = incremental.IntervalStore(spark, scratch(spark, "intervals"))
+    store.adopt(incremental.intervals_of(current.where("seen"), "seq"))
+    return store.begin(current.where(F.col("status").isin(*FINAL)), "seq").rows.select(*REQUEST)
 
 
 def p1_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs over the whole ledger with committed intervals: rows in the output of each. The second finds no gap."""
-    ledger = table(spark, d, "request_queue").select(*REQUEST, "seq", "status")
-    store = incremental.IntervalStore(spark, f"{shared_dir(spark)}/intervals/{uuid.uuid4().hex}")
-    counts = None
-    for n in (1, 2):
-        run = store.begin(ledger, "seq")
-        at = store.commit(run, run.rows)
-        one = spark.read.schema(ledger.schema).parquet(at).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("run"), "rows")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
-
+    """Runs over a ledger that grows file by file: rows and numbers in the output of each, and the files it opened.
 
-P1_RUNS_SQL = "SELECT 1 AS run, count(seq) AS rows FROM request_queue UNION ALL SELECT 2, 0"
+    First come the rows of its first half but for some that are late; then the late ones and the rest. Between both a run breaks off
+    after its output, and a rival commits too late. A last run finds nothing new.
+    """
+    ledger = table(spark, d, "request_queue").select(*REQUEST, "seq", "status")
+    at = scratch(spark, "runs")
+    half = (ledger.agg(F.max("seq")).first()[0] or 0) // 2
+    early = F.coalesce((F.col("seq") <= half) & (F.col("seq") % 13 != 5), F.lit(False))
+    store, counts = incremental.IntervalStore(spark, f"{at}/state"), []
+
+    def took(n: int, run: incremental.Run, out: str, before: int, refused: bool = False) -> None:
+        rows = spark.read.schema(ledger.schema).parquet(out).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("seq"), F.lit(0)).alias("numbers"))
+        counts.append(rows.select(F.lit(n).alias("run"), "rows", "numbers", F.lit(before > 0).alias("old_files_opened"), F.lit(refused).alias("rival_refused"), F.lit(run.unnumbered).cast("long").alias("unnumbered")))
+
+    def opened(run: incremental.Run, old: set) -> int:
+        return len({f.rpartition("/")[2] for f in run.rows.inputFiles()} & old)
+
+    def files() -> set:
+        return {f.rpartition("/")[2] for f in spark.read.schema(ledger.schema).parquet(f"{at}/ledger").inputFiles()}
+
+    ledger.where(early).write.parquet(f"{at}/ledger")
+    run, old = store.begin_folder(f"{at}/ledger", "seq", ledger.schema), files()
+    took(1, run, store.commit(run, run.rows), 0)
+    ledger.where(~early).write.mode("append").parquet(f"{at}/ledger")
+    broken = store.begin_folder(f"{at}/ledger", "seq", ledger.schema)
+    broken.rows.write.parquet(f"{at}/state/run-{broken.number}-broken/output")
+    run, rival = (store.begin_folder(f"{at}/ledger", "seq", ledger.schema) for _ in range(2))
+    out, refused = store.commit(run, run.rows), False
+    try:
+        store.commit(rival, rival.rows)
+    except FileExistsError:
+        refused = True
+    took(2, run, out, opened(run, old), refused)
+    run, old = store.begin_folder(f"{at}/ledger", "seq", ledger.schema), files()
+    took(3, run, store.commit(run, run.rows), opened(run, old))
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+P1_RUNS_SQL = """
+WITH q AS (SELECT seq, coalesce(seq <= (SELECT max(seq) // 2 FROM request_queue) AND seq % 13 <> 5, false) AS early FROM request_queue)
+SELECT 1 AS run, count(seq) AS rows, coalesce(sum(seq), 0)::BIGINT AS numbers, false AS old_files_opened, false AS rival_refused, 0::BIGINT AS unnumbered FROM q WHERE early
+UNION ALL SELECT 2, count(seq), coalesce(sum(seq), 0)::BIGINT, false, true, (count(*) - count(seq))::BIGINT FROM q WHERE NOT early
+UNION ALL SELECT 3, 0, 0, false, false, 0
+"""
 P1_SQL = """
 WITH cur AS (
   SELECT dag_run_id, request_id, lower(trim(status)) AS status, completed_at FROM request_queue

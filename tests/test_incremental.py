@@ -20,8 +20,9 @@ def covered(intervals):
     return out
 
 
-@pytest.mark.parametrize(("spread", "n"), [(30, 40), (200_000, 40), (5, 0)])
-def test_sets_of_intervals(spark, spread, n):
+@pytest.mark.parametrize(("spread", "n", "broadcast"), [(30, 40, 0), (200_000, 40, 0), (30, 40, 1000), (200_000, 40, 1000), (5, 0, 1000)])
+def test_sets_of_intervals(spark, spread, n, broadcast, monkeypatch):
+    monkeypatch.setattr(inc, "BROADCAST", broadcast)
     rnd = random.Random(spread)
     a, b = ([rnd.randint(-spread, spread) for _ in range(n)] for _ in range(2))
     x, y = inc.intervals_of(seqs(spark, [*a, None, *a]), "seq"), inc.intervals_of(seqs(spark, b), "seq")
@@ -59,9 +60,10 @@ def test_pending_against_brute_force(spark):
     rnd.shuffle(ledger)
     key, state = ["run", "req"], ["status", "done"]
     df = spark.createDataFrame(ledger, "seq long, run string, req string, status string, done int").withColumn("block", F.lit("x")).withColumn("at", F.lit(1)).withColumn("__s", F.lit(0))
-    latest = inc.latest_per_key(spark.createDataFrame(log, "n int, run string, req string, status string, done int"), key, ["n"], state)
-    versions = inc.newest_versions(df, key, state, "seq")
-    got = inc.pending(versions, inc.settled_by(versions, latest, key, state, "seq"), key, "seq").where("status in ('done', 'failed')")
+    log_df = spark.createDataFrame(log, "n int, run string, req string, status string, done int")
+    current = inc.current_rows(df, log_df, key, state, "seq", ["n"])
+    gaps = inc.subtract(inc.intervals_of(current.where("status in ('done', 'failed')"), "seq"), inc.intervals_of(current.where("seen"), "seq"))
+    got = inc.rows_within(current, "seq", gaps)
     assert {(r.run, r.req) for r in got.collect()} == brute(ledger, log)
 
 
@@ -92,3 +94,26 @@ def test_empty_tables(spark):
     assert inc.intervals_of(none, "seq").count() == 0
     assert inc.rows_within(none, "seq", inc.intervals_of(seqs(spark, [1]), "seq")).count() == 0
     assert inc.rows_within(seqs(spark, [1]), "seq", inc.intervals_of(none, "seq")).count() == 0
+
+
+def ledger_files(run):
+    return [f for f in run.rows.inputFiles() if "/ledger/" in f]
+
+
+def test_only_new_files_are_opened(spark, tmp_path):
+    store, folder = inc.IntervalStore(spark, str(tmp_path / "state")), str(tmp_path / "ledger")
+    write = lambda v: seqs(spark, v).coalesce(1).write.mode("append").parquet(folder)
+    write([1, 2, 5, None])
+    run = store.begin_folder(folder, "seq", "seq long")
+    assert run.unnumbered == 1 and {r.seq for r in run.rows.collect()} == {1, 2, 5}
+    store.commit(run, run.rows)
+    write([3, 5, 8])
+    run = store.begin_folder(folder, "seq", "seq long")
+    # A number that comes again in another file is done; the old file isn't opened.
+    assert {r.seq for r in run.rows.collect()} == {3, 8} and len(ledger_files(run)) == 1 and run.unnumbered == 0
+    store.commit(run, run.rows)
+    run = store.begin_folder(folder, "seq", "seq long")
+    assert run.rows.count() == 0 and not ledger_files(run) and covered(store.processed()) == {1, 2, 3, 5, 8}
+    assert store.head()["number"] == 2
+    store.adopt(inc.ranges(spark, [(10, 20)]))
+    assert covered(store.processed()) == {1, 2, 3, 5, 8, *range(10, 21)} and len(store.outputs()) == 2

@@ -138,7 +138,8 @@ def test_join(sides):
     assert {(r.key, r.source) for r in letters.collect()} == {("1", "a"), ("3", "b"), (None, "a"), (None, "b")}
     left = joins.join(two, JoinConfig("key", "left")).dead_letter
     assert {(r.key, r.source) for r in left.where("key is not null").collect()} == {("1", "a")}
-    assert rows(joins.presence(two, "key")) == [(1, 1, ["a"]), (2, 2, ["a", "b"]), (3, 1, ["b"]), (None, 2, ["a", "b"])]
+    assert {r.source: r.sources for r in letters.where("key is null").collect()} == {"a": ["a"], "b": ["b"]}
+    assert rows(joins.presence(two, "key")) == [(1, 1, ["a"]), (2, 2, ["a", "b"]), (3, 1, ["b"])]
     with pytest.raises(ValueError, match="no such column"):
         joins.join(two, JoinConfig("nope"))
 
