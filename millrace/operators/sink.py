@@ -50,7 +50,7 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = Fa
     if fmt == "parquet":
         out.write.mode(mode).parquet(path)
     elif fmt == "csv":
-        for_csv(out).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""').option("nullValue", "").csv(path)
+        for_csv(out).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""').option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif fmt == "json.gz":
         as_json(out).write.mode(mode).option("compression", "gzip").text(path)
     elif fmt == "json" and single_file:

@@ -196,7 +196,7 @@ def _roundtrip(fmt: str) -> Query:
         if fmt == "parquet":
             return s.read.schema(kinds).parquet(path)
         if fmt == "csv":
-            return s.read.schema(kinds).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "").csv(path)
+            return s.read.schema(kinds).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\0").option("emptyValue", "").csv(path)
         return s.read.schema(kinds).json(path)
 
     return query

@@ -120,7 +120,7 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
     """A file or folder by its ending: parquet, csv (with header), json (an array, objects or lines), jsonl, txt."""
     ending = uri.rstrip("/").rsplit("/", 1)[-1]
     if ".csv" in ending:
-        return spark.read.option("header", True).option("escape", '"').csv(uri)
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\0").option("emptyValue", "").csv(uri)
     if ".jsonl" in ending or ".ndjson" in ending:
         return spark.read.json(uri)
     if ".json" in ending:
