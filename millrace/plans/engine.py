@@ -12,7 +12,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.session import cut, shared_dir
+from millrace.functions.session import durable_dir
 from millrace.operators import filter as filters
 from millrace.operators import generate, sink, transform, unnest
 from millrace.operators.aggregate import aggregate
@@ -60,7 +60,7 @@ class Lowering:
 
     @property
     def state_dir(self) -> str:
-        return self._state_dir or f"{shared_dir(self.spark)}/ledgers"
+        return self._state_dir or f"{durable_dir(self.spark)}/ledgers"
 
     def lower(self) -> dict[str, DataFrame]:
         """Lowers all steps; raises PipelineError with the first finding if the pipeline isn't valid."""
@@ -120,23 +120,20 @@ class Lowering:
         ledger.resume()
         policy = step.request_queue.flush_policy
         size = policy.buffer_size if policy.trigger == "buffer_size" else max(1, step.request_queue.max_pending)
-        while True:
-            taken = cut(ledger.take(size))
-            if taken.isEmpty():
-                break
-            got = http_source.fetch(taken.withColumns({"accept": F.lit(step.template.accept), "tag": F.lit(step.template.tag)}), connection, self.pipeline.error_handling, max(1, step.parallel))
-            ledger.finish(cut(got))
-        if policy.archive_connection and self.registry.has(policy.archive_connection):
-            at = self.registry.get(policy.archive_connection).uri(f"{step.id}/{self.run_id}")
-            ledger.archive(at, policy.keep_failed, policy.archive_format)
-            Ledger.expire(self.spark, at, policy.retention_days, self.now.date().isoformat())
-        from millrace.sources.ledger import current
-
-        rows = current(ledger.events())
-        ok = F.col("status") == "done"
-        said = F.col("response_body").alias("body")
-        self.dead_letters[step.id] = rows.where("status = 'failed'").select("request_id", "step_id", "url", F.col("response_status").alias("status_code"), F.col("response_body").alias("error"))
-        return rows.where(ok).select("request_id", "step_id", F.col("response_status").alias("status_code"), said, F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), (F.col("retry_count") + 1).alias("attempts"))
+        archive = self.registry.get(policy.archive_connection).uri(f"{step.id}/{self.run_id}") if policy.archive_connection and self.registry.has(policy.archive_connection) else ""
+        for k in range(ledger.plan(size)):
+            taken = ledger.begin_round(k)
+            with_headers = taken.withColumns({"accept": F.lit(step.template.accept), "tag": F.lit(step.template.tag)})
+            ledger.finish(http_source.fetch(with_headers, connection, self.pipeline.error_handling, max(1, step.parallel)), taken=taken)
+            due = policy.trigger == "buffer_size" or (policy.trigger == "interval" and time.monotonic() - ledger.flushed_at >= policy.interval_sec)
+            if archive and due:
+                ledger.flush(archive, policy.keep_failed, policy.archive_format)
+        if archive:
+            ledger.flush(archive, policy.keep_failed, policy.archive_format)
+            Ledger.expire(self.spark, archive, policy.retention_days, self.now.date().isoformat())
+        said, failed = ledger.rows_in("done"), ledger.rows_in("failed")
+        self.dead_letters[step.id] = failed.select("request_id", "step_id", "url", F.col("response_status").alias("status_code"), F.col("response_body").alias("error"))
+        return said.select("request_id", "step_id", F.col("response_status").alias("status_code"), F.col("response_body").alias("body"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), (F.col("retry_count") + 1).alias("attempts"))
 
     def _transform(self, step: spec.Step) -> None:
         f = step.function
@@ -229,9 +226,7 @@ def run(spark: SparkSession, document: str | dict | spec.Pipeline, dry_run: bool
 
 
 def _count(report: Report, ledger: Ledger) -> None:
-    from millrace.sources.ledger import current
-
-    row = current(ledger.events()).agg(
+    row = ledger.states().agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "done", 1)).alias("ok"), F.count(F.when(F.col("status") == "failed", 1)).alias("bad"),
         F.count(F.when(F.col("status") == "skipped", 1)).alias("skipped"), F.coalesce(F.sum("retry_count"), F.lit(0)).alias("retries"),
     ).first()

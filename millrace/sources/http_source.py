@@ -2,7 +2,8 @@
 
 A task fetches its requests with a bounded number in flight, behind a token bucket; failed ones (no answer, or a status that the connection
 lists) are tried again after a growing delay. Responses come out as they finish, and at most ``max_buffered`` wait for
-the reader. By default one task fetches for a connection, so its limits hold exactly; with more tasks each gets its part of them.
+the reader. Several tasks share a connection's limits: each gets its part of the tokens, of the rate and of the requests in flight, and the
+parts add up to the limits exactly; so there are no more tasks than the smallest limit has parts. A call can be cancelled.
 Tokens are resolved in the task and never become part of a plan, a row or the ledger. A task that is run again fetches again, so
 requests other than GET should run with spark.task.maxFailures = 1.
 """
@@ -19,6 +20,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -72,14 +74,20 @@ def once(request: dict, headers: dict[str, str], timeout: float) -> tuple[int, s
 class Fetcher:
     """Fetches requests for one connection. ``most_inflight`` and ``attempts`` tell how it went."""
 
-    def __init__(self, connection: Connection, errors: ErrorHandling = ErrorHandling(), share: int = 1, env: dict[str, str] | None = None, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, connection: Connection, errors: ErrorHandling = ErrorHandling(), share: int = 1, env: dict[str, str] | None = None, sleep: Callable[[float], None] = time.sleep, number: int = 0):
         limit = connection.rate_limit
         self.connection, self.errors, self._sleep = connection, errors, sleep
-        self.inflight = max(1, connection.max_inflight // share)
-        self.bucket = TokenBucket(max(1, limit.max // share), limit.max / limit.window_sec / share)
+        # Part ``number`` of ``share``: the parts add up to the whole.
+        part = lambda whole: max(1, (whole + share - 1 - number) // share)
+        self.inflight, burst = part(connection.max_inflight), part(limit.max)
+        self.bucket = TokenBucket(burst, limit.max / limit.window_sec / share)
         self.headers = auth_header(connection.auth, env)
         self.most_inflight = self.attempts = self._now = 0
-        self._lock = threading.Lock()
+        self._lock, self._cancelled = threading.Lock(), threading.Event()
+
+    def cancel_all(self) -> None:
+        """What isn't sent yet comes out as failed, without an attempt."""
+        self._cancelled.set()
 
     def _attempt(self, request: dict) -> tuple[int, str, str]:
         self.bucket.acquire()
@@ -95,12 +103,14 @@ class Fetcher:
 
     def fetch(self, request: dict) -> dict:
         """The response to one request, after as many attempts as it takes or may have."""
+        if self._cancelled.is_set():
+            return {"request_id": request.get("request_id"), "step_id": request.get("step_id"), "status_code": 0, "body": "", "ok": False, "error": "cancelled", "attempts": 0}
         for attempt in range(1, max(1, self.errors.max_attempts) + 1):
             status, body, error = self._attempt(request)
             if not error and status in self.connection.fail_on_status:
                 error = f"status {status}"
             again = error and not error.startswith("bad url") and (status == 0 or status == 429 or status >= 500)
-            if not error or not again or attempt >= self.errors.max_attempts:
+            if not error or not again or attempt >= self.errors.max_attempts or self._cancelled.is_set():
                 break
             self._sleep(self.errors.delay_ms(attempt) / 1000)
         return {"request_id": request.get("request_id"), "step_id": request.get("step_id"), "status_code": status, "body": body, "ok": not error, "error": error or None, "attempts": attempt}
@@ -155,11 +165,12 @@ def fetch(requests: DataFrame, connection: Connection, errors: ErrorHandling = E
     """The response to every request (request_id, step_id, method, url, body, accept, tag): columns as in RESPONSES."""
     wanted = [c for c in ("request_id", "step_id", "method", "url", "body", "accept", "tag") if c in requests.columns]
     names = [n.split()[0] for n in RESPONSES.split(", ")]
+    tasks = max(1, min(tasks, connection.max_inflight, connection.rate_limit.max))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = (r for b in batches for r in b.to_pylist())
         rows: list[dict] = []
-        for response in Fetcher(connection, errors, tasks).responses(asked):
+        for response in Fetcher(connection, errors, tasks, number=TaskContext.get().partitionId() % tasks).responses(asked):
             rows.append({n: response[n] for n in names})
             if len(rows) >= 256:
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -168,7 +179,7 @@ def fetch(requests: DataFrame, connection: Connection, errors: ErrorHandling = E
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     placed = requests.select(*wanted)
-    placed = placed.coalesce(1) if tasks == 1 else placed.repartition(tasks, F.col("url"))
+    placed = placed.coalesce(1) if tasks == 1 else placed.repartition(tasks, F.col("request_id") if "request_id" in placed.columns else F.col("url"))
     return placed.mapInArrow(run, RESPONSES)
 
 
