@@ -46,20 +46,24 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = Fa
     """Writes the rows and returns the path; ValueError for an unknown format."""
     if fmt not in FORMATS:
         raise ValueError(f"unsupported sink format: {fmt}")
-    out = df.coalesce(1) if single_file and fmt != "parquet" else df
-    if fmt == "parquet":
-        out.write.mode(mode).parquet(path)
-    elif fmt == "csv":
-        for_csv(out).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""').option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    elif fmt == "json.gz":
-        as_json(out).write.mode(mode).option("compression", "gzip").text(path)
-    elif fmt == "json" and single_file:
+    if fmt == "json" and single_file:
         _array(df).write.mode(mode).text(path)
-    else:
-        as_json(out).write.mode(mode).text(path)
+        return path
+    shaped, kind, options = formatted(df.coalesce(1) if single_file and fmt != "parquet" else df, fmt)
+    shaped.write.mode(mode).format(kind).options(**options).save(path)
     return path
 
 
+def formatted(df: DataFrame, fmt: str) -> tuple[DataFrame, str, dict]:
+    """The rows as a format has them, Spark's name of the format, and its options."""
+    if fmt == "parquet":
+        return df, "parquet", {}
+    if fmt == "csv":
+        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        return for_csv(df), "csv", {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": ""} | blanks
+    return as_json(df), "text", {"compression": "gzip"} if fmt == "json.gz" else {}
+
+
 def _array(df: DataFrame) -> DataFrame:
     """The rows as lines of one JSON array, streamed through one task without gathering them."""
 

@@ -9,6 +9,7 @@ function over them once more; a function that then returns other fields raises.
 from __future__ import annotations
 
 import importlib.util
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -72,6 +73,14 @@ def _run(t: Transform, rows: list[dict]) -> list[dict]:
     return [out for r in rows if (out := t.function(r)) is not None]
 
 
+def _objects(body: str | None) -> list[dict]:
+    try:
+        value = json.loads(body or "null")
+    except ValueError:
+        return []
+    return [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
+
+
 def _schema(df: DataFrame, t: Transform, given: str) -> T.StructType:
     if given or t.schema:
         return T.StructType.fromDDL(given or t.schema)
@@ -110,8 +119,8 @@ def inferred(df: DataFrame, t: Transform) -> T.StructType:
     return from_arrow_schema(pa.schema([f.with_type(pa.string()) if pa.types.is_null(f.type) else f for f in whole]))
 
 
-def transform(df: DataFrame, name: str, schema: str = "", row_preserving: bool = False, parallel: int = 1) -> DataFrame:
-    """Applies a transform. row_preserving: raises if a batch comes out with another number of rows."""
+def transform(df: DataFrame, name: str, schema: str = "", row_preserving: bool = False, parallel: int = 1, bodies: bool = False) -> DataFrame:
+    """Applies a transform. bodies: the records are the JSON objects in the column ``body``, or in arrays there; what is no object is left out. row_preserving: raises if a batch comes out with another number of rows."""
     t = get(name)
     if t.kind == "frame":
         return t.function(df)
@@ -126,9 +135,10 @@ def transform(df: DataFrame, name: str, schema: str = "", row_preserving: bool =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _run(t, batch.to_pylist())
-            if row_preserving and len(rows) != batch.num_rows:
-                raise ValueError(f"transform '{name}' must keep the number of rows: {batch.num_rows} became {len(rows)}")
+            records = batch.to_pylist() if not bodies else [x for r in batch.to_pylist() for x in _objects(r["body"])]
+            rows = _run(t, records)
+            if row_preserving and len(rows) != len(records):
+                raise ValueError(f"transform '{name}' must keep the number of rows: {len(records)} became {len(rows)}")
             if known is not None and (late := {k for r in rows for k in r if k not in known}):
                 raise ValueError(f"transform '{name}' returned other fields than before: {sorted(late)}; declare function.schema")
             if rows:

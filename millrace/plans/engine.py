@@ -116,8 +116,22 @@ class Lowering:
         """Fetches in rounds of max_pending requests, each noted before and after; a restarted run asks only for what isn't finished."""
         ledger = Ledger(self.spark, f"{self.state_dir}/{step.id}", self.run_id)
         self.ledgers[step.id] = ledger
+        self._enqueue(ledger, asked)
+        self._rounds(step, connection, ledger)
+        said, failed = ledger.rows_in("done"), ledger.rows_in("failed")
+        self.dead_letters[step.id] = failed.select("request_id", "step_id", "url", F.col("response_status").alias("status_code"), F.col("response_body").alias("error"))
+        return self._responses(said)
+
+    @staticmethod
+    def _enqueue(ledger: Ledger, asked: DataFrame) -> None:
         ledger.enqueue(asked.drop("dag_run_id"))
         ledger.resume()
+
+    @staticmethod
+    def _responses(done: DataFrame) -> DataFrame:
+        return done.select("request_id", "step_id", F.col("response_status").alias("status_code"), F.col("response_body").alias("body"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), (F.col("retry_count") + 1).alias("attempts"))
+
+    def _rounds(self, step: spec.Step, connection: spec.Connection, ledger: Ledger) -> None:
         policy = step.request_queue.flush_policy
         size = policy.buffer_size if policy.trigger == "buffer_size" else max(1, step.request_queue.max_pending)
         archive = self.registry.get(policy.archive_connection).uri(f"{step.id}/{self.run_id}") if policy.archive_connection and self.registry.has(policy.archive_connection) else ""
@@ -131,9 +145,6 @@ class Lowering:
         if archive:
             ledger.flush(archive, policy.keep_failed, policy.archive_format)
             Ledger.expire(self.spark, archive, policy.retention_days, self.now.date().isoformat())
-        said, failed = ledger.rows_in("done"), ledger.rows_in("failed")
-        self.dead_letters[step.id] = failed.select("request_id", "step_id", "url", F.col("response_status").alias("status_code"), F.col("response_body").alias("error"))
-        return said.select("request_id", "step_id", F.col("response_status").alias("status_code"), F.col("response_body").alias("body"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), (F.col("retry_count") + 1).alias("attempts"))
 
     def _transform(self, step: spec.Step) -> None:
         f = step.function
@@ -172,13 +183,18 @@ class Lowering:
     def _stub(self, step: spec.Step) -> None:
         log.warning("step '%s' is a stub and passes nothing on: %s", step.id, step.reason)
 
-    def write(self, step: spec.Step, df: DataFrame, single_file: bool = False) -> str:
+    def path_of(self, step: spec.Step) -> str:
+        """Where a sink writes; empty if its connection is a stub."""
         path = sink.materialize(step.output.path_template, step.output.partition, self.now)
         connection = self.pipeline.connection(step.connection)
         if connection.type == "stub":
             log.warning("sink '%s' writes to the stub '%s': nothing is written", step.id, connection.name)
             return ""
-        return sink.write(df, self.registry.get(step.connection).uri(path), step.output.format, single_file)
+        return self.registry.get(step.connection).uri(path)
+
+    def write(self, step: spec.Step, df: DataFrame, single_file: bool = False) -> str:
+        path = self.path_of(step)
+        return sink.write(df, path, step.output.format, single_file) if path else ""
 
 
 def _records(responses: DataFrame) -> tuple[DataFrame, DataFrame | None]:

@@ -9,11 +9,12 @@ import uuid
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.session import scratch
 from millrace.operators import generate
+from millrace.plans import samples  # noqa: F401
 from millrace.plans.engine import Lowering
 from millrace.plans.parse import parse
 from millrace.sources.ledger import Ledger
@@ -75,21 +76,22 @@ def _run(s: SparkSession, d: str, document: dict, run_id: str = "", state: str =
     return low
 
 
-_KEY = F.get_json_object("body", "$.key").cast("int").alias("key")
+def _key() -> Column:
+    return F.get_json_object("body", "$.key").cast("int").alias("key")
 
 
 def http_fetch(s: SparkSession, d: str) -> DataFrame:
     """The responses to a request per nation, in rounds of ten, by two tasks."""
     with Loopback() as server:
         got = _run(s, d, _document(server.url, parallel=2, max_pending=10)).frames["items"]
-    return got.select(_KEY, F.get_json_object("body", "$.square").cast("int").alias("square"), "status_code", "attempts")
+    return got.select(_key(), F.get_json_object("body", "$.square").cast("int").alias("square"), "status_code", "attempts")
 
 
 def retry(s: SparkSession, d: str) -> DataFrame:
     """Every request fails twice and comes through at its third attempt."""
     with Loopback(failures=2) as server:
         got = _run(s, d, _document(server.url)).frames["items"]
-    return got.select(_KEY, "ok", "attempts")
+    return got.select(_key(), "ok", "attempts")
 
 
 def retry_dead_letter(s: SparkSession, d: str) -> DataFrame:
@@ -135,3 +137,53 @@ SQL = {
     "rate_limit": "SELECT count(*) AS requests, true AS kept FROM nation",
     "resume_http": "SELECT 'done' AS status, count(*) AS requests, count(*) - 6 AS asked_for, 1 AS most_times FROM nation",
 }
+
+
+def _stream(s: SparkSession, d: str, steps: list[dict]) -> dict[str, str]:
+    """Runs a document over the files of the tables as a stream; where its sinks and dead letters are."""
+    from millrace.plans.stream import run_stream
+
+    at = scratch(s, "stream")
+    document = {"name": "streamed", "start_at": steps[0]["id"], "connections": {"store": {"type": "file", "root": d}, "out": {"type": "file", "root": f"{at}/out"}}, "steps": steps}
+    report = run_stream(s, document, state_dir=f"{at}/state")
+    if not report.success:
+        raise RuntimeError(report.error_message)
+    return report.outputs
+
+
+def _key_steps() -> list[dict]:
+    named = lambda table, key, step: {"id": step, "type": "transform", "input": {"from_connection": "store", "path": f"{table}.parquet"}, "function": {"entrypoint": f"samples:{key}"}}
+    return [
+        named("nation", "nation_key", "nations"), named("region", "region_key", "regions"),
+        {"id": "both", "type": "join", "input": {"inputs": ["nations", "regions"]}, "join_config": {"key": "k", "join": "inner", "timeout": "8s", "on_timeout": "dead_letter"}},
+        {"id": "out", "type": "sink", "connection": "out", "input": {"from_step": "both"}, "output": {"path_template": "both", "format": "parquet"}},
+    ]
+
+
+def stream_document_join(s: SparkSession, d: str) -> DataFrame:
+    """A document run as a stream: keys that both inputs have pass on as soon as they do."""
+    return s.read.schema("k long, n_name string, r_name string").parquet(_stream(s, d, _key_steps())["out"])
+
+
+def stream_document_letters(s: SparkSession, d: str) -> DataFrame:
+    """The same: what waited in vain for the join's timeout."""
+    rows = s.read.schema("key string, source string, payload string").json(_stream(s, d, _key_steps())["both.dead_letters"])
+    return rows.select(F.col("key").cast("int").alias("k"), "source", F.get_json_object("payload", "$.n_name").alias("n_name"))
+
+
+def stream_document_aggregate(s: SparkSession, d: str) -> DataFrame:
+    """A filter and an aggregate of a document run as a stream."""
+    steps = [
+        {"id": "views", "type": "filter", "input": {"from_connection": "store", "path": "events.parquet"}, "condition": [{"field": "event_type", "op": "neq", "value": "view"}]},
+        {"id": "sums", "type": "aggregate", "input": {"from_step": "views"}, "group_by": ["event_type"], "aggregates": [{"name": "n", "func": "count"}, {"name": "total", "field": "value", "func": "sum"}]},
+        {"id": "out", "type": "sink", "connection": "out", "input": {"from_step": "sums"}, "output": {"path_template": "sums", "format": "parquet"}},
+    ]
+    return s.read.schema("event_type string, n long, total double").parquet(_stream(s, d, steps)["out"]).withColumn("total", F.round("total", 4))
+
+
+QUERIES |= {"stream_document_join": stream_document_join, "stream_document_letters": stream_document_letters, "stream_document_aggregate": stream_document_aggregate}
+SQL |= {
+    "stream_document_join": "SELECT n_nationkey::BIGINT AS k, n_name, r_name FROM nation JOIN region ON n_nationkey = r_regionkey",
+    "stream_document_letters": "SELECT n_nationkey::INT AS k, 'nations' AS source, n_name FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)",
+    "stream_document_aggregate": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type <> 'view' GROUP BY event_type",
+}

@@ -60,3 +60,18 @@ def issue(record: dict) -> dict:
         "id": record.get("id"), "key": record.get("key"), "status": (fields.get("status") or {}).get("name"), "assignee": (fields.get("assignee") or {}).get("displayName") or "Unassigned",
         "resolution_date": resolved, "created_date": created, "cycle_time_days": float(us[1] - us[0]) / DAY if good.all() else None,
     }
+
+
+@register("samples:nation_key", kind="frame")
+def nation_key(df: DataFrame) -> DataFrame:
+    return df.select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
+
+
+@register("samples:region_key", kind="frame")
+def region_key(df: DataFrame) -> DataFrame:
+    return df.select(F.col("r_regionkey").cast("long").alias("k"), "r_name")
+
+
+@register("samples:square")
+def square(record: dict) -> dict:
+    return {"key": record["key"], "root": round(record["square"] ** 0.5)}

@@ -130,6 +130,22 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
     return spark.read.parquet(uri)
 
 
+def read_stream(spark: SparkSession, uri: str) -> DataFrame:
+    """The files of a folder, or of a pattern, as a stream, with the schema that ``read`` finds: parquet, csv, json lines, txt."""
+    ending = uri.rstrip("/").rsplit("/", 1)[-1]
+    reader = spark.readStream.schema(read(spark, uri).schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at) and not fs.getFileStatus(at).isDirectory():
+        # A stream reads folders: of this one, only the file.
+        reader, uri = reader.option("pathGlobFilter", ending), at.getParent().toString()
+    if ".csv" in ending:
+        return reader.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\0").option("emptyValue", "").csv(uri)
+    if ".json" in ending or ".ndjson" in ending:
+        return reader.json(uri)
+    return reader.text(uri) if ".txt" in ending else reader.parquet(uri)
+
+
 def read_json(spark: SparkSession, uri: str) -> DataFrame:
     """A JSON document: a list of scalars becomes one column ``value``, anything else what spark.read.json makes of it."""
     first = spark.read.text(uri).limit(1).collect()

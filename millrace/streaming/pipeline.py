@@ -121,12 +121,34 @@ def run_with_timeouts(df: DataFrame, checkpoint: str, name: str, timeout_ms: int
     Such a query doesn't end by itself: it goes on with empty batches as long as there may be timers. TimeoutError after ``most_sec``.
     """
     q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    settle(q, timeout_ms, most_sec)
+    return df.sparkSession.table(name)
+
+
+def wait_for(spark: SparkSession, path: str, q, most_sec: float = 60) -> None:
+    """Waits until a query that has been started has made a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs, end = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), time.monotonic() + most_sec
+    while not fs.exists(at):
+        if q.exception():
+            raise q.exception()
+        if time.monotonic() > end:
+            raise TimeoutError(f"{path} wasn't made")
+        time.sleep(0.02)
+
+
+def settle(q, timeout_ms: int, most_sec: float = 600) -> None:
+    """Waits until a query has worked through what there is, and timers set by the last row are due; then stops it."""
     began, last_data, empty_after = time.monotonic(), time.monotonic(), 0
     seen = -1
     try:
+        if not timeout_ms:
+            if q.isActive:
+                q.processAllAvailable()
+            return
         while q.isActive:
             if time.monotonic() - began > most_sec:
-                raise TimeoutError(f"stream {name} went on for more than {most_sec} s")
+                raise TimeoutError(f"stream {q.name} went on for more than {most_sec} s")
             p = q.lastProgress
             if p is not None and p["batchId"] != seen:
                 seen = p["batchId"]
@@ -142,8 +164,10 @@ def run_with_timeouts(df: DataFrame, checkpoint: str, name: str, timeout_ms: int
             raise q.exception()
     finally:
         q.stop()
-    return df.sparkSession.table(name)
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
