@@ -2,8 +2,8 @@
 
 Texts come in shards (consecutive documents of a task, up to SHARD of them, fewer where they are very long), each with an inverted index of its own. In decreasing order
 of size, every unused document seeds a container. BM25, asked with all terms of the seed, ranks all unused documents that share one
-with it, and they fill the container greedily: in order of score each is taken that still fits, down to the last of the
-ranking. The ranking is exact within the shard. Neighbours alone leave gaps, so a gap is then filled with the largest unused
+with it. They fill the container in order of score as long as the next one fits, and the room that is then left with the largest of the
+other neighbours that fit. The ranking is exact within the shard. Neighbours alone leave gaps, so a gap is then filled with the largest unused
 items of the shard that fit; ``placed`` tells seeds, neighbours and fillers apart. A text longer than the capacity is cut into full containers and a rest that is packed like any other
 item; no other text is cut.
 
@@ -121,13 +121,17 @@ def pack(sizes: np.ndarray, capacity: int, index: Index) -> list[list[tuple[int,
             scores = index.scores(seed, postings)
             near = np.flatnonzero((scores > 0) & free & (sizes <= room))
             near = near[np.argsort(-scores[near], kind="stable")]
+            # As many of the nearest as fit one after the other; what is left of the room takes the largest neighbours that fit, the nearer of equals.
+            n = int(np.searchsorted(np.cumsum(sizes[near]), room, "right"))
+            taken, near = near[:n].tolist(), near[n:]
+            room -= int(sizes[taken].sum())
             while room and len(near := near[sizes[near] <= room]):
-                # As many of the nearest as fit one after the other.
-                n = int(np.searchsorted(np.cumsum(sizes[near]), room, "right"))
-                taken, near = near[:n], near[n:]
-                free[taken] = False
-                inside += [(i, NEIGHBOUR) for i in taken.tolist()]
-                room -= int(sizes[taken].sum())
+                at = int(np.argmax(sizes[near]))
+                taken.append(int(near[at]))
+                room -= int(sizes[near[at]])
+                near = np.delete(near, at)
+            free[taken] = False
+            inside += [(i, NEIGHBOUR) for i in taken]
         while room and (i := unused.largest(room)) is not None:
             free[i] = False
             inside.append((i, FILLER))
