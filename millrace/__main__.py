@@ -39,6 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     run_.add_argument("path")
     run_.add_argument("--config", help="Spark settings")
     run_.add_argument("--run-id", default="", help="go on with the run of this id")
+    run_.add_argument("--stream", action="store_true", help="files and responses flow through the steps")
     run_.add_argument("--dry-run", action="store_true", help="only check")
     run_.add_argument("-v", "--verbose", action="count", default=0)
     sub.add_parser("validate", help="check a pipeline document").add_argument("path")
@@ -73,8 +74,13 @@ def main(argv: list[str] | None = None) -> int:
         return int(bad)
     logging.basicConfig(level=logging.DEBUG if args.verbose > 1 else logging.INFO if args.verbose else logging.WARNING)
     from millrace.plans.engine import run
+    from millrace.plans.stream import run_stream
 
-    report = run(None if args.dry_run else _session(args.config), args.path, dry_run=args.dry_run, **({"dag_run_id": args.run_id} if args.run_id else {}))
+    more = {"dag_run_id": args.run_id} if args.run_id else {}
+    if args.stream and not args.dry_run:
+        report = run_stream(_session(args.config), args.path, **more)
+    else:
+        report = run(None if args.dry_run else _session(args.config), args.path, dry_run=args.dry_run, **more)
     for w in report.warnings:
         print(f"warning: {w}")
     print(f"requests: {report.total_requests} total, {report.successes} ok, {report.failures} failed, {report.retries} retried, {report.skipped} skipped")
