@@ -11,22 +11,10 @@ from pathlib import Path
 from millrace import __version__
 
 
-def _session(config: str | None):
+def _session(settings: dict[str, str]):
     from pyspark.sql import SparkSession
 
-    builder = SparkSession.builder.appName("millrace").config("spark.sql.session.timeZone", "UTC")
-    if config:
-        # Spark settings, one "name value" or "name: value" a line, or a JSON object.
-        text = Path(config).read_text(encoding="utf-8")
-        if text.lstrip().startswith("{"):
-            found = json.loads(text).items()
-        else:
-            lines = (x.split("#")[0].replace(":", " ", 1).split(None, 1) for x in text.splitlines())
-            found = [(x[0], x[1].strip()) for x in lines if len(x) == 2]
-        for k, v in found:
-            if k.startswith("spark."):
-                builder = builder.config(k, str(v))
-    return builder.getOrCreate()
+    return SparkSession.builder.appName("millrace").config("spark.sql.session.timeZone", "UTC").config(map=settings).getOrCreate()
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -37,7 +25,8 @@ def main(argv: list[str] | None = None) -> int:
     sub = parser.add_subparsers(dest="command")
     run_ = sub.add_parser("run", help="run a pipeline document")
     run_.add_argument("path")
-    run_.add_argument("--config", help="Spark settings")
+    run_.add_argument("--config", help="settings of the engine and of Spark")
+    run_.add_argument("--metrics", help="file for the figures of the run, in the text format of Prometheus")
     run_.add_argument("--run-id", default="", help="go on with the run of this id")
     run_.add_argument("--stream", action="store_true", help="files and responses flow through the steps")
     run_.add_argument("--dry-run", action="store_true", help="only check")
@@ -72,15 +61,25 @@ def main(argv: list[str] | None = None) -> int:
         for f in findings:
             print(f"{f.severity}: {f.field}: {f.message}")
         return int(bad)
-    logging.basicConfig(level=logging.DEBUG if args.verbose > 1 else logging.INFO if args.verbose else logging.WARNING)
+    from millrace.plans.config import metrics, read_config, spark_settings, with_defaults
     from millrace.plans.engine import run
     from millrace.plans.stream import run_stream
 
+    try:
+        config = read_config(args.config) if args.config else {}
+        document = with_defaults(json.loads(Path(args.path).read_text(encoding="utf-8")), config) if config else args.path
+    except (OSError, ValueError) as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 1
+    level = {"trace": "DEBUG", "warn": "WARNING"}.get(config.get("engine", {}).get("log_level", "warn"), config.get("engine", {}).get("log_level", "warn").upper())
+    logging.basicConfig(level=logging.DEBUG if args.verbose > 1 else logging.INFO if args.verbose else level)
     more = {"dag_run_id": args.run_id} if args.run_id else {}
-    if args.stream and not args.dry_run:
-        report = run_stream(_session(args.config), args.path, **more)
-    else:
-        report = run(None if args.dry_run else _session(args.config), args.path, dry_run=args.dry_run, **more)
+    if state := config.get("request_queue", {}).get("db_path"):
+        more["state_dir"] = state
+    spark = None if args.dry_run else _session(spark_settings(config))
+    report = run_stream(spark, document, **more) if args.stream and not args.dry_run else run(spark, document, dry_run=args.dry_run, **more)
+    if args.metrics:
+        Path(args.metrics).write_text(metrics(report), encoding="utf-8")
     for w in report.warnings:
         print(f"warning: {w}")
     print(f"requests: {report.total_requests} total, {report.successes} ok, {report.failures} failed, {report.retries} retried, {report.skipped} skipped")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 
@@ -27,6 +28,8 @@ def values(spark: SparkSession, p: Parameter, steps: Mapping[str, DataFrame]) ->
     return upstream.select(column(upstream, p.field).cast("string").alias(p.name)).where(F.col(p.name).isNotNull()).distinct()
 
 
+#: Combinations of several column parameters at most. Each is a request, so this many take more than a month at 300 a second.
+MOST_COMBINATIONS = 1_000_000_000
 #: Numbers of a range that are listed at once.
 BLOCK = 4096
 
@@ -57,6 +60,11 @@ def combinations(spark: SparkSession, parameters: Sequence[Parameter], steps: Ma
         longest = max((p for p in listed if p.source == "range"), key=lambda p: len(range(p.range_start, p.range_end, p.range_step)), default=None)
         out = values(spark, longest, steps) if longest else spark.range(1).select()
         listed = [p for p in listed if p is not longest]
+    if len(columns) > 1:
+        # Each value set is distinct; what they multiply to is known before it is made.
+        product = math.prod(values(spark, p, steps).count() for p in columns)
+        if product > MOST_COMBINATIONS:
+            raise ValueError(f"parameters {[p.name for p in columns]} have {product} combinations, more than {MOST_COMBINATIONS}")
     for p in columns[1:]:
         out = out.join(values(spark, p, steps))
     for p in listed:

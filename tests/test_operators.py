@@ -186,6 +186,15 @@ def test_generate(spark):
         generate.combinations(spark, [Parameter("b", "range", range_end=5, range_step=0)], {})
 
 
+def test_combinations_are_counted_first(spark, monkeypatch):
+    up = spark.range(20).select(F.col("id").cast("string").alias("k"))
+    params = [Parameter("a", "column", from_step="up", field="k"), Parameter("b", "column", from_step="up", field="k")]
+    assert generate.combinations(spark, params, {"up": up}).count() == 400
+    monkeypatch.setattr(generate, "MOST_COMBINATIONS", 399)
+    with pytest.raises(ValueError, match="400 combinations"):
+        generate.combinations(spark, params, {"up": up})
+
+
 def lines(spark, path):
     return [r.value for r in spark.read.text(path).collect()]
 

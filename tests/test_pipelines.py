@@ -205,3 +205,25 @@ def test_bodies_of_all_forms_become_records_or_dead_letters(spark):
     assert sorted(r.body for r in rest.collect()) == sorted(["7", '"{}"', "null", '{"a":6', "no", '[{"a":9}]'])
     same, none = _records(spark.createDataFrame([("no",), ("[1]",)], "body string"))
     assert none is None and same.count() == 2
+
+
+def test_settings_are_defaults(tmp_path):
+    from millrace.plans.config import read_config, spark_settings, with_defaults
+
+    (tmp_path / "c.yaml").write_text("# all\nengine:\n  log_level: debug   # text\nretry:\n  max_attempts: 7\n  backoff: fixed\nrequest_queue:\n  max_pending: 50\nbackpressure:\n  default_resume_at: 3\nspark.sql.shuffle.partitions: 12\nspark.x y\n")
+    config = read_config(str(tmp_path / "c.yaml"))
+    assert config["engine"] == {"log_level": "debug"} and spark_settings(config) == {"spark.sql.shuffle.partitions": "12", "spark.x": "y"}
+    document = {"connections": {"a": {"type": "http", "backpressure": {"max_buffered_responses": 9}}, "f": {"type": "file"}}, "error_handling": {"backoff": "linear"}, "steps": [{"id": "g", "type": "generate"}, {"id": "s", "type": "sink"}]}
+    got = with_defaults(document, config)
+    assert got["error_handling"] == {"max_attempts": "7", "backoff": "linear"} and got["connections"]["a"]["backpressure"] == {"resume_at": "3", "max_buffered_responses": 9}
+    assert got["connections"]["f"] == {"type": "file"} and got["steps"][0]["request_queue"] == {"max_pending": "50"} and "request_queue" not in got["steps"][1]
+    (tmp_path / "c.json").write_text('{"retry": {"base_ms": 5}, "spark.y": 1}')
+    assert read_config(str(tmp_path / "c.json")) == {"": {"spark.y": "1"}, "retry": {"base_ms": "5"}}
+
+
+def test_metrics():
+    from millrace.plans.config import metrics
+    from millrace.plans.engine import Report
+
+    text = metrics(Report(True, 5, 3, 1, 2, 1, 1.5, "", "r1", {"o": "x"}))
+    assert 'millrace_requests_total{run="r1",status="done"} 3' in text and 'millrace_run_success{run="r1"} 1' in text and 'millrace_retries_total{run="r1"} 2' in text
