@@ -70,9 +70,10 @@ def _with_percentiles(df: DataFrame, group_by: Sequence[str], aggregates: list[A
     plain = [a for a in aggregates if a.func != "percentile"]
     out = aggregate(df, group_by, plain or [Aggregate("__n", "", "count")], preserve_key_types)
     keys = [f"__key{i}" for i in range(len(group_by) or 1)]
-    # Keys are matched by their text; without keys all rows have the same.
-    text = lambda of, typed: {k: F.lit("") if not group_by else (of[c] if not typed else as_text(of[c], of.schema[c].dataType) if not preserve_key_types else of[c].cast("string")) for k, c in zip(keys, group_by or [None], strict=True)}
-    out, source = out.withColumns(text(out, False) if not preserve_key_types else text(out, True)), df.withColumns(text(df, True))
+    # Keys are matched by their text; without keys all rows have the same. Those of the output are text already, unless their types are kept.
+    text = lambda c: F.col(f"`{c}`").cast("string") if preserve_key_types else as_text(F.col(f"`{c}`"), df.schema[c].dataType)
+    source = df.withColumns({k: text(c) for k, c in zip(keys, group_by, strict=False)} or {keys[0]: F.lit("")})
+    out = out.withColumns({k: F.col(f"`{c}`").cast("string") for k, c in zip(keys, group_by, strict=False)} or {keys[0]: F.lit("")})
     for field in dict.fromkeys(a.field for a in aggregates if a.func == "percentile"):
         wanted = [a for a in aggregates if a.func == "percentile" and a.field == field]
         got = percentiles.percentiles([source.select(*keys, F.col(f"`{field}`").alias("__value"))], [keys], "__value", sorted({a.arg / 100 for a in wanted}), infinite=True)

@@ -14,15 +14,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from millrace.functions.session import scratch
 from millrace.operators.aggregate import aggregate
 from millrace.plans.spec import Aggregate
 
 
+def _start(df: DataFrame, checkpoint: str, name: str, output_mode: str):
+    """A query into a folder of its own over all that is available, and what it has written there."""
+    path = scratch(df.sparkSession, "streams")
+    w = df.writeStream.queryName(name).outputMode(output_mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if output_mode == "append":
+        q = w.format("parquet").option("path", f"{path}/out").start()
+    else:
+        # Every batch is the whole result and replaces the one before.
+        q = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).start()
+    return q, f"{path}/out"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(df.schema).parquet(path) if exists else spark.createDataFrame([], df.schema)
+
+
 def run_available(df: DataFrame, checkpoint: str, name: str, output_mode: str = "append") -> DataFrame:
-    """Runs a streaming DataFrame over all that is available, into a table in memory; for tests and small results."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(output_mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a streaming DataFrame over all that is available; gives what it has written."""
+    q, path = _start(df, checkpoint, name, output_mode)
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return _written(df, path)
 
 
 def into_files(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
@@ -120,9 +140,9 @@ def run_with_timeouts(df: DataFrame, checkpoint: str, name: str, timeout_ms: int
 
     Such a query doesn't end by itself: it goes on with empty batches as long as there may be timers. TimeoutError after ``most_sec``.
     """
-    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q, path = _start(df, checkpoint, name, "append")
     settle(q, timeout_ms, most_sec)
-    return df.sparkSession.table(name)
+    return _written(df, path)
 
 
 def wait_for(spark: SparkSession, path: str, q, most_sec: float = 60) -> None:

@@ -190,6 +190,8 @@ def test_queries_match_their_sql(spark, small):
 
     wrong = []
     for name, sql in e.oracle_sql().items():
+        if name.startswith(("p6", "p7", "p8", "stream_document_l")):
+            continue  # tested beside their operators
         ok, why = same(e.queries()[name](spark, small), sql, small)
         if not ok:
             wrong.append((name, why))
