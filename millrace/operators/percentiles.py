@@ -5,7 +5,7 @@ points of the interval at once (``PARTS`` - 1 of them, that is ten halvings a pa
 the least and greatest value really in it as new ends, so each pass gains whatever the distribution. Passes count where the
 rows are: the open intervals are sent to them (broadcast up to BROADCAST of them; more are joined with salt), and only counts of
 groups and parts are shuffled, never values. A rank is resolved when the ends of its interval are at most ``tolerance`` apart,
-by default equal: then the error is 0. What is left between the ends is the error bound that comes out with each value.
+by default equal: then the error is 0. Once FEW values are left in open intervals, each is counted by itself. What is left between the ends is the error bound that comes out with each value.
 
 Counts, least and greatest values add up, so slices (partitions, days) combine: ``state`` gives the first pass of a slice on a
 grid that doesn't depend on the data, ``merge`` adds states, ``bounds`` reads percentiles off a state with the stated bound, and
@@ -35,8 +35,10 @@ CELLS = 1 << 17
 MOST_PASSES = 80
 #: Open intervals that are broadcast at most (about 100 bytes each). Beyond, each is copied to SALT tasks, which share its rows.
 BROADCAST, SALT = 200_000, 16
+#: When no more values than this lie in open intervals, over all groups, the next pass counts every value by itself and so is the last.
+FEW = 1_000_000
 
-_TAKEN = {"grouping", "cell", "n", "lo", "hi", "n_values", "p", "end", "rank", "before", "part", "least", "most", "value", "lower", "upper", "error_bound", "v", "from"}
+_TAKEN = {"grouping", "cell", "n", "lo", "hi", "n_values", "p", "end", "rank", "before", "size", "part", "least", "most", "value", "lower", "upper", "error_bound", "v", "from"}
 
 
 def _cell(v: Column) -> Column:
@@ -106,8 +108,8 @@ def _ranks(of: DataFrame, group: list[str], probs: list[float]) -> DataFrame:
     at = lambda p: F.lit(p) * (F.col("n_values") - 1)
     wanted = [F.struct(F.lit(p).alias("p"), F.lit(e).alias("end"), f(at(p)).cast("long").alias("rank")) for p in probs for e, f in ((0, F.floor), (1, F.ceil))]
     held = F.filter(F.array(*wanted), lambda x: (x["rank"] >= F.col("before")) & (x["rank"] < F.col("before") + F.col("n")))
-    each = cells.select(*group, "cell", "lo", "hi", "n_values", "before", F.explode(held).alias("w"))
-    return each.select(*group, "cell", "lo", "hi", "n_values", "w.p", "w.end", (F.col("w.rank") - F.col("before")).alias("rank"))
+    each = cells.select(*group, "cell", "lo", "hi", F.col("n").alias("size"), "n_values", "before", F.explode(held).alias("w"))
+    return each.select(*group, "cell", "lo", "hi", "size", "n_values", "w.p", "w.end", (F.col("w.rank") - F.col("before")).alias("rank"))
 
 
 def _interpolated(found: DataFrame, group: list[str]) -> DataFrame:
@@ -157,17 +159,18 @@ def percentiles(slices: list[DataFrame], groupings: list[list[str]], value: str,
     found, wanted = [every.where(~wide)], every.where(wide)
     rows = _each(functools.reduce(DataFrame.unionByName, [_values(s, groupings, value, infinite) for s in slices]), groupings)
     for _ in range(MOST_PASSES):
-        n_open = wanted.count()
+        left = wanted.select(*group, "cell", "lo", "size").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("values")).first()
+        n_open = left.n
         if not n_open:
             break
-        part = _part(F.col("v"), F.col("from"), F.col("hi")).alias("part")
+        part = (F.col("v") if left["values"] <= FEW else _part(F.col("v"), F.col("from"), F.col("hi"))).alias("part")
         parts = _inside(rows, wanted, n_open, group).groupBy(*group, "cell", "from", part)
         parts = parts.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
         before = Window.partitionBy(*group, "cell", "from").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumnsRenamed({c: f"__{c}" for c in [*group, "cell", "from"]})
         same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*group, "cell"]] + [F.col("lo") == F.col("__from"), F.col("rank") >= F.col("before"), F.col("rank") < F.col("before") + F.col("n")]
-        held = wanted.drop("hi").join(parts, functools.reduce(lambda a, b: a & b, same))
-        held = cut(held.select(*group, "cell", F.col("least").alias("lo"), F.col("most").alias("hi"), "n_values", "p", "end", (F.col("rank") - F.col("before")).alias("rank")))
+        held = wanted.drop("hi", "size").join(parts, functools.reduce(lambda a, b: a & b, same))
+        held = cut(held.select(*group, "cell", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("n").alias("size"), "n_values", "p", "end", (F.col("rank") - F.col("before")).alias("rank")))
         found.append(held.where(~wide))
         wanted = held.where(wide)
     else:

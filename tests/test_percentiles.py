@@ -34,8 +34,10 @@ def close(a, b):
     return a == b or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-300)
 
 
-@pytest.mark.parametrize("n", [0, 1, 3, 900])
-def test_exact_against_brute_force(spark, n):
+@pytest.mark.parametrize(("n", "few", "broadcast"), [(0, 0, 10), (1, 0, 10), (3, 0, 10), (900, 0, 1000), (900, 1000, 1000), (900, 1000, 0)])
+def test_exact_against_brute_force(spark, n, few, broadcast, monkeypatch):
+    monkeypatch.setattr(pc, "FEW", few)
+    monkeypatch.setattr(pc, "BROADCAST", broadcast)
     data = sample(n)
     df = spark.createDataFrame(data, "g string, p string, x double")
     got = pc.percentiles([df.where("x > 0 or g = 'x'"), df.where("not (x > 0 or g = 'x') or x is null or g is null and x <= 0")], [["g"], ["g", "p"], []], "x", PROBS).collect()
@@ -77,3 +79,17 @@ def test_slices_combine_for_all_groupings(spark, small, monkeypatch):
     ok, why = same(training.p2_slices_all(spark, small), training.SQL["p2_slices_all"], small)
     assert ok, why
     assert passed[0] and len(passed[0]) == 2
+
+
+def test_tolerance_and_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(pc, "FEW", 0)
+    data = [("a", None, float(x)) for x in np.random.default_rng(6).lognormal(3, 1, 5000)] + [("a\x1fb", "n", 1.0), (None, None, math.inf)]
+    df = spark.createDataFrame(data, "g string, p string, x double")
+    want = brute(data, lambda r: r[0], PROBS)
+    for tolerance in (0.0, 0.5):
+        got = pc.percentiles([df], [["g"]], "x", PROBS, tolerance=tolerance).collect()
+        assert {r.g for r in got} == {"a", "a\x1fb"}, "keys stay apart whatever they hold"
+        assert all(abs(r["value"] - want[r.g, r.p][1]) <= r.error_bound + 1e-9 and r.error_bound <= tolerance / 2 for r in got)
+    assert any(r.error_bound > 0 for r in got)
+    every = pc.percentiles([df], [["g"]], "x", [1.0], infinite=True).collect()
+    assert {r.g: r["value"] for r in every}[None] == math.inf
