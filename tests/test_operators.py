@@ -1,4 +1,5 @@
 import math
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from millrace.operators import join as joins
 from millrace.operators.aggregate import aggregate
 from millrace.operators.filter import filter_rows
 from millrace.operators.unnest import project, unnest
+from millrace.plans.reference import QUERIES
 from millrace.plans.spec import Aggregate, Condition, Connection, JoinConfig, Parameter, RequestTemplate
 
 
@@ -144,6 +146,38 @@ def test_join(sides):
         joins.join(two, JoinConfig("nope"))
 
 
+@pytest.mark.parametrize("config", [JoinConfig("key"), JoinConfig("key", "left"), JoinConfig("key", on_timeout="emit_null")])
+@pytest.mark.parametrize("keys", [["key", "v_b"], ["v_c", "v"], []])
+def test_join_grouped(spark, sides, config, keys):
+    """As the joined rows grouped: repeated keys and rows, nulls as keys and as values, inputs that lack a key, no rows at all."""
+    more = lambda *data: spark.createDataFrame(list(data), "key long, v string")
+    inputs = {"a": sides["a"].union(more((2, "a2"), (2, None), (5, "a5"))), "b": sides["b"].union(more((2, "b2"), (2, "b1"), (1, None), (6, "b6"))), "c": sides["c"].union(more((2, "c2"), (6, "c6"), (None, "c?")))}
+    measures = {"n": ("count", ""), "last": ("max", "v_b"), "first": ("min", "v_b"), "least": ("min", "key"), "most": ("max", "v_c")}
+    for given in (inputs, inputs | {"b": inputs["b"].limit(0)}, {n: df.limit(0) for n, df in inputs.items()}):
+        joined = joins.join(given, config).rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("v_b").alias("last"), F.min("v_b").alias("first"), F.min("key").alias("least"), F.max("v_c").alias("most"))
+        got = joins.grouped(given, config, keys, measures)
+        assert got.dtypes == joined.dtypes and rows(got) == rows(joined)
+
+
+def test_join_grouped_errors(sides):
+    for args, error in (((["nope"], {}), "no such column: nope"), ((["key"], {"x": ("max", "nope")}), "no such column: nope"), ((["key"], {"x": ("avg", "v")}), "unsupported func")):
+        with pytest.raises(ValueError, match=error):
+            joins.grouped(sides, JoinConfig("key"), *args)
+
+
+def test_three_way_join_of_many_rows(spark, tmp_path):
+    """9 thousand million rows of one nation are counted without being made; if they are made, this is cancelled after a minute."""
+    spark.range(300_000).selectExpr("id as c_custkey", "7 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(30_000).selectExpr("format_string('Supplier#%09d', id) as s_name", "7 as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(7, "N7"), (8, "N8")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        assert rows(QUERIES["join_three_way"](spark, str(tmp_path))) == [(7, "N7", 9_000_000_000, "Supplier#000029999")]
+    finally:
+        stop.cancel()
+
+
 def test_transform(spark, tmp_path):
     @transform.register("t:double")
     def double(r):
